@@ -1 +1,8 @@
 """Comparative-genomics analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions used inside tasks travel with the plan, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -113,8 +113,8 @@ def _(t: Tables):
     return ft.unique_patterns_threshold(t.names).select("n_patterns", _r("threshold", 12))
 
 
-@query("share_within_group", """SELECT o_orderpriority AS grp, o_orderstatus AS detail, count(*) AS n,
-round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY o_orderpriority), 9) AS share FROM orders GROUP BY ALL""")
+@query("share_within_group", """WITH c AS (SELECT o_orderpriority AS grp, o_orderstatus AS detail, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT grp, detail, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY grp), 9) AS share FROM c""")
 def _(t: Tables):
     df = t.orders.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderstatus").alias("detail"))
     return ft.share_within_group(df, "grp", "detail").withColumn("share", F.round("share", 9))
@@ -152,7 +152,7 @@ def _(t: Tables):
 
 @query("gene_label", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name
   WHEN p_size % 3 = 1 THEN 'gene' || p_partkey
-  WHEN p_size % 2 = 0 THEN left(repeat(p_type || ' ', 6), 37) || '…' || ' [group_' || p_partkey || ']' ELSE 'group_' || p_partkey END AS label FROM part""")
+  WHEN p_size % 2 = 0 THEN CASE WHEN length(repeat(p_type || ' ', 6) || 'x') <= 38 THEN repeat(p_type || ' ', 6) || 'x' ELSE left(repeat(p_type || ' ', 6) || 'x', 37) || '…' END || ' [group_' || p_partkey || ']' ELSE 'group_' || p_partkey END AS label FROM part""")
 def _(t: Tables):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     gene = F.when(size % 3 == 1, F.concat(F.lit("gene"), key)).otherwise(F.concat(F.lit("group_"), key))
@@ -309,9 +309,9 @@ def _nation_groups(t: Tables):
 
 @query("permanova", JACCARD + """, g AS (SELECT n_nationkey AS sample, n_regionkey AS grp FROM nation),
 k AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT grp) AS a FROM g), sz AS (SELECT grp, count(*)::DOUBLE AS m FROM g GROUP BY grp),
-s AS (SELECT sum(distance * distance) AS tot, sum(CASE WHEN ga.grp = gb.grp THEN distance * distance / m ELSE 0 END) AS w
+ss AS (SELECT sum(distance * distance) AS tot, sum(CASE WHEN ga.grp = gb.grp THEN distance * distance / m ELSE 0 END) AS w
  FROM jac JOIN g ga ON ga.sample = sample_a JOIN g gb ON gb.sample = sample_b JOIN sz ON sz.grp = ga.grp)
-SELECT round(((tot / n - w) / (a - 1)) / (w / (n - a)), 6) AS pseudo_f, round((tot / n - w) / (tot / n), 8) AS r2 FROM s, k""")
+SELECT round(((tot / n - w) / (a - 1)) / (w / (n - a)), 6) AS pseudo_f, round((tot / n - w) / (tot / n), 8) AS r2 FROM ss, k""")
 def _(t: Tables):
     return st.permanova(_jaccard(t), _nation_groups(t)).select(_r("pseudo_f"), _r("r2", 8))
 
