@@ -92,8 +92,9 @@ def genome_plasmid_summary(
 ) -> DataFrame:
     """Per genome: label counts, lengths, reference coverage, status and number of missing tools.
 
-    ``target_hits`` (genome, contig, tstart, tend, tlen) are all alignments that passed;
-    only those of full-length or short reference contigs count. ``tools`` (genome, tool)
+    ``target_hits`` (genome, contig, tstart, tend, tlen[, passed]) are the alignments; where
+    ``passed`` is given, weak ones only tell the reference length. Only alignments of
+    contigs labelled as the reference plasmid count. ``tools`` (genome, tool)
     lists the tools that gave output.
     """
     def count(label):
@@ -111,7 +112,8 @@ def genome_plasmid_summary(
         length(F.col("label") == "plasmid_other").alias("plasmid_other_len"),
     )
     carriers = labels.filter(F.col("label").isin("pESI", "pESI_short")).select("genome", "contig")
-    on_ref = target_hits.join(carriers, ["genome", "contig"], "left_semi")
+    strong = target_hits.filter("passed") if "passed" in target_hits.columns else target_hits
+    on_ref = strong.join(carriers, ["genome", "contig"], "left_semi")
     cover = merged_length(
         on_ref.select("genome", F.col("tstart").alias("start"), F.col("tend").alias("end")), ["genome"], bucket_width
     ).select("genome", "covered")
