@@ -34,7 +34,9 @@ def average_linkage_clusters(pairs: DataFrame, strains: DataFrame, threshold: fl
         mean = F.round((F.col("s") + (cells - F.col("k"))) / cells, 12)
         close = edges.withColumn("d", mean).filter(F.col("d") <= threshold)
         ends = close.select(
-            F.explode(F.array("c1", "c2")).alias("c"), F.struct("d", "c1", "c2", (F.col("n1") + F.col("n2")).alias("n")).alias("e")
+            F.explode(F.array("c1", "c2")).alias("c"),
+            # equal distances are ordered by a hash, so that a tie does not serialise the merges
+            F.struct("d", F.xxhash64("c1", "c2").alias("h"), "c1", "c2", (F.col("n1") + F.col("n2")).alias("n")).alias("e")
         )
         best = ends.groupBy("c").agg(F.min("e").alias("e"))
         merges = cut(best.groupBy("e.c1", "e.c2", "e.n").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2").select(

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cladeframe.functions.distributions import binomial_quantile, neg_binomial_pmf, log_gamma, poisson_pmf
 from cladeframe.functions.lineage import cut
@@ -15,6 +15,9 @@ from cladeframe.operators.intervals import complement_intervals, merge_intervals
 from cladeframe.operators.sequences import PAIR, pair_divergence
 
 _CHUNK = 1 << 20
+_KEPT = T.ArrayType(
+    T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("mism", T.ArrayType(T.IntegerType()))
+)
 
 
 def _null_sums(bounds: np.ndarray, size: int, div: float) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +58,7 @@ def spectrum_ssd(runs: np.ndarray, counts: np.ndarray, size: int, div: float) ->
     return (level**2 * lengths - 2 * level * d1 + d2).sum(axis=1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ssd(runs: pd.Series, counts: pd.Series, size: pd.Series, div: pd.Series) -> pd.Series:
     return pd.Series(
         [float(spectrum_ssd(np.asarray(r), np.asarray(c), int(s), d)[0]) if d > 0 else None
@@ -108,12 +111,12 @@ def ssd_bootstrap_ci(
     )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _cutoff(n_windows: pd.Series, window: pd.Series, div: pd.Series) -> pd.Series:
     return pd.Series([binomial_quantile(1 - 0.05 / w, int(n), p) for w, n, p in zip(n_windows, window, div)])
 
 
-@F.pandas_udf("array<struct<start:long,length:long,mism:array<int>>>")
+@F.pandas_udf(_KEPT)
 def _keep(length: pd.Series, mism: pd.Series, window: pd.Series, cutoff: pd.Series, n_windows: pd.Series, div: pd.Series) -> pd.Series:
     out = []
     for size, m, w, c, nw, p in zip(length, mism, window, cutoff, n_windows, div):
@@ -240,7 +243,7 @@ def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, win
     return fitted.select(*PAIR, "f.mu", "f.mnb", "f.nb_size", "f.fc")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _state(no: pd.Series, count: pd.Series, mu: pd.Series, mnb: pd.Series, size: pd.Series, fc: pd.Series) -> pd.Series:
     k = count.to_numpy(float)
     m, b, s = mu.to_numpy(float), mnb.to_numpy(float), size.to_numpy(float)

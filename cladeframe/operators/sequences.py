@@ -14,20 +14,22 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeframe.functions.scan import prefix_scan
 from cladeframe.operators.intervals import complement_intervals
 
 PAIR = ["strain1", "strain2"]
 _GAPS = re.compile("-{2,}")
+_RUNS = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
+_PARTS = T.ArrayType(T.StructType().add("start", T.LongType()).add("seq1", T.StringType()).add("seq2", T.StringType()))
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-@F.pandas_udf("array<struct<start:long,end:long>>")
+@F.pandas_udf(_RUNS)
 def _gap_runs(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -37,7 +39,7 @@ def _gap_runs(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("array<struct<start:long,seq1:string,seq2:string>>")
+@F.pandas_udf(_PARTS)
 def _gap_free(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(seq1, seq2):
@@ -51,7 +53,7 @@ def _gap_free(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def mismatch_offsets(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     """Sorted 0-based offsets where two equally long texts differ."""
     return pd.Series([np.flatnonzero(_codes(a) != _codes(b)).astype(np.int32) for a, b in zip(seq1, seq2)])

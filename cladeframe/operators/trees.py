@@ -187,9 +187,9 @@ def monophyly_test(closure: DataFrame, tips: DataFrame, labels: DataFrame) -> Da
     below it; the last one has the fewest tips.
     """
     n = labels.groupBy("tree_id", "label").agg(F.count(F.lit(1)).alias("n_members"))
-    held = clade_members(closure, labels.select("tree_id", "node")).select("tree_id", "node", "tip").join(
-        labels.select("tree_id", F.col("node").alias("tip"), "label"), ["tree_id", "tip"]
-    ).groupBy("tree_id", "label", "node").agg(F.count(F.lit(1)).alias("held"))
+    held = closure.join(labels.select("tree_id", F.col("node").alias("desc"), "label"), ["tree_id", "desc"]).groupBy(
+        "tree_id", "label", F.col("anc").alias("node")
+    ).agg(F.count(F.lit(1)).alias("held"))
     common = held.join(n, ["tree_id", "label"]).filter(F.col("held") == F.col("n_members"))
     return common.join(clade_sizes(closure, tips), ["tree_id", "node"]).groupBy("tree_id", "label", "n_members").agg(
         F.min("n_tips").alias("clade_size")

@@ -1 +1,253 @@
+"""Source and sink queries: Spark writes the tables in a file format and scans them back.
 
+Every run writes to a new folder under the shared folder of the session.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from cladeframe.functions.lineage import scratch_path
+from cladeframe.operators import clusters as cl, trees as tr
+from cladeframe.plans.forests import T_NATION, _pruned, _strains, PRUNED
+from cladeframe.plans.registry import query
+from cladeframe.plans.tables import GENES, TREE, Tables
+from cladeframe.sources import readers as rd, writers as wr
+from cladeframe.streaming.ingest import incremental_ingest, pending_inputs
+
+
+def _new(t: Tables, label: str) -> str:
+    return scratch_path(t.spark, label)
+
+
+def _lines(df, path: str, value, group: str | None = None, sort: str | None = None) -> str:
+    """Text files of one line per row, in one folder per ``group`` value."""
+    rows = df.select(*([F.col(group)] if group else []), *([F.col(sort)] if sort else []), value.alias("value"))
+    if group:
+        rows = rows.repartition(group)
+    if sort:
+        rows = rows.sortWithinPartitions(*([group] if group else []), sort).drop(sort)
+    (rows.write.partitionBy(group) if group else rows.write).text(path)
+    return path
+
+
+def _tabbed(*cols):
+    return F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) if not isinstance(c, str) else F.lit(c) for c in cols])
+
+
+def _fasta(t: Tables) -> str:
+    path = _new(t, "fasta")
+    rows = t.documents.select(
+        F.col("source").alias("genome"), F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(" len=1")).alias("contig"),
+        F.regexp_replace("text", r"[\s>]", "").alias("seq"),
+    )
+    wr.write_fasta_groups(rows, path)
+    return path
+
+
+@query("scan_fasta", "SELECT source AS genome, 'c' || doc_id AS contig, regexp_replace(text, '[\\s>]', '', 'g') AS seq, length(regexp_replace(text, '[\\s>]', '', 'g')) AS length FROM documents")
+def _(t: Tables):
+    return rd.scan_fasta(t.spark, _fasta(t))
+
+
+@query("write_fasta_groups", """WITH s AS (SELECT source AS genome, regexp_replace(text, '[\\s>]', '', 'g') AS q FROM documents)
+SELECT genome, CAST(sum(1 + greatest(1, ceil(length(q) / 80.0))) AS BIGINT) AS n_lines, max(least(80, length(q))) AS widest, count(*) AS n_records FROM s GROUP BY genome""")
+def _(t: Tables):
+    lines = rd._text(t.spark, _fasta(t))
+    head = F.col("value").startswith(">")
+    return lines.groupBy(F.regexp_extract("file", r"/genome=([^/]*)/", 1).alias("genome")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max(F.when(~head, F.length("value"))).alias("widest"), F.count_if(head).alias("n_records")
+    )
+
+
+@query("scan_pair_alignments", """SELECT 'C' || conv_id AS strain1, 'D' || conv_id AS strain2, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block_no,
+regexp_replace(text, '\\s', '', 'g') AS seq1, lower(regexp_replace(text, '\\s', '', 'g')) AS seq2 FROM conversations WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
+def _(t: Tables):
+    seq = F.regexp_replace("text", r"\s", "")
+    head = F.concat(F.lit("a score=1 label="), F.col("turn").cast("string"), F.lit(" mult=2\ns A.1 0 1 + 9 "))
+    block = F.concat(head, seq, F.lit("\ns B.1 0 1 + 9 "), F.lower(seq), F.lit("\n\na mult=20\ns x\ns y\n"))
+    df = t.conversations.filter(F.length(seq) > 0).withColumn("pair", F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("_@_D"), F.col("conv_id").cast("string"), F.lit(".maf")))
+    path = _lines(df, _new(t, "maf"), block, "pair", "turn")
+    raw = rd._text(t.spark, path, "\n\n").withColumn("file", F.regexp_extract(F.url_decode("file"), r"pair=([^/]*)/", 1))
+    return rd._number(rd.parse_pair_blocks(raw), ["strain1", "strain2"], "block_no").select("strain1", "strain2", "block_no", "seq1", "seq2")
+
+
+@query("scan_multi_alignments", """SELECT CAST(conv_id AS VARCHAR) AS label, role AS isolate, 'k.' || turn AS contig, CASE WHEN turn % 2 = 0 THEN conv_id * 10 + turn ELSE conv_id * 10 + turn + length(q) END AS start,
+length(q) AS length, CASE WHEN turn % 2 = 0 THEN '+' ELSE '-' END AS strand, q AS seq FROM (SELECT *, regexp_replace(text, '\\s', '', 'g') AS q FROM conversations) WHERE length(q) > 0""")
+def _(t: Tables):
+    q = F.regexp_replace("text", r"\s", "")
+    row = F.concat_ws(" ", F.lit("s"), F.concat("role", F.lit(".k."), F.col("turn").cast("string")), (F.col("conv_id") * 10 + F.col("turn")).cast("string"),
+                      F.length(q).cast("string"), F.when(F.col("turn") % 2 == 0, "+").otherwise("-"), F.lit("99"), q)
+    blocks = t.conversations.filter(F.length(q) > 0).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))).alias("rows"))
+    text = F.concat(F.lit("a score=0 label="), F.col("conv_id").cast("string"), F.lit(" mult=2\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n"))
+    return rd.scan_multi_alignments(t.spark, _lines(blocks, _new(t, "multi"), text)).drop("row_no")
+
+
+@query("scan_paf_hits", """SELECT 'u' || user_id AS genome, event_type AS contig, event_id % 900 AS qstart, event_id % 900 + 500 AS qend, 200000 AS tlen, event_id * 3 AS tstart, event_id * 3 + 500 AS tend
+FROM events WHERE round(value * 100) * 100 >= 500000 AND event_id % 11 + 90 >= 95""")
+def _(t: Tables):
+    e = F.col("event_id")
+    size = F.round(F.col("value") * 100).cast("long")
+    rows = t.events.withColumn("genome", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    scaled = _tabbed(F.col("event_type"), "9", e % 900, e % 900 + 500, "+", "ref", F.lit(200000), e * 3, e * 3 + 500, size * (e % 11 + 90), size * 100, "60")
+    path = _lines(rows, _new(t, "paf"), F.when(e % 7 == 0, F.concat_ws("\t", scaled, F.lit("tp:A:P"))).otherwise(scaled), "genome")
+    return rd.scan_paf_hits(t.spark, path, 500000, 0.95)
+
+
+@query("scan_feature_hits", """SELECT 'n' || c_nationkey AS sample, c_name AS feature, c_mktsegment AS type, CASE WHEN c_nationkey % 2 = 0 THEN 'sub' END AS subtype, CAST(c_custkey AS VARCHAR) AS name FROM customer""")
+def _(t: Tables):
+    path = _new(t, "hits")
+    df = t.customer.withColumn("folder", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".amrfinder.tsv")))
+    new, old = F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 2 == 1
+    head = F.when(new, F.lit("Name\tElement symbol\tElement name\tType\tSubtype")).otherwise(F.lit("Gene symbol\tSequence name\tElement type"))
+    body = F.when(new, _tabbed("x", F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment"), "sub")).otherwise(_tabbed(F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment")))
+    rows = df.select("folder", F.lit(1).alias("o"), body.alias("v")).unionByName(
+        df.select("folder", "c_nationkey").distinct().select("folder", F.lit(0).alias("o"), head.alias("v"))
+    )
+    _lines(rows, path, F.col("v"), "folder", "o")
+    text = rd._text(t.spark, path).select("value", F.regexp_extract(F.url_decode("file"), r"folder=([^/]*)/", 1).alias("file"))
+    return rd.feature_hits_from_lines(text).select("sample", "feature", "type", "subtype", "name")
+
+
+@query("scan_plasmid_calls", """SELECT DISTINCT c_mktsegment AS genome, c_name AS contig, tool FROM customer JOIN (SELECT 'mob' AS tool UNION ALL SELECT 'genomad' UNION ALL SELECT 'platon') ON
+(tool = 'mob' AND c_nationkey % 3 = 0) OR (tool = 'genomad' AND c_nationkey % 3 < 2) OR (tool = 'platon' AND c_nationkey % 4 = 0)""")
+def _(t: Tables):
+    base = _new(t, "calls")
+    c = t.customer.withColumn("genome", F.col("c_mktsegment"))
+    n = F.col("c_nationkey")
+    heads = lambda text: c.select("genome").distinct().select("genome", F.lit(0).alias("o"), F.lit(text).alias("v"))
+    kind = F.when(n % 3 == 0, F.when(n % 2 == 0, "plasmid").otherwise("Plasmid")).otherwise("chromosome")
+    mob = c.select("genome", F.lit(1).alias("o"), _tabbed(kind, F.concat("c_name", F.lit(" extra"))).alias("v")).unionByName(heads("molecule_type\tcontig_id"))
+    gen = c.filter(n % 3 < 2).select("genome", F.lit(1).alias("o"), _tabbed(F.col("c_name"), "1").alias("v")).unionByName(heads("seq_name\tlength"))
+    _lines(mob, os.path.join(base, "mob"), F.col("v"), "genome", "o")
+    _lines(gen, os.path.join(base, "genomad"), F.col("v"), "genome", "o")
+    wr.write_fasta_groups(c.filter(n % 4 == 0).select("genome", F.col("c_name").alias("contig"), F.lit("ACGT").alias("seq")), os.path.join(base, "platon"))
+    return rd.scan_plasmid_calls(t.spark, *[os.path.join(base, x) for x in ("mob", "genomad", "platon")])
+
+
+def _matrix_cells(t: Tables):
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    return t.nation_genes.select(name(F.col("sample")).alias("sample"), F.col("feature").cast("string").alias("feature"))
+
+
+MATRIX = """SELECT DISTINCT 'n' || c_nationkey AS sample, CAST(l_partkey * 10 + l_linenumber AS VARCHAR) AS feature FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+
+
+@query("scan_presence_matrix", MATRIX)
+def _(t: Tables):
+    path = _new(t, "rtab")
+    cells = _matrix_cells(t)
+    wr.write_presence_matrix(cells, cells.select("sample").distinct(), path)
+    return rd.scan_presence_matrix(t.spark, path)
+
+
+@query("write_presence_matrix", f"WITH m AS ({MATRIX}) SELECT feature AS \"Gene\", count(*) FILTER (WHERE sample = 'n0') AS n0, count(*) FILTER (WHERE sample = 'n7') AS n7, count(*) AS total FROM m GROUP BY feature")
+def _(t: Tables):
+    path = _new(t, "rtab")
+    cells = _matrix_cells(t)
+    wr.write_presence_matrix(cells, cells.select("sample").distinct(), path)
+    wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)
+    cols = [c for c in wide.columns if c != "Gene"]
+    return wide.select("Gene", *[F.col(c).cast("long").alias(c) for c in ("n0", "n7")], sum(F.col(c).cast("long") for c in cols).alias("total"))
+
+
+@query("scan_id_list", "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'g' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS id, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def _(t: Tables):
+    k = F.col("o_custkey").cast("string")
+    line = F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_orderkey") % 2 == 0, "# note").otherwise("  ")).otherwise(
+        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(" g"), k, F.lit(".fna\tother"))).otherwise(F.concat(k, F.lit(" x\r")))
+    )
+    return rd.scan_id_list(t.spark, _lines(t.orders, _new(t, "ids"), line))
+
+
+@query("scan_mlst_calls", "SELECT 'g' || c_custkey AS genome, c_mktsegment AS scheme, CAST(c_nationkey AS VARCHAR) AS st, ['a(' || c_nationkey || ')', 'b(~2)'] AS alleles FROM customer")
+def _(t: Tables):
+    line = _tabbed(F.concat(F.lit("/x/g"), F.col("c_custkey").cast("string"), F.lit(".fna")), F.col("c_mktsegment"), F.col("c_nationkey"), F.concat(F.lit("a("), F.col("c_nationkey").cast("string"), F.lit(")")), "b(~2)")
+    return rd.scan_mlst_calls(t.spark, _lines(t.customer, _new(t, "mlst"), line))
+
+
+@query("scan_sampling_metadata", """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS sample, CASE WHEN o_orderstatus = 'F' THEN 'Geflügel' ELSE o_orderpriority END AS facility, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE year(o_orderdate) END AS year FROM orders""")
+def _(t: Tables):
+    broken = "Geflügel".encode().decode("mac_roman")
+    o = t.orders
+    date = F.when(F.col("o_orderstatus") == "P", "unknown").when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(
+        F.when(F.year("o_orderdate") >= 2000, F.date_format("o_orderdate", "dd.MM.yy")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    )
+    path = _new(t, "sampling")
+    o.select(
+        F.when(F.col("o_orderstatus") == "F", F.lit(broken)).otherwise(F.col("o_orderpriority")).alias("﻿facility"), date.alias("date"), F.col("o_custkey").alias("Seq_number")
+    ).write.option("header", "true").option("sep", ";").csv(path)
+    return rd.scan_sampling_metadata(t.spark, path).distinct()
+
+
+@query("scan_tree_forest", """SELECT 't' || c_nationkey || c_mktsegment AS tree_id, CASE WHEN k = 0 THEN c_name WHEN k = 1 THEN 'in' ELSE 'top' END AS node, CASE WHEN k = 0 THEN 'in' WHEN k = 1 THEN 'top' END AS parent,
+CASE WHEN k = 0 THEN abs(c_acctbal) WHEN k = 1 THEN 1.5 END AS length, CASE WHEN k = 0 THEN c_name END AS name FROM (
+SELECT c_nationkey, c_mktsegment, c_name, c_acctbal, 0 AS k FROM customer UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment, '', 0, 1 FROM customer UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment, '', 0, 2 FROM customer)""")
+def _(t: Tables):
+    c = t.customer.withColumn("tree", F.concat(F.lit("t"), F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    last = c.groupBy("tree").agg(F.max("c_custkey").alias("last"))
+    tips = c.join(last, "tree").select("tree", F.col("c_custkey").alias("o"), F.concat(F.lit("'out_"), "c_name", F.lit("':"), F.abs("c_acctbal").cast("decimal(12,2)").cast("string"), F.when(F.col("c_custkey") < F.col("last"), ",").otherwise("")).alias("v"))
+    ends = c.select("tree").distinct().select("tree", F.inline(F.array(F.struct(F.lit(-1).alias("o"), F.lit("((").alias("v")), F.struct(F.lit(1 << 60).alias("o"), F.lit(")in:1.5)top;").alias("v")))))
+    path = _lines(tips.unionByName(ends), _new(t, "trees"), F.col("v"), "tree", "o")
+    return rd.scan_tree_forest(t.spark, path)
+
+
+@query("scan_biosample_xml", "SELECT 'SAMN' || c_custkey AS biosample, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE 'PRJNA' || c_nationkey END AS bioproject FROM customer")
+def _(t: Tables):
+    n = F.col("c_nationkey").cast("string")
+    link = lambda target, label: F.concat(F.lit(f'<Link target="{target}" label="'), label, F.lit('">1</Link>'))
+    xml = F.concat(
+        F.lit('<BioSample accession="SAMN'), F.col("c_custkey").cast("string"), F.lit('"><Links>'), link("pubmed", F.lit("PRJX")), link("bioproject", F.concat(F.lit("old"), n)),
+        F.when(F.col("c_nationkey") % 3 != 0, F.concat(link("bioproject", F.concat(F.lit("PRJNA"), n)), link("bioproject", F.lit("PRJ2")))).otherwise(""), F.lit("</Links></BioSample>"),
+    )
+    return rd.scan_biosample_xml(t.spark, _lines(t.customer, _new(t, "xml"), xml))
+
+
+@query("scan_partitioned_results", "SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem")
+def _(t: Tables):
+    path = _new(t, "chunks")
+    t.lineitem.select("l_orderkey", "l_returnflag", "l_quantity").repartition(4).write.option("header", "true").option("sep", "\t").csv(path)
+    return rd.scan_partitioned_results(t.spark, path, "l_orderkey long, l_returnflag string, l_quantity double")
+
+
+@query("write_cluster_lists", f"""WITH {PRUNED}, al AS (SELECT strain, 0 AS rk, cluster AS label FROM pruned UNION ALL SELECT strain, 1, strain FROM mem WHERE strain NOT IN (SELECT strain FROM pruned)),
+nb AS (SELECT strain, dense_rank() OVER (ORDER BY rk, label) AS c, count(*) OVER (PARTITION BY rk, label) AS size FROM al) SELECT strain, lpad(CAST(c AS VARCHAR), 3, '0') AS list FROM nb WHERE size >= 3""")
+def _(t: Tables):
+    path = _new(t, "lists")
+    wr.write_cluster_lists(cl.renumber_with_singletons(_pruned(t), _strains(t)), path)
+    back = rd._text(t.spark, os.path.join(path, "lists"))
+    return back.select(F.col("value").alias("strain"), F.regexp_extract("file", r"/list=([^/]*)/", 1).alias("list"))
+
+
+@query("write_distance_matrix", f"""WITH {T_NATION}, a AS (SELECT * FROM closure WHERE descn IN (SELECT node FROM tips)),
+d AS (SELECT x.descn AS tip, y.descn AS other, min(x.dist + y.dist) AS d FROM a x JOIN a y ON x.anc = y.anc GROUP BY ALL)
+SELECT tip, CAST(max(d) FILTER (WHERE other = 'n0') AS DOUBLE) AS n0, CAST(max(d) FILTER (WHERE other = 'n13') AS DOUBLE) AS n13, count(*) AS n_columns FROM d GROUP BY tip""")
+def _(t: Tables):
+    path = _new(t, "dist")
+    edges = t.nation_tree
+    closure, tips = tr.tree_closure(edges), tr.tree_tips(edges)
+    d = tr.tree_distances(edges, closure, tips).select("tip_a", "tip_b", F.col("patristic").cast("double").alias("distance"))
+    wr.write_distance_matrix(d, tips.select(F.col("node").alias("tip")), path)
+    wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)
+    return wide.select("tip", F.col("n0").cast("double").alias("n0"), F.col("n13").cast("double").alias("n13"), F.lit(len(wide.columns) - 1).cast("long").alias("n_columns"))
+
+
+@query("incremental_ingest", "SELECT user_id AS genome, event_type AS contig, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t: Tables):
+    base = _new(t, "ingest")
+    src, out, mark = (os.path.join(base, x) for x in ("in", "out", "marks"))
+    keys = t.events.select(F.col("user_id").alias("genome"), F.col("event_type").alias("contig"), "event_id")
+    run = lambda: incremental_ingest(t.spark, src, out, mark, lambda df: df.select("genome", "contig"), "genome long, contig string, event_id long")
+    keys.filter("event_id % 2 = 0").write.parquet(src)
+    run()
+    keys.filter("event_id % 2 = 1").write.mode("append").parquet(src)
+    run()
+    return t.spark.read.parquet(out).groupBy("genome", "contig").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pending_inputs", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _(t: Tables):
+    done = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    return pending_inputs(t.customer.select(F.col("c_custkey").alias("id")), done, "id")

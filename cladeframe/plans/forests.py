@@ -168,7 +168,7 @@ def _strains(t: Tables):
 
 @query("average_linkage_clusters")
 def _(t: Tables):
-    return cl.average_linkage_clusters(_distances(t), _strains(t), 0.5)
+    return cl.average_linkage_clusters(_distances(t), _strains(t), 0.2)
 
 
 MEMBERS = "mem AS (SELECT DISTINCT 'n' || c_nationkey AS strain, CASE WHEN c_nationkey % 7 = 6 THEN 'n' || c_nationkey ELSE 'k' || c_nationkey % 7 END AS cluster FROM customer)"

@@ -188,7 +188,7 @@ class Tables:
         s, q, n = F.col("s"), F.col("q"), F.col("n")
         return sums.select(
             F.least("x", "y").alias("strain1"), F.greatest("x", "y").alias("strain2"),
-            (s % 997 / 20000.0).alias("divergence_raw"), (20000 + q % 20000).cast("double").alias("aligned_raw"),
+            (s % 997 / 20000.0).alias("divergence_raw"), (100000 + q % 200000).cast("double").alias("aligned_raw"),
             (q % 11 / 100.0).alias("mu_div"), (s % 13 / 50.0).alias("mnb_div"), (s % 101).cast("double").alias("sim_fr"),
             ((q + n) % 50).cast("double").alias("hmm_fr"), (s % 17 / 400.0).alias("hmm_mu"), (q % 19 / 100.0).alias("hmm_mnb"),
         )
@@ -246,11 +246,11 @@ RUNS = BASES + """,
 mloc AS (SELECT k.strain1, k.strain2, block_no, isl, i - start AS pos, len FROM kept k JOIN parts USING (strain1, strain2, block_no, isl) WHERE c1 <> c2
   UNION ALL SELECT strain1, strain2, block_no, isl, -1, len FROM parts),
 runs AS (SELECT strain1, strain2, coalesce(lead(pos) OVER (PARTITION BY strain1, strain2, block_no, isl ORDER BY pos), len) - pos - 1 AS run FROM mloc)"""
-TREE = """edges AS (SELECT 'root' AS node, NULL AS parent, CAST(0 AS BIGINT) AS length, NULL AS name
+TREE = """edges AS (SELECT 'root' AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS length, CAST(NULL AS VARCHAR) AS name
   UNION ALL SELECT 'r' || r_regionkey, 'root', r_regionkey + 1, NULL FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey + 1, NULL FROM nation
   UNION ALL SELECT c_name, 'n' || c_nationkey, CAST(round(abs(c_acctbal) * 100) AS BIGINT), c_name FROM customer)"""
-NATION_TREE = """edges AS (SELECT 'root' AS node, NULL AS parent, CAST(0 AS BIGINT) AS length, NULL AS name
+NATION_TREE = """edges AS (SELECT 'root' AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS length, CAST(NULL AS VARCHAR) AS name
   UNION ALL SELECT 'r' || r_regionkey, 'root', r_regionkey + 1, NULL FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, w, 'n' || n_nationkey FROM nation JOIN
     (SELECT c_nationkey, sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) % 9973 + 1 AS w FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)"""
@@ -261,7 +261,7 @@ CLOSURE = """, closure AS (
   SELECT anc, node AS descn, dist, hops, branch FROM up),
 tips AS (SELECT node FROM edges WHERE name IS NOT NULL),
 sizes AS (SELECT anc AS node, count(*) AS n FROM closure WHERE descn IN (SELECT node FROM tips) GROUP BY 1)"""
-PAIR_STATS = """ps AS (SELECT least(x, y) AS strain1, greatest(x, y) AS strain2, s % 997 / 20000.0 AS divergence_raw, 20000.0 + q % 20000 AS aligned_raw,
+PAIR_STATS = """ps AS (SELECT least(x, y) AS strain1, greatest(x, y) AS strain2, s % 997 / 20000.0 AS divergence_raw, 100000.0 + q % 200000 AS aligned_raw,
     q % 11 / 100.0 AS mu_div, s % 13 / 50.0 AS mnb_div, CAST(s % 101 AS DOUBLE) AS sim_fr, CAST((q + n) % 50 AS DOUBLE) AS hmm_fr, s % 17 / 400.0 AS hmm_mu, q % 19 / 100.0 AS hmm_mnb
   FROM (SELECT 'n' || least(c_nationkey, s_nationkey) AS x, 'n' || greatest(c_nationkey, s_nationkey) AS y,
       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n

@@ -130,24 +130,28 @@ def file_roster(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return files.groupBy(name.alias("sample")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def scan_feature_hits(spark: SparkSession, path: str, suffix: str = r"\.amrfinder") -> DataFrame:
-    """One long hit table from many per-genome tables with old or new column names.
-
-    The sample comes from the file name. Two files of one sample, or a header without the
-    symbol and type columns, raise an error.
-    """
-    rows = _text(spark, path).select("value", "file")
+def feature_hits_from_lines(rows: DataFrame, suffix: str = r"\.amrfinder") -> DataFrame:
+    """Lines (file, value) of per-genome hit tables → one long table; each file brings its own header."""
     tabbed = F.concat(F.lit("\t"), F.col("value"), F.lit("\t"))
     is_header = tabbed.rlike("\t(Element|Gene) symbol\t") | tabbed.rlike("\tElement type\t")
     cells = _headed(rows, is_header)
     pick = lambda names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
     known = F.map_contains_key("cells", "Type") | F.map_contains_key("cells", "Element type")
     sample = clean_sample_id(F.regexp_replace(_base_name(F.col("file"), r"\.(txt|tsv)"), rf"{suffix}$", ""))
-    named = cells.select(
-        sample.alias("sample"), "file",
+    return cells.select(
+        sample.alias("sample"),
         F.when(known, pick(HIT_COLUMNS["type"])).otherwise(F.raise_error(F.concat(F.lit("no type column: "), F.col("file")))).alias("type"),
         *[pick(v).alias(k) for k, v in HIT_COLUMNS.items() if k != "type"],
     )
+
+
+def scan_feature_hits(spark: SparkSession, path: str, suffix: str = r"\.amrfinder") -> DataFrame:
+    """One long hit table from many per-genome tables with old or new column names.
+
+    The sample comes from the file name. Two files of one sample, or a header without the
+    symbol and type columns, raise an error.
+    """
+    named = feature_hits_from_lines(_text(spark, path).select("value", "file"), suffix)
     repeated = file_roster(spark, path, suffix).filter("n_files > 1").agg(F.count(F.lit(1))).scalar()
     return named.withColumn(
         "sample", F.when(repeated > 0, F.raise_error(F.lit("two files of one sample"))).otherwise(F.col("sample"))
@@ -206,7 +210,7 @@ def scan_mlst_calls(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mac_roman(text: pd.Series) -> pd.Series:
     """UTF-8 text that was once decoded as Mac Roman (``Gefl√ºgel``), put right; other text stays."""
 
