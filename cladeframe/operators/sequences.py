@@ -143,10 +143,8 @@ def sliding_window_divergence(placed: DataFrame, totals: DataFrame, window: int
     hi = F.floor((at - window) / step) + 1
     lo = F.greatest(F.floor((at - 2 * window) / step) + 2, F.lit(1))
     first = F.when((at < window) | (F.col("last_no") == 0), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    later = F.when(
-        (at >= window) & (F.col("last_no") > 0),
-        F.sequence(F.least(lo, F.col("last_no")), F.least(hi, F.col("last_no"))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    lo, hi = F.least(lo, F.col("last_no")), F.least(hi, F.col("last_no"))
+    later = F.when((at >= window) & (F.col("last_no") > 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
     hits = _bins(placed, g).join(sized, PAIR).select(*PAIR, F.explode(F.concat(first, later)).alias("window_no"), "n")
     counts = hits.groupBy(*PAIR, "window_no").agg(F.sum("n").alias("n"))
     start = window_start(F.col("window_no"), window, step)

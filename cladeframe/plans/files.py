@@ -202,7 +202,9 @@ def _(t: Tables):
         F.lit('<BioSample accession="SAMN'), F.col("c_custkey").cast("string"), F.lit('"><Links>'), link("pubmed", F.lit("PRJX")), link("bioproject", F.concat(F.lit("old"), n)),
         F.when(F.col("c_nationkey") % 3 != 0, F.concat(link("bioproject", F.concat(F.lit("PRJNA"), n)), link("bioproject", F.lit("PRJ2")))).otherwise(""), F.lit("</Links></BioSample>"),
     )
-    return rd.scan_biosample_xml(t.spark, _lines(t.customer, _new(t, "xml"), xml))
+    rows = t.customer.select(F.col("c_mktsegment").alias("part"), F.lit(1).alias("o"), xml.alias("v"))
+    ends = rows.select("part").distinct().select("part", F.inline(F.array(F.struct(F.lit(0).alias("o"), F.lit("<BioSampleSet>").alias("v")), F.struct(F.lit(2).alias("o"), F.lit("</BioSampleSet>").alias("v")))))
+    return rd.scan_biosample_xml(t.spark, _lines(rows.unionByName(ends), _new(t, "xml"), F.col("v"), "part", "o"))
 
 
 @query("scan_partitioned_results", "SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem")

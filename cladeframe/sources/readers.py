@@ -285,7 +285,7 @@ def scan_tree_forest(spark: SparkSession, path: str, suffix: str = r"\.(nwk|txt|
 
     A Newick text cannot be split, so a file is the unit of work and files are the parallelism.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("value"), _group_or_name(F.col("_metadata.file_path"), "tree", suffix).alias("tree_id")
     ).filter(F.trim("value") != "")
 
