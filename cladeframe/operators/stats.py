@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cladeframe.functions.cooccur import cooccurrence_counts
 from cladeframe.functions.distributions import fisher_p, normal_upper_tail
 from cladeframe.functions.lineage import cut
-from cladeframe.functions.scan import double_bucket, prefix_scan
+from cladeframe.functions.scan import double_bucket, exact_percentiles, prefix_scan, range_bucket
 
 
 def fisher_exact_by_feature(cells: DataFrame, phenotype: DataFrame) -> DataFrame:
@@ -45,8 +45,10 @@ def bh_fdr(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> DataFrame:
     """Benjamini–Hochberg q-values.
 
     Tied p-values share a q, so ranks run over distinct values with counts; both
-    passes use bucketed scans, not one global sort.
+    passes use bucketed scans, not one global sort. The tests are written out once, since
+    they are read for the values, the number and the result.
     """
+    df = cut(df)
     distinct = df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     ranked = prefix_scan(distinct, [], ["p"], double_bucket("p"), {"rank": ("sum", "n")}, inclusive=True)
@@ -89,10 +91,7 @@ def _two_group_histogram(df: DataFrame, value: str, group: str, first: str, seco
 
 
 def _value_bucket(hist: DataFrame) -> Column:
-    """256 equal slices of the value range: enough to spread a scan over distinct values."""
-    span = hist.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    width = span["hi"] - span["lo"]
-    return F.coalesce(F.floor(F.try_divide(F.col("v") - span["lo"], width) * 255), F.lit(0)).cast("long")
+    return range_bucket(hist, F.col("v"))
 
 
 def rank_sum_test(
@@ -171,13 +170,9 @@ def ks_two_sample(df: DataFrame, value: str, group: str, first: str, second: str
 def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     """min, quartiles, mean and max per group."""
     v = F.col(value).cast("double")
-    return df.groupBy(group).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.percentile(v, [0.25, 0.5, 0.75]).alias("q"),
-        F.avg(v).alias("mean"), F.max(v).alias("max"),
-    ).select(
-        group, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean",
-        F.col("q")[2].alias("q3"), "max",
-    )
+    plain = df.groupBy(group).agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    quartiles = exact_percentiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return plain.join(quartiles, group).select(group, "n", "min", "q1", "median", "mean", "q3", "max")
 
 
 def phi_cooccurrence(cells: DataFrame, roster: DataFrame, min_genomes: int = 5, max_features: int = 80) -> DataFrame:
@@ -241,12 +236,13 @@ def pcoa(distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "s
 
     The centred matrix is built by aggregation. Its eigenvalues come from the SVD of a
     distributed row matrix: an axis counts as positive when its left and right vectors
-    agree in sign. Each sign is fixed so that the largest entry is positive.
+    agree in sign. The SVD works on squares, so eigenvalues below 1e-7 of the largest are
+    noise. Each sign is fixed so that the largest entry is positive.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    half = distances.select(F.col(a).alias("i"), F.col(b).alias("j"), (F.col("distance") ** 2).alias("d2"))
+    half = cut(distances.select(F.col(a).alias("i"), F.col(b).alias("j"), (F.col("distance") ** 2).alias("d2")))
     full = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
     ids = half.select("i").union(half.select("j")).distinct()
     ids = cut(prefix_scan(
@@ -284,7 +280,7 @@ def pcoa(distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "s
     s = spark.createDataFrame([(i, float(x)) for i, x in enumerate(sigma)], "axis int, eigenvalue double")
     sign = both.groupBy("axis").agg(
         F.sum(F.col("u") * F.col("v")).alias("agree"), F.max_by("u", F.abs("u")).alias("lead")
-    ).join(s, "axis").filter((F.col("agree") > 0) & (F.col("eigenvalue") > max(1e-10, 1e-10 * top)))
+    ).join(s, "axis").filter((F.col("agree") > 0) & (F.col("eigenvalue") > max(1e-10, 1e-7 * top)))
     total = sign.agg(F.sum("eigenvalue")).scalar()
     axes = sign.orderBy(F.desc("eigenvalue")).limit(n_axes)
     axes = axes.withColumn("no", F.row_number().over(W.orderBy(F.desc("eigenvalue")))).withColumn(
@@ -356,7 +352,7 @@ def permanova(
             total += d2.sum()
         yield pd.DataFrame({"within": [within.tolist()], "total": [total]})
 
-    sums = pairs.select("la", "lb", "d2").mapInPandas(partial, "within array<double>, total double")
+    sums = cut(pairs.select("la", "lb", "d2").mapInPandas(partial, "within array<double>, total double"))
     total = sums.agg(F.sum("total")).scalar()
     per = sums.select(F.posexplode("within").alias("r", "w")).groupBy("r").agg(F.sum("w").alias("w"))
     n_groups = len(levels)
@@ -395,10 +391,10 @@ def kernel_density(df: DataFrame, value: str, source: str, points: int = 512) ->
     """
     v = F.col(value).cast("double")
     span = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
-    spread = df.groupBy(source).agg(
-        F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.percentile(v, [0.25, 0.75]).alias("q")
+    spread = df.groupBy(source).agg(F.stddev_samp(v).alias("sd")).join(
+        exact_percentiles(df, [source], value, {"q1": 0.25, "q3": 0.75}), source
     )
-    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
+    iqr = (F.col("q3") - F.col("q1")) / 1.34
     narrow = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
     bw = spread.select(source, "n", (0.9 * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     step = (span["hi"] - span["lo"]) / (points - 1)

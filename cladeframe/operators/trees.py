@@ -6,7 +6,7 @@ table, built by doubling joins in about log2(depth) rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.scan import exact_percentiles, prefix_scan
@@ -284,19 +284,20 @@ def midpoint_root(edges: DataFrame, closure: DataFrame, tips: DataFrame, new_nod
 
 
 def tip_order(
-    edges: DataFrame, closure: DataFrame, tips: DataFrame, ladderize: bool = False, bucket: Column | None = None
+    edges: DataFrame, closure: DataFrame, tips: DataFrame, ladderize: bool = False, prefix: int = 15
 ) -> DataFrame:
     """0-based drawing position of every tip: (tree_id, tip, position).
 
     A tip stands behind all tips of earlier siblings along its path, so positions are
     sums over ancestors of prefix counts among siblings; no overall sort is needed.
-    Siblings go by node id, or with ``ladderize`` by clade size first. ``bucket`` must
-    grow with the sibling order.
+    Siblings go by node id, or with ``ladderize`` by clade size first. The first ``prefix``
+    letters of the id cut a node with very many children into ordered buckets.
     """
     sizes = clade_sizes(closure, tips)
     sib = edges.select("tree_id", "node", "parent").join(sizes, ["tree_id", "node"])
     by = ["n_tips", "node"] if ladderize else ["node"]
-    grow = bucket if bucket is not None else (F.col("n_tips") if ladderize else F.lit(0))
+    head = F.substring("node", 1, prefix)
+    grow = F.struct("n_tips", head.alias("head")) if ladderize else head
     before = prefix_scan(sib, ["tree_id", "parent"], by, grow, {"before": ("sum", "n_tips")}).select(
         "tree_id", F.col("node").alias("anc"), "before"
     )

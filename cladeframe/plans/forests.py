@@ -122,11 +122,6 @@ def _(t: Tables):
     return tr.midpoint_root(*_parts(t.tree))
 
 
-def _order(edges: DataFrame):
-    # names end in digits: all but the last three make an order-preserving bucket
-    return tr.tip_order(*_parts(edges), bucket=F.expr("substring(node, 1, greatest(length(node) - 3, 1))"))
-
-
 @query("tip_order", """SELECT 't' AS tree_id, c_name AS tip, row_number() OVER (ORDER BY 'r' || n_regionkey, 'n' || c_nationkey, c_name) - 1 AS position FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def _(t: Tables):
     edges, closure, tips = _parts(t.tree)
