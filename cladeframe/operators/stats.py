@@ -207,8 +207,8 @@ def jaccard_distance(cells: DataFrame, roster: DataFrame) -> DataFrame:
     Two empty profiles are at distance 0. The result is the square table itself, so
     its size is that of the answer; counting it goes through blocked products.
     """
-    sizes = roster.agg(F.count_distinct("sample").alias("n")).first()
-    n_samples = sizes["n"]
+    n_samples = roster.agg(F.count_distinct("sample")).first()[0]
+    cells = cut(cells)
     counts = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     variable = counts.filter(F.col("n") < n_samples)
     used = cells.join(variable.select("feature"), "feature", "left_semi")
@@ -231,13 +231,17 @@ def jaccard_distance(cells: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
-def pcoa(distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "sample_b") -> DataFrame:
+def pcoa(
+    distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "sample_b", max_samples: int = 15000
+) -> DataFrame:
     """Principal coordinates (sample, axis, coordinate, eigenvalue, explained) of a distance table.
 
     The centred matrix is built by aggregation. Its eigenvalues come from the SVD of a
     distributed row matrix: an axis counts as positive when its left and right vectors
     agree in sign. The SVD works on squares, so eigenvalues below 1e-7 of the largest are
-    noise. Each sign is fixed so that the largest entry is positive.
+    noise. Each sign is fixed so that the largest entry is positive. All eigenvalues are
+    needed for the explained share and the decomposition returns its right vectors to the
+    driver, so a roster beyond ``max_samples`` raises; group identical profiles first.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
@@ -249,6 +253,8 @@ def pcoa(distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "s
         ids, [], ["i"], F.lit(0), {"k": ("sum", F.lit(1).cast("long"))}
     ))
     n = ids.count()
+    if n > max_samples:
+        raise ValueError(f"{n} samples; group identical profiles first or raise max_samples")
     row_mean = full.groupBy("i").agg((F.sum("d2") / n).alias("rm"))
     grand = full.agg(F.sum("d2") / (n * n)).scalar()
     diag = ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d2"))

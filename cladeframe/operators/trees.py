@@ -325,6 +325,7 @@ def tangle_crossings(first: DataFrame, second: DataFrame, on: str = "tip", max_p
     n·log n rows in bucketed scans instead of n² pairs.
     """
     both = first.select(on, F.col("position").alias("y1")).join(second.select(on, F.col("position").alias("y2")), on)
+    both = cut(both)
     top = max_position if max_position is not None else (both.agg(F.max("y2")).first()[0] or 0)
     levels = max(1, int(top).bit_length())
     spread = both.withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(

@@ -32,7 +32,8 @@ PART_TEXT = BASES + """ SELECT strain1, strain2, block_no, min(i) AS start, coun
 
 @query("split_by_removed_intervals", "WITH " + PART_TEXT)
 def _(t: Tables):
-    return sq.split_by_removed_intervals(t.blocks, sq.gap_runs(t.blocks))
+    blocks = cut(t.blocks)
+    return sq.split_by_removed_intervals(blocks, sq.gap_runs(blocks))
 
 
 @query("split_at_gaps", "WITH " + PART_TEXT)
@@ -46,7 +47,7 @@ def _(t: Tables):
 
 
 def _windows(t: Tables) -> DataFrame:
-    parts = _parts(t)
+    parts = cut(_parts(t))
     return sq.sliding_window_divergence(sq.place_parts(parts), sq.pair_divergence(parts))
 
 
@@ -68,13 +69,13 @@ w AS (SELECT *, unnest(generate_series(0, CAST(aligned - 1 AS BIGINT))) AS w FRO
 o AS (SELECT w.strain1, w.strain2, w.w, d, cum FROM w ASOF LEFT JOIN hc ON w.strain1 = hc.strain1 AND w.strain2 = hc.strain2 AND w.w >= hc.run)
 SELECT strain1, strain2, round(CASE WHEN isnan(sum(power(1 - coalesce(cum, 0) - exp(-d * w) * (d * w + 1), 2))) THEN NULL ELSE sum(power(1 - coalesce(cum, 0) - exp(-d * w) * (d * w + 1), 2)) END, 6) AS ssd FROM o GROUP BY strain1, strain2""")
 def _(t: Tables):
-    parts = _parts(t)
+    parts = cut(_parts(t))
     return rc.run_spectrum_ssd(sq.identical_run_lengths(parts), sq.pair_divergence(parts)).withColumn("ssd", F.round("ssd", 6))
 
 
 @query("ssd_bootstrap_ci")
 def _(t: Tables):
-    parts = _parts(t)
+    parts = cut(_parts(t))
     return rc.ssd_bootstrap_ci(sq.identical_run_lengths(parts), sq.pair_divergence(parts))
 
 

@@ -106,14 +106,14 @@ def _(t: Tables):
     return tr.clade_label_consensus(closure, tips, labels)
 
 
-@query("prune_tree", f"""WITH {T_ALL}, k AS (SELECT c_name AS node FROM customer WHERE c_nationkey % 5 = 1 OR c_acctbal > 9800),
+@query("prune_tree", f"""WITH {T_ALL}, k AS (SELECT c_name AS node FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9800),
 f AS (SELECT anc AS node FROM closure WHERE branch IS NOT NULL AND descn IN (SELECT node FROM k) GROUP BY anc HAVING count(DISTINCT branch) >= 2),
 nd AS (SELECT node FROM f UNION SELECT node FROM k),
 up AS (SELECT descn, arg_min(anc, hops) AS parent, arg_min(dist, hops) AS length FROM closure WHERE hops > 0 AND anc IN (SELECT node FROM f) GROUP BY descn)
 SELECT 't' AS tree_id, nd.node, up.parent, CAST(up.length AS BIGINT) AS length, e.name FROM nd LEFT JOIN up ON descn = nd.node JOIN edges e ON e.node = nd.node""")
 def _(t: Tables):
     edges, closure, _ = _parts(t.tree)
-    keep = t.customer.filter("c_nationkey % 5 = 1 OR c_acctbal > 9800").select(F.lit("t").alias("tree_id"), F.col("c_name").alias("node"))
+    keep = t.customer.filter("c_mktsegment = 'BUILDING' OR c_acctbal > 9800").select(F.lit("t").alias("tree_id"), F.col("c_name").alias("node"))
     return tr.prune_tree(edges, closure, keep)
 
 

@@ -170,13 +170,13 @@ def _(t: Tables):
     return mb.group_sizes(lists, mb.priority_group_assignment(lists, overwrite=True))
 
 
-CALLS = """calls AS (SELECT c_custkey AS genome, CASE WHEN c_acctbal > 5000 THEN 'pos' WHEN c_acctbal > 2000 THEN 'partial' ELSE 'neg' END AS status FROM customer WHERE c_nationkey <> 3),
+CALLS = """calls AS (SELECT c_custkey AS genome, CASE WHEN c_acctbal > 5000 THEN 'pos' WHEN c_acctbal > 2000 THEN 'partial' ELSE 'neg' END AS status FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 old AS (SELECT DISTINCT o_custkey AS genome FROM orders WHERE o_totalprice > 450000)"""
 
 
 def _calls(t: Tables):
     b = F.col("c_acctbal")
-    return t.customer.filter("c_nationkey <> 3").select(
+    return t.customer.filter("c_mktsegment <> 'MACHINERY'").select(
         F.col("c_custkey").alias("genome"), F.when(b > 5000, "pos").when(b > 2000, "partial").otherwise("neg").alias("status")
     )
 
