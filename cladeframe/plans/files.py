@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.lineage import scratch_path
 from cladeframe.operators import clusters as cl, trees as tr
-from cladeframe.plans.forests import T_NATION, _pruned, _strains, PRUNED
+from cladeframe.plans.forests import PRUNED, T_NATION, _parts, _pruned, _strains
 from cladeframe.plans.registry import query
-from cladeframe.plans.tables import GENES, TREE, Tables
+from cladeframe.plans.tables import Tables
 from cladeframe.sources import readers as rd, writers as wr
 from cladeframe.streaming.ingest import incremental_ingest, pending_inputs
 
@@ -228,8 +228,7 @@ d AS (SELECT x.descn AS tip, y.descn AS other, min(x.dist + y.dist) AS d FROM a
 SELECT tip, CAST(max(d) FILTER (WHERE other = 'n0') AS DOUBLE) AS n0, CAST(max(d) FILTER (WHERE other = 'n13') AS DOUBLE) AS n13, count(*) AS n_columns FROM d GROUP BY tip""")
 def _(t: Tables):
     path = _new(t, "dist")
-    edges = t.nation_tree
-    closure, tips = tr.tree_closure(edges), tr.tree_tips(edges)
+    edges, closure, tips = _parts(t.nation_tree)
     d = tr.tree_distances(edges, closure, tips).select("tip_a", "tip_b", F.col("patristic").cast("double").alias("distance"))
     wr.write_distance_matrix(d, tips.select(F.col("node").alias("tip")), path)
     wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)

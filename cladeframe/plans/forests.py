@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cladeframe.functions.lineage import cut
 from cladeframe.operators import clusters as cl, recombination as rc, trees as tr
 from cladeframe.plans.registry import query
 from cladeframe.plans.tables import CLOSURE, KEEP_ALL, NATION_TREE, TREE, Tables
@@ -17,6 +18,7 @@ def _r(name: str, digits: int = 6):
 
 
 def _parts(edges: DataFrame):
+    edges = cut(edges)
     return edges, tr.tree_closure(edges), tr.tree_tips(edges)
 
 
@@ -64,7 +66,7 @@ ratio AS (SELECT e.node, n AS n_tips, sister_dist, inside_dist, sister_div, insi
 
 def _ratio(t: Tables):
     edges, closure, tips = _parts(t.nation_tree)
-    pairs = rc.classify_pairs(t.pair_stats, keep_all=True).select("strain1", "strain2", "div")
+    pairs = cut(rc.classify_pairs(t.pair_stats, keep_all=True).select("strain1", "strain2", "div"))
     tip_pairs = pairs.select(F.lit("t").alias("tree_id"), F.col("strain1").alias("tip_a"), F.col("strain2").alias("tip_b"), "div")
     return tr.clade_vs_sister_ratio(edges, closure, tips, tip_pairs), closure, tips, pairs
 
