@@ -23,7 +23,7 @@ def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | str,
     specs: dict[str, tuple[str, str | Column]],
     inclusive: bool = False,
     descending: bool = False,
@@ -31,27 +31,30 @@ def prefix_scan(
     """Add running sum / max / min columns in ``order`` within ``keys``.
 
     ``bucket`` must be non-null and grow with ``order``; ``specs`` maps a new
-    column to (kind, input). Exclusive sums start at 0, exclusive max / min at null.
+    column to (kind, input). Exclusive sums start at 0, exclusive max / min at null. A
+    bucket given by column name keeps its placement, so a second scan by it needs no
+    further exchange.
     """
     keys = list(keys)
-    src = df.withColumn("__b", bucket)
+    slot = bucket if isinstance(bucket, str) else "__b"
+    src = df if isinstance(bucket, str) else df.withColumn(slot, bucket)
     direction = (lambda c: F.col(c).desc()) if descending else F.col
     stop = W.currentRow if inclusive else -1
     inner = (
-        W.partitionBy(*keys, "__b")
+        W.partitionBy(*keys, slot)
         .orderBy(*[direction(c) for c in order])
         .rowsBetween(W.unboundedPreceding, stop)
     )
     cols = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in specs.items()}
     part = src.select("*", *[_AGG[k](c).over(inner).alias(f"__in_{n}") for n, (k, c) in cols.items()])
-    totals = src.groupBy(*keys, "__b").agg(*[_AGG[k](c).alias(f"__t_{n}") for n, (k, c) in cols.items()])
+    totals = src.groupBy(*keys, slot).agg(*[_AGG[k](c).alias(f"__t_{n}") for n, (k, c) in cols.items()])
     outer = (
-        W.partitionBy(*keys).orderBy(direction("__b")).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*keys).orderBy(direction(slot)).rowsBetween(W.unboundedPreceding, -1)
     )
     carry = totals.select(
-        *keys, "__b", *[_AGG[k](F.col(f"__t_{n}")).over(outer).alias(f"__c_{n}") for n, (k, _) in cols.items()]
+        *keys, slot, *[_AGG[k](F.col(f"__t_{n}")).over(outer).alias(f"__c_{n}") for n, (k, _) in cols.items()]
     )
-    joined = part.join(carry, [*keys, "__b"], "left")
+    joined = part.join(carry, [*keys, slot], "left")
     return joined.select(
         *df.columns,
         *[_COMBINE[k](F.col(f"__in_{n}"), F.col(f"__c_{n}")).alias(n) for n, (k, _) in cols.items()],

@@ -18,7 +18,9 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], bucket_width: int = 1_00
     """
     keys = list(keys)
     longest = df.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    bucket = F.floor(F.col("start") / bucket_width)
+    # one bucket column for both scans: the second finds the rows already placed by it
+    longest = longest.withColumn("__slot", F.floor(F.col("start") / bucket_width))
+    bucket = "__slot"
     seen = prefix_scan(longest, keys, ["start"], bucket, {"reach": ("max", "end")})
     opened = seen.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))
     labelled = prefix_scan(opened, keys, ["start"], bucket, {"island": ("sum", "opens")}, inclusive=True)

@@ -51,9 +51,10 @@ def bh_fdr(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> DataFrame:
     df = cut(df)
     distinct = df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    ranked = prefix_scan(distinct, [], ["p"], double_bucket("p"), {"rank": ("sum", "n")}, inclusive=True)
+    placed = distinct.withColumn("slot", double_bucket("p"))
+    ranked = prefix_scan(placed, [], ["p"], "slot", {"rank": ("sum", "n")}, inclusive=True)
     raw = ranked.withColumn("raw", F.col("p") * total / F.col("rank"))
-    low = prefix_scan(raw, [], ["p"], double_bucket("p"), {"low": ("min", "raw")}, inclusive=True, descending=True)
+    low = prefix_scan(raw, [], ["p"], "slot", {"low": ("min", "raw")}, inclusive=True, descending=True)
     lookup = low.select(F.col("p").alias(p), F.least("low", F.lit(1.0)).alias(q))
     return df.join(lookup, p)
 
