@@ -47,9 +47,8 @@ class UnitEncoder(dict):
 
     def __missing__(self, unit: str) -> bytes:
         ids = np.array(self.ordinary(unit), "<u4").tobytes()
-        if len(self) >= self.remembered:
-            self.clear()
-        self[unit] = ids
+        if len(self) < self.remembered:
+            self[unit] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

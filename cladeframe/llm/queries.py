@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import mixing, packing, warc
+from cladeframe.llm import mixing, packing, quality, tokens, toxicity, warc
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": warc.op2,
         "op3_mixing": mixing.op3,
+        "op4_toxicity": toxicity.op4,
         "op5_packing": packing.op5,
+        "op6_quality": quality.op6,
+        "op7_token_counts": tokens.op7,
     }
 
 
