@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import forest, mixing, packing, quality, secrets, tokens, toxicity, warc
+from cladeframe.llm import forest, mixing, packing, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.op1,
         "op2_warc": warc.op2,
         "op3_mixing": mixing.op3,
         "op4_toxicity": toxicity.op4,
