@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import forest, mixing, packing, quality, secrets, simhash, tokens, toxicity, warc
+from cladeframe.llm import dedup, forest, mixing, packing, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5,
         "op6_quality": quality.op6,
         "op7_token_counts": tokens.op7,
+        "op8_near_dedup": dedup.op8,
         "op9_secrets": secrets.op9,
         "op10_nearest": forest.op10,
     }
