@@ -87,7 +87,7 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b), root being the smallest node of its component.
+    """(node, root) of every node of ``edges`` (a, b) but the roots, the smallest nodes of their components.
 
     Rounds of the small-star / large-star scheme: each node hands its smallest neighbour to the others, so
     paths shorten geometrically. A round is a grouping, never a gathered component, and its edges are written

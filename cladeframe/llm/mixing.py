@@ -71,7 +71,8 @@ class Mix:
             F.coalesce(F.max(F.when(~F.col("whole"), F.col("words"))), F.lit(0)).alias("trim"),
         )
         part = F.greatest(F.least(F.col("at") + F.col("len"), F.col("trim")) - F.col("at"), F.lit(0))
-        hits = self.pieces.join(used, ["src", "block"]).withColumn("got", F.col("len") * F.col("full") + part)
+        # The slots start from a range, whose planned size is far too small for a broadcast to be decided by it.
+        hits = self.pieces.join(used.hint("merge"), ["src", "block"]).withColumn("got", F.col("len") * F.col("full") + part)
         by_row = hits.groupBy("src", "start").agg(F.sum("got").alias("taken"))
         filled, empty = self.placed.filter("size > 0"), self.placed.filter("size = 0")
         rows = filled.join(by_row, ["src", "start"], "left").unionByName(empty.withColumn("taken", F.lit(0).cast("long")))
@@ -87,7 +88,7 @@ class Mix:
         whole = cutouts.groupBy("src", "block").agg(
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])).alias("w")
         )
-        return self.slots.join(whole, ["src", "block"]).join(self.sources, "src").select(
+        return self.slots.hint("merge").join(whole, ["src", "block"]).join(self.sources, "src").select(
             "shard", "position", "source", F.array_join(F.slice("w", F.lit(1), F.col("words").cast("int")), " ").alias("text")
         )
 
