@@ -229,7 +229,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 4) -> D
         else:
             mixed = finer_buckets(placed.join(spread.select("key"), "key").select("key", "rep", "label"), nodes)
             left, right = mixed.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").filter("a > b and la <> lb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = left.join(right, "key").filter("a > b and la <> lb").select("a", "b").distinct()
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             if turn < rounds:

@@ -95,61 +95,48 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
 def dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
     """Fixed sets as (how many, lengths) and what is left of the histogram.
 
-    For the largest piece j with room r, the largest piece k that fits dominates every set with j when it
-    fills r, when no two pieces fit into r, or when k is no shorter than any two pieces that fit into r while
-    three cannot fit; j alone is fixed when nothing fits. A pair of pieces is fixed when it fills r and no
-    three pieces fit: then every set with j has its other pieces matched by the two.
+    Pieces j are tried from the largest down, their partners being all pieces not yet fixed. With room r beside
+    j, the largest piece k that fits dominates every set with j when it fills r, when no two pieces fit into r,
+    or when no three fit and k is no shorter than any two that fit: each such set can give its other pieces
+    for k. j alone is fixed when nothing fits. Equal pieces are fixed together.
     """
-    left, fixed = dict(counts), []
-    sizes = sorted(left)
-    kept: dict[int, int] = {}
-
-    def take(lengths: list[int]) -> None:
-        need = {w: lengths.count(w) for w in lengths}
-        n = min(left[w] // c for w, c in need.items())
-        fixed.append((n, lengths))
-        for w, c in need.items():
-            left[w] -= n * c
-            if not left[w]:
-                del left[w], sizes[bisect_left(sizes, w)]
-
-    while sizes:
-        j = sizes[-1]
+    left, fixed, sizes = dict(counts), [], sorted(counts)
+
+    def partner(j: int) -> int | None:
+        """The dominating partner of j, 0 where j stays alone, None where nothing is proven."""
         room = capacity - j
-        at = bisect_left(sizes, room + 1) - 1
-        if at >= 0 and sizes[at] == j and left[j] < 2:
-            at -= 1
-        if at < 0:
-            take([j])
-            continue
-        k, low = sizes[at], sizes[0]
-        second = low if left[low] - (low == j) >= 2 else next((w for w in sizes[1:] if w != j or left[w] > 1), None)
-        two = low + second if second is not None else capacity + 1
-        if k == room or two > room:
-            take([j, k])
-            continue
-        if two + low > room:  # no three beside j
-            best, pair = 0, None
-            high = at
-            for i, a in enumerate(sizes[:at + 1]):
-                while high >= 0 and sizes[high] + a > room:
-                    high -= 1
-                if high < i:
-                    break
-                b = sizes[high]
-                need = {a: 0, b: 0, j: 0}
-                for w in (a, b, j):
-                    need[w] += 1
-                if all(left[w] >= c for w, c in need.items()) and a + b > best:
-                    best, pair = a + b, (a, b)
-                elif a == b and left[a] < 2 and high > i and sizes[high - 1] + a > best:
-                    best, pair = sizes[high - 1] + a, None
-            if best <= k:
-                take([j, k])
-                continue
-        kept[j] = left.pop(j)
-        sizes.pop()
-    return fixed, kept
+        fits = [w for w in sizes[:bisect_left(sizes, room + 1)] if left[w] > (w == j)]
+        if not fits:
+            return 0
+        k, low = fits[-1], fits[0]
+        spare = lambda w: left[w] - (w == j)
+        second = low if spare(low) > 1 else fits[1] if len(fits) > 1 else capacity
+        if k == room or low + second > room:
+            return k
+        third = low if spare(low) > 2 else second if low != second and spare(second) > 1 else next((w for w in fits if w > second), capacity)
+        if low + second + third <= room:
+            return None
+        best, high = 0, len(fits) - 1
+        for i, a in enumerate(fits):
+            while high > i and fits[high] + a > room:
+                high -= 1
+            if high > i or high == i and spare(a) > 1 and 2 * a <= room:
+                best = max(best, a + fits[high])
+            if high <= i:
+                break
+        return k if best <= k else None
+
+    for j in sorted(counts, reverse=True):
+        while left.get(j) and (k := partner(j)) is not None:
+            lengths = [j, k] if k else [j]
+            n = left[j] // 2 if k == j else min(left[w] for w in lengths)
+            fixed.append((n, lengths))
+            for w in lengths:
+                left[w] -= n
+            for w in set(lengths):
+                if not left[w]:
+                    del left[w], sizes[bisect_left(sizes, w)]
+    return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int, first: int = 0) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
