@@ -193,7 +193,7 @@ def finer_buckets(mixed: DataFrame, nodes: DataFrame, ways: int = 8) -> DataFram
     return cut(cuts.join(several, "key"))
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
     """(doc_id, class_id) of every row: the smallest doc_id among the documents it is linked with, itself included.
 
     Links join documents whose weighted sets of five-word shingles have a Jaccard similarity of
@@ -225,7 +225,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 4) -> D
             met = placed.join(spread, "key").filter("label <> leader_label").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
             pairs = met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b"), "rep", "n")
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("rep").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "a", "b")), False), 1, 4).alias("p"))
+            pairs = pairs.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()  # of the leaders of its 32 buckets at most
         else:
             mixed = finer_buckets(placed.join(spread.select("key"), "key").select("key", "rep", "label"), nodes)
             left, right = mixed.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
