@@ -339,7 +339,7 @@ def permanova(
     ).select("sample", "r", by_rank.alias("code"))
     observed = g.select("sample", F.lit(0).alias("r"), code.alias("code"))
     labels = shuffled.unionByName(observed).groupBy("sample").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "code"))), lambda s: s["code"].cast("tinyint")).alias("labels")
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "code"))), lambda s: s["code"].cast("int")).alias("labels")
     )
     d = distances.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("distance") ** 2).alias("d2"))
     pairs = d.join(labels.select(F.col("sample").alias("a"), F.col("labels").alias("la")), "a").join(

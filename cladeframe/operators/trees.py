@@ -6,7 +6,7 @@ table, built by doubling joins in about log2(depth) rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.scan import exact_percentiles, prefix_scan
@@ -114,13 +114,19 @@ def pair_mrca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _ratio(outside: Column, inside: Column) -> Column:
+    """Outside against inside: infinite where only the inside is 0, null where both are."""
+    return F.when((inside == 0) & (outside > 0), F.lit(float("inf"))).otherwise(F.try_divide(outside, inside))
+
+
 def clade_vs_sister_ratio(edges: DataFrame, closure: DataFrame, tips: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per inner non-root node: mean distance and mean divergence to the sister against inside.
 
     ``pairs`` (tree_id, tip_a, tip_b, div) are the pair statistics. Mean tree distances
     need no tip pairs: inside a clade an edge with k of n tips below it is crossed by
     k·(n−k) pairs, and distances to the sister are sums of mean depths. A side without
-    pairs gives null.
+    pairs gives null, and so does an inner node with one tip; a clade of mean 0 inside is infinitely far from a
+    sister at any distance.
     """
     members = clade_members(closure, tips)
     clade = members.groupBy("tree_id", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").cast("double").alias("depth_sum"))
@@ -130,7 +136,7 @@ def clade_vs_sister_ratio(edges: DataFrame, closure: DataFrame, tips: DataFrame,
         closure.filter("hops > 0").join(below, ["tree_id", "desc"]).join(lengths, ["tree_id", "desc"])
         .join(clade.select("tree_id", F.col("node").alias("anc"), "n"), ["tree_id", "anc"])
         .groupBy("tree_id", F.col("anc").alias("node")).agg(
-            (F.sum(F.col("len") * F.col("k") * (F.col("n") - F.col("k"))) / F.first(F.col("n") * (F.col("n") - 1) / 2)).alias("inside_dist")
+            F.try_divide(F.sum(F.col("len") * F.col("k") * (F.col("n") - F.col("k"))), F.first(F.col("n") * (F.col("n") - 1) / 2)).alias("inside_dist")
         )
     )
     inner = edges.filter(F.col("parent").isNotNull()).join(tips, ["tree_id", "node"], "left_anti").select("tree_id", "node", "parent", "length")
@@ -150,8 +156,8 @@ def clade_vs_sister_ratio(edges: DataFrame, closure: DataFrame, tips: DataFrame,
     across = sides.groupBy("tree_id", "node").agg(F.avg("div").alias("sister_div"))
     return shape.join(within, ["tree_id", "node"], "left").join(across, ["tree_id", "node"], "left").select(
         "tree_id", "node", F.col("n").alias("n_tips"), "sister_dist", "inside_dist",
-        F.try_divide("sister_dist", "inside_dist").alias("dist_ratio"), "sister_div", "inside_div",
-        F.try_divide("sister_div", "inside_div").alias("div_ratio"),
+        _ratio(F.col("sister_dist"), F.col("inside_dist")).alias("dist_ratio"), "sister_div", "inside_div",
+        _ratio(F.col("sister_div"), F.col("inside_div")).alias("div_ratio"),
     )
 
 
@@ -173,7 +179,7 @@ def sweep_calls(
     whole = sides.groupBy(F.col("cluster").alias("tree_id")).agg(
         F.min(F.when(F.col("side") == "outside", F.col("div"))).alias("out"),
         F.avg(F.when(F.col("side") == "inside", F.col("div"))).alias("inn"),
-    ).filter(F.try_divide(F.col("out"), F.col("inn")) >= min_ratio)
+    ).filter(_ratio(F.col("out"), F.col("inn")) >= min_ratio)
     frames = tips.join(whole.select("tree_id"), "tree_id", "left_semi").select(
         "tree_id", F.lit("cf").alias("sweep_id"), F.col("node").alias("tip")
     )
@@ -317,7 +323,7 @@ def tip_overlap(first: DataFrame, second: DataFrame, on: str = "tip") -> DataFra
     )
 
 
-def tangle_crossings(first: DataFrame, second: DataFrame, on: str = "tip", max_position: int | None = None) -> DataFrame:
+def tangle_crossings(first: DataFrame, second: DataFrame, on: str = "tip") -> DataFrame:
     """Line crossings between two tip orders, that is inversions of one against the other.
 
     Counted digit by digit: at each binary digit of the second position, tips sharing the
@@ -326,7 +332,7 @@ def tangle_crossings(first: DataFrame, second: DataFrame, on: str = "tip", max_p
     """
     both = first.select(on, F.col("position").alias("y1")).join(second.select(on, F.col("position").alias("y2")), on)
     both = cut(both)
-    top = max_position if max_position is not None else (both.agg(F.max("y2")).first()[0] or 0)
+    top = both.agg(F.max("y2")).first()[0] or 0
     levels = max(1, int(top).bit_length())
     spread = both.withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(
         "digit", "y1",

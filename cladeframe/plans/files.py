@@ -68,10 +68,9 @@ def _(t: Tables):
     seq = F.regexp_replace("text", r"\s", "")
     head = F.concat(F.lit("a score=1 label="), F.col("turn").cast("string"), F.lit(" mult=2\ns A.1 0 1 + 9 "))
     block = F.concat(head, seq, F.lit("\ns B.1 0 1 + 9 "), F.lower(seq), F.lit("\n\na mult=20\ns x\ns y\n"))
-    df = t.conversations.filter(F.length(seq) > 0).withColumn("pair", F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("_@_D"), F.col("conv_id").cast("string"), F.lit(".maf")))
+    df = t.conversations.filter(F.length(seq) > 0).withColumn("pair", F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("_@_D"), F.col("conv_id").cast("string")))
     path = _lines(df, _new(t, "maf"), block, "pair", "turn")
-    raw = rd._text(t.spark, path, "\n\n").withColumn("file", F.regexp_extract(F.url_decode("file"), r"pair=([^/]*)/", 1))
-    return rd._number(rd.parse_pair_blocks(raw), ["strain1", "strain2"], "block_no").select("strain1", "strain2", "block_no", "seq1", "seq2")
+    return rd.scan_pair_alignments(t.spark, path)
 
 
 @query("scan_multi_alignments", """SELECT CAST(conv_id AS VARCHAR) AS label, role AS isolate, 'k.' || turn AS contig, CASE WHEN turn % 2 = 0 THEN conv_id * 10 + turn ELSE conv_id * 10 + turn + length(q) END AS start,
@@ -99,16 +98,15 @@ def _(t: Tables):
 @query("scan_feature_hits", """SELECT 'n' || c_nationkey AS sample, c_name AS feature, c_mktsegment AS type, CASE WHEN c_nationkey % 2 = 0 THEN 'sub' END AS subtype, CAST(c_custkey AS VARCHAR) AS name FROM customer""")
 def _(t: Tables):
     path = _new(t, "hits")
-    df = t.customer.withColumn("folder", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".amrfinder.tsv")))
+    df = t.customer.withColumn("sample", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".amrfinder")))
     new, old = F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 2 == 1
     head = F.when(new, F.lit("Name\tElement symbol\tElement name\tType\tSubtype")).otherwise(F.lit("Gene symbol\tSequence name\tElement type"))
     body = F.when(new, _tabbed("x", F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment"), "sub")).otherwise(_tabbed(F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment")))
-    rows = df.select("folder", F.lit(1).alias("o"), body.alias("v")).unionByName(
-        df.select("folder", "c_nationkey").distinct().select("folder", F.lit(0).alias("o"), head.alias("v"))
+    rows = df.select("sample", F.lit(1).alias("o"), body.alias("v")).unionByName(
+        df.select("sample", "c_nationkey").distinct().select("sample", F.lit(0).alias("o"), head.alias("v"))
     )
-    _lines(rows, path, F.col("v"), "folder", "o")
-    text = rd._text(t.spark, path).select("value", F.regexp_extract(F.url_decode("file"), r"folder=([^/]*)/", 1).alias("file"))
-    return rd.feature_hits_from_lines(text).select("sample", "feature", "type", "subtype", "name")
+    _lines(rows, path, F.col("v"), "sample", "o")
+    return rd.scan_feature_hits(t.spark, path).select("sample", "feature", "type", "subtype", "name")
 
 
 @query("scan_plasmid_calls", """SELECT DISTINCT c_mktsegment AS genome, c_name AS contig, tool FROM customer JOIN (SELECT 'mob' AS tool UNION ALL SELECT 'genomad' UNION ALL SELECT 'platon') ON
@@ -182,14 +180,23 @@ def _(t: Tables):
     return rd.scan_sampling_metadata(t.spark, path).distinct()
 
 
-@query("scan_tree_forest", """SELECT 't' || c_nationkey || c_mktsegment AS tree_id, CASE WHEN k = 0 THEN c_name WHEN k = 1 THEN 'in' ELSE 'top' END AS node, CASE WHEN k = 0 THEN 'in' WHEN k = 1 THEN 'top' END AS parent,
-CASE WHEN k = 0 THEN abs(c_acctbal) WHEN k = 1 THEN 1.5 END AS length, CASE WHEN k = 0 THEN c_name END AS name FROM (
-SELECT c_nationkey, c_mktsegment, c_name, c_acctbal, 0 AS k FROM customer UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment, '', 0, 1 FROM customer UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment, '', 0, 2 FROM customer)""")
+@query("scan_tree_forest", """WITH c AS (SELECT 't' || c_nationkey || c_mktsegment AS tree, c_name, abs(c_acctbal) AS len FROM customer), f AS (SELECT DISTINCT tree FROM c)
+SELECT tree || '#1' AS tree_id, c_name AS node, 'node1' AS parent, len AS length, c_name AS name, NULL AS label, CAST(NULL AS DOUBLE) AS support FROM c
+UNION ALL SELECT tree || '#1', 'node1', 'node0', 1.5, NULL, '100', 100 FROM f UNION ALL SELECT tree || '#1', 'node0', NULL, NULL, NULL, '100', 100 FROM f
+UNION ALL SELECT tree || '#2', c_name, '_node0', len, c_name, NULL, NULL FROM c
+UNION ALL SELECT tree || '#2', 'node1', '_node0', 2, 'node1', NULL, NULL FROM f UNION ALL SELECT tree || '#2', '_node0', NULL, NULL, NULL, 'top', NULL FROM f""")
 def _(t: Tables):
     c = t.customer.withColumn("tree", F.concat(F.lit("t"), F.col("c_nationkey").cast("string"), "c_mktsegment"))
     last = c.groupBy("tree").agg(F.max("c_custkey").alias("last"))
-    tips = c.join(last, "tree").select("tree", F.col("c_custkey").alias("o"), F.concat(F.lit("'out_"), "c_name", F.lit("':"), F.abs("c_acctbal").cast("decimal(12,2)").cast("string"), F.when(F.col("c_custkey") < F.col("last"), ",").otherwise("")).alias("v"))
-    ends = c.select("tree").distinct().select("tree", F.inline(F.array(F.struct(F.lit(-1).alias("o"), F.lit("((").alias("v")), F.struct(F.lit(1 << 60).alias("o"), F.lit(")in:1.5)top;").alias("v")))))
+    tip = F.concat(F.lit("'out_"), "c_name", F.lit("':"), F.abs("c_acctbal").cast("decimal(12,2)").cast("string"))
+    parts = lambda *texts: F.array(*[F.struct(o.cast("long").alias("o"), v.alias("v")) for o, v in texts])
+    tips = c.join(last, "tree").select("tree", F.inline(parts(
+        (F.col("c_custkey"), F.concat(tip, F.when(F.col("c_custkey") < F.col("last"), ",").otherwise(""))),
+        (F.col("c_custkey") + F.lit(1 << 61), F.concat(F.lit(","), tip)),
+    )))
+    ends = c.select("tree").distinct().select("tree", F.inline(parts(
+        (F.lit(-1), F.lit("[x;(]((")), (F.lit(1 << 60), F.lit(")100:1.5)100;(out_node1[y]:2")), (F.lit(1 << 62), F.lit(")top;")),
+    )))
     path = _lines(tips.unionByName(ends), _new(t, "trees"), F.col("v"), "tree", "o")
     return rd.scan_tree_forest(t.spark, path)
 

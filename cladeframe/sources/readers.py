@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -51,7 +54,7 @@ def parse_pair_blocks(blocks: DataFrame) -> DataFrame:
     lines = F.split("value", "\n")
     at = F.array_position(F.transform(lines, lambda x: x.rlike(r"mult=2(\s|$)")), True).cast("int")
     last = lambda i: F.element_at(F.split(F.trim(F.try_element_at(lines, at + i)), r"\s+"), -1)
-    pair = F.split(_base_name(F.col("file"), r"\.maf"), "_@_")
+    pair = F.split(_group_or_name(F.col("file"), "pair", r"\.maf"), "_@_")
     return blocks.filter(at > 0).select(
         *[c for c in blocks.columns if c != "value"], pair[0].alias("strain1"), pair[1].alias("strain2"),
         last(1).alias("seq1"), last(2).alias("seq2"),
@@ -59,7 +62,7 @@ def parse_pair_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def scan_pair_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(strain1, strain2, block_no, seq1, seq2) from files named ``A_@_B.maf``."""
+    """(strain1, strain2, block_no, seq1, seq2) from files named ``A_@_B.maf`` or folders ``pair=A_@_B``."""
     parsed = parse_pair_blocks(_text(spark, path, "\n\n"))
     return _number(parsed, ["strain1", "strain2"], "block_no").select("strain1", "strain2", "block_no", "seq1", "seq2")
 
@@ -102,13 +105,44 @@ def scan_paf_hits(
     return marked if keep_all else marked.filter("passed").drop("passed")
 
 
-def _headed(rows: DataFrame, is_header: Column, sep: str = "\t") -> DataFrame:
-    """Attach each file's own header line: (file, cells) with ``cells`` a name → text map."""
-    head = rows.filter(is_header).select("file", F.split("value", sep).alias("names")).dropDuplicates(["file"])
-    body = rows.filter(~is_header & (F.col("value") != "")).select("file", F.split("value", sep, -1).alias("fields"))
+def _with_header(rows: DataFrame, is_header: Callable[[Column], Column]) -> DataFrame:
+    """(file, header, value): the lines below the first line of their file, which must satisfy ``is_header``.
+
+    Another first line raises with the name of the file; an empty file gives no rows. Lines of one file have
+    rising ids from its first byte on, so the header is the line of the smallest id in the block at byte 0.
+    """
+    plain = F.rtrim(F.regexp_replace("value", "^\ufeff", ""), F.lit("\r"))
+    lines = rows.select("file", "block_start", plain.alias("value")).withColumn("__id", F.monotonically_increasing_id()).filter(F.col("value") != "")
+    head = lines.filter(F.col("block_start") == 0).groupBy("file").agg(F.min_by("value", "__id").alias("header"))
+    wrong = F.raise_error(F.concat(F.lit("unknown header: "), F.col("file")))
+    head = head.select("file", F.when(is_header(F.col("header")), F.col("header")).otherwise(wrong).alias("header"))
+    return lines.select("file", "value").join(head, "file").filter(F.col("value") != F.col("header"))
+
+
+def _headed(rows: DataFrame, is_header: Callable[[Column], Column], sep: str = "\t", quoted: bool = False) -> DataFrame:
+    """Attach each file's own header line: (file, cells) with ``cells`` a name → text map.
+
+    With ``quoted`` a cell in double quotes may hold the separator.
+    """
+    def fields(line: Column) -> Column:
+        if not quoted:
+            return F.split(line, sep, -1)
+        cells = F.split(line, rf'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+        return F.transform(cells, lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
+    body = _with_header(rows, is_header).select("file", fields(F.col("header")).alias("names"), fields(F.col("value")).alias("fields"))
     width = F.size("names")
     padded = F.slice(F.concat("fields", F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
-    return body.join(head, "file").select("file", F.map_from_arrays("names", padded).alias("cells"))
+    return body.select("file", F.map_from_arrays("names", padded).alias("cells"))
+
+
+def _has_columns(*groups: Sequence[str]) -> Callable[[Column], Column]:
+    """Test of a tab-separated header: of every group at least one name is a column."""
+    def test(line: Column) -> Column:
+        names = F.split(line, "\t")
+        return reduce(lambda x, y: x & y, [F.arrays_overlap(names, F.array(*[F.lit(n) for n in g])) for g in groups])
+
+    return test
 
 
 # Newer names of table columns and their older spellings.
@@ -123,49 +157,39 @@ HIT_COLUMNS = {
 }
 
 
-def file_roster(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(sample, n_files) from file names alone, so an empty file still counts as a sample."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    name = clean_sample_id(F.regexp_replace(_base_name(F.col("path"), r"\.(txt|tsv)"), rf"{suffix}$", ""))
-    return files.groupBy(name.alias("sample")).agg(F.count(F.lit(1)).alias("n_files"))
+def _sample_name(path: Column, suffix: str) -> Column:
+    return clean_sample_id(F.regexp_replace(_group_or_name(path, "sample", r"\.(txt|tsv)"), rf"{suffix}$", ""))
 
 
-def feature_hits_from_lines(rows: DataFrame, suffix: str = r"\.amrfinder") -> DataFrame:
-    """Lines (file, value) of per-genome hit tables → one long table; each file brings its own header."""
-    tabbed = F.concat(F.lit("\t"), F.col("value"), F.lit("\t"))
-    is_header = tabbed.rlike("\t(Element|Gene) symbol\t") | tabbed.rlike("\tElement type\t")
-    cells = _headed(rows, is_header)
-    pick = lambda names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
-    known = F.map_contains_key("cells", "Type") | F.map_contains_key("cells", "Element type")
-    sample = clean_sample_id(F.regexp_replace(_base_name(F.col("file"), r"\.(txt|tsv)"), rf"{suffix}$", ""))
-    return cells.select(
-        sample.alias("sample"),
-        F.when(known, pick(HIT_COLUMNS["type"])).otherwise(F.raise_error(F.concat(F.lit("no type column: "), F.col("file")))).alias("type"),
-        *[pick(v).alias(k) for k, v in HIT_COLUMNS.items() if k != "type"],
-    )
+def file_roster(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(sample, n_files) from file names alone, so an empty file still counts as a sample.
+
+    The files of one ``sample=name`` folder count as one.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    unit = F.regexp_replace("path", r"(/sample=[^/]*/).*$", "$1")
+    return files.groupBy(_sample_name(F.col("path"), suffix).alias("sample")).agg(F.count_distinct(unit).alias("n_files"))
 
 
 def scan_feature_hits(spark: SparkSession, path: str, suffix: str = r"\.amrfinder") -> DataFrame:
     """One long hit table from many per-genome tables with old or new column names.
 
-    The sample comes from the file name. Two files of one sample, or a header without the
-    symbol and type columns, raise an error.
+    The sample comes from the file name or a ``sample=name`` folder; each file brings its own header. Two
+    files of one sample, or a first line without the symbol and type columns, raise an error.
     """
-    named = feature_hits_from_lines(_text(spark, path).select("value", "file"), suffix)
+    cells = _headed(_text(spark, path), _has_columns(HIT_COLUMNS["feature"], HIT_COLUMNS["type"]))
     repeated = file_roster(spark, path, suffix).filter("n_files > 1").agg(F.count(F.lit(1))).scalar()
-    return named.withColumn(
-        "sample", F.when(repeated > 0, F.raise_error(F.lit("two files of one sample"))).otherwise(F.col("sample"))
-    ).select("sample", *HIT_COLUMNS)
+    sample = F.when(repeated > 0, F.raise_error(F.lit("two files of one sample"))).otherwise(_sample_name(F.col("file"), suffix))
+    pick = lambda names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
+    return cells.select(sample.alias("sample"), *[pick(v).alias(k) for k, v in HIT_COLUMNS.items()])
 
 
 def scan_plasmid_calls(spark: SparkSession, mob: str, genomad: str, platon: str) -> DataFrame:
-    """(genome, contig, tool) of the plasmid contigs named by three callers."""
+    """(genome, contig, tool) of the plasmid contigs named by three callers; an unknown header raises."""
     token = lambda c: F.split(F.trim(c), r"\s+")[0]
 
     def table(path: str, column: str, header: str) -> DataFrame:
-        rows = _text(spark, path).select("value", "file")
-        tabbed = F.concat(F.lit("\t"), F.col("value"), F.lit("\t"))
-        return _headed(rows, tabbed.contains(f"\t{header}\t")).withColumn("contig", token(F.try_element_at("cells", F.lit(column))))
+        return _headed(_text(spark, path), _has_columns([column], [header])).withColumn("contig", token(F.try_element_at("cells", F.lit(column))))
 
     m = table(mob, "contig_id", "molecule_type").filter(F.lower(F.try_element_at("cells", F.lit("molecule_type"))) == "plasmid")
     g = table(genomad, "seq_name", "seq_name")
@@ -181,14 +205,13 @@ def scan_plasmid_calls(spark: SparkSession, mob: str, genomad: str, platon: str)
 def scan_presence_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Present cells (sample, feature) of wide 0/1 tables whose first header cell is ``Gene``.
 
-    A row is split against the header array, so the number of genomes does not widen the plan.
+    A row is split against the header array, so the number of genomes does not widen the plan. A file that
+    starts with another line raises.
     """
-    rows = _text(spark, path).select("value", "file")
-    is_header = F.col("value").startswith("Gene\t")
-    head = rows.filter(is_header).select("file", F.split("value", "\t").alias("names")).dropDuplicates(["file"])
-    body = rows.filter(~is_header & (F.col("value") != "")).select("file", F.split("value", "\t").alias("fields"))
+    lines = _with_header(_text(spark, path), lambda line: F.split(line, "\t")[0] == "Gene")
+    body = lines.select(F.split("header", "\t").alias("names"), F.split("value", "\t").alias("fields"))
     zipped = F.slice(F.arrays_zip("names", "fields"), F.lit(2), F.size("names"))
-    cells = body.join(head, "file").select(F.col("fields")[0].alias("feature"), F.inline(zipped))
+    cells = body.select(F.col("fields")[0].alias("feature"), F.inline(zipped))
     return cells.filter(F.coalesce(F.col("fields").try_cast("double"), F.lit(0.0)) > 0).select(
         clean_sample_id(F.col("names")).alias("sample"), "feature"
     )
@@ -212,78 +235,103 @@ def scan_mlst_calls(spark: SparkSession, path: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def repair_mac_roman(text: pd.Series) -> pd.Series:
-    """UTF-8 text that was once decoded as Mac Roman (``Gefl√ºgel``), put right; other text stays."""
-
-    def fix(s):
-        try:
-            return s.encode("mac_roman").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError, AttributeError):
-            return s
-
-    return text.map(fix)
+    """UTF-8 text that was once read as Mac Roman, put right; values without a full round trip stay."""
+    kinds = text.dropna().drop_duplicates()
+    repaired = kinds.str.encode("mac_roman", errors="ignore").str.decode("utf-8", errors="ignore")
+    back = repaired.str.encode("utf-8").str.decode("mac_roman")
+    return text.map(dict(zip(kinds, repaired.where(back == kinds, kinds))))
 
 
 def scan_sampling_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, facility, year) from ``;`` tables with a byte-order mark and DD.MM.YY[YY] dates."""
-    schema_free = spark.read.option("header", "true").option("sep", ";").option("recursiveFileLookup", "true").csv(path)
-    clean = schema_free.toDF(*[c.lstrip("﻿") for c in schema_free.columns])
-    date = F.trim("date")
-    y = F.regexp_extract(date, r"^\d{2}\.\d{2}\.(\d{2,4})$", 1)
-    year = F.when(F.length(y) == 2, y.try_cast("int") + 2000).otherwise(y.try_cast("int"))
-    return clean.select(
-        F.trim("Seq_number").alias("sample"), repair_mac_roman(F.trim("facility")).alias("facility"), year.alias("year")
-    )
+    """(sample, facility, year) from ``;`` tables with a byte-order mark and DD.MM.YY[YY] dates.
 
-
-def newick_edges(tree_id: str, text: str) -> Iterator[tuple]:
-    """Edge rows of one Newick text; unnamed inner nodes are numbered. Quotes protect a name."""
-    stack, node, count = [], None, 0
-    rows: dict[int, list] = {}
-    i, size = 0, len(text)
-    while i < size and text[i] != ";":
-        ch = text[i]
-        if ch == "(" or (node is None and ch not in " \n\t\r,)"):
-            node_id, count = count, count + 1
-            rows[node_id] = [stack[-1] if stack else None, None, None, ch != "("]
-            if ch == "(":
-                stack.append(node_id)
-                i += 1
-                continue
-            node = node_id
-        if ch in " \n\t\r":
-            i += 1
-        elif ch == ",":
-            node, i = None, i + 1
-        elif ch == ")":
-            node, i = stack.pop(), i + 1
-        else:
-            is_length = ch == ":"
-            i += is_length
-            if not is_length and ch == "'":
-                j = text.index("'", i + 1)
-                token, i = text[i + 1 : j], j + 1
-            else:
-                j = i
-                while j < size and text[j] not in ",():;":
-                    j += 1
-                token, i = text[i:j].strip(), j
-            rows[node][1 if is_length else 2] = token
-    label = {k: (r[2] if r[3] else r[2] or f"node{k}") for k, r in rows.items()}
-    for k, (parent, length, _, tip) in rows.items():
-        yield (tree_id, label[k], None if parent is None else label[parent],
-               float(length) if length else (None if parent is None else 0.0), label[k] if tip else None)
+    Files may order their columns differently; one without a ``Seq_number`` column raises.
+    """
+    cells = _headed(_text(spark, path), lambda line: line.rlike(r'(^|;)"?Seq_number"?(;|$)'), ";", quoted=True)
+    cell = lambda name: F.trim(F.try_element_at("cells", F.lit(name)))
+    y = F.regexp_extract(cell("date"), r"^\d{2}\.\d{2}\.(\d{2,4})$", 1)
+    year = F.when(F.length(y) == 2, y.try_cast("int") + 2000).otherwise(y.try_cast("int"))
+    filled = lambda c: F.when(c != "", c)
+    return cells.select(filled(cell("Seq_number")).alias("sample"), repair_mac_roman(filled(cell("facility"))).alias("facility"), year.alias("year"))
+
+
+#: Comment, quoted name, punctuation, plain name.
+_NEWICK = re.compile(r"""\[[^\]]*\]|'(?:[^']|'')*'|[(),:;]|[^\s(),:;\[][^(),:;\[]*""")
+
+
+def newick_trees(text: str) -> Iterator[list[list]]:
+    """Per tree of a Newick text its nodes, parents first: [parent number, length, text, is a tip]."""
+    nodes, stack, node, after_colon = [], [], None, False
+
+    def add(tip: bool) -> int:
+        nodes.append([stack[-1] if stack else None, None, None, tip])
+        return len(nodes) - 1
+
+    for match in _NEWICK.finditer(text):
+        token = match.group()
+        if token[0] == "[":
+            continue
+        if node is None and nodes and token in ",)" or node is None and token not in "(),;":
+            node = add(True)
+        if token == "(":
+            stack.append(add(False))
+        elif token == ",":
+            node = None
+        elif token == ")":
+            if not stack:
+                raise ValueError("closing bracket without an opening one")
+            node = stack.pop()
+        elif token == ";":
+            if stack:
+                raise ValueError("opening bracket without a closing one")
+            if nodes:
+                yield nodes
+            nodes, node = [], None
+        elif token != ":":
+            nodes[node][1 if after_colon else 2] = token[1:-1].replace("''", "'") if token[0] == "'" and len(token) > 1 else token.strip()
+        after_colon = token == ":"
+    if stack:
+        raise ValueError("opening bracket without a closing one")
+    if nodes:
+        yield nodes
+
+
+def newick_edges(tree_id: str, text: str, tip_prefix: str = "") -> Iterator[tuple]:
+    """Edge rows of the trees of one Newick text; several trees are told apart by ``#1``, ``#2``, … after the id.
+
+    A tip is known by its name, without ``tip_prefix``. Inner nodes, and tips whose name is missing or repeated,
+    are known by a running number behind a word that starts no tip name. The text of an inner node is its
+    label, and where it is a number its support too; it never names the node.
+    """
+    try:
+        trees = list(newick_trees(text))
+    except ValueError as fault:
+        raise ValueError(f"tree {tree_id}: {fault}") from fault
+    for number, nodes in enumerate(trees, 1):
+        own = tree_id if len(trees) == 1 else f"{tree_id}#{number}"
+        names = [(n[2] or "").removeprefix(tip_prefix) if n[3] else "" for n in nodes]
+        seen, word = Counter(names), "node"
+        while any(n.startswith(word) for n in seen):
+            word = f"_{word}"
+        ids = [n if n and seen[n] == 1 else f"{word}{k}" for k, n in enumerate(names)]
+        for k, (parent, length, label, tip) in enumerate(nodes):
+            label = None if tip else label or None
+            yield (own, ids[k], None if parent is None else ids[parent], float(length) if length else (None if parent is None else 0.0),
+                   names[k] or None, label, float(label) if label and re.fullmatch(r"\d+(\.\d*)?([eE][-+]?\d+)?", label) else None)
 
 
 EDGE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.StringType()), T.StructField("node", T.StringType()), T.StructField("parent", T.StringType()),
-    T.StructField("length", T.DoubleType()), T.StructField("name", T.StringType()),
+    T.StructField("length", T.DoubleType()), T.StructField("name", T.StringType()), T.StructField("label", T.StringType()),
+    T.StructField("support", T.DoubleType()),
 ])
 
 
 def scan_tree_forest(spark: SparkSession, path: str, suffix: str = r"\.(nwk|txt|tree)", tip_prefix: str = "out_") -> DataFrame:
-    """Edges of all trees of a folder, one tree per file; empty files are skipped.
+    """Edges of all trees of a folder, with labels and supports of inner nodes; empty files are skipped.
 
-    A Newick text cannot be split, so a file is the unit of work and files are the parallelism.
+    The tree id is the file name, with a number where a file holds several trees. A Newick text cannot be
+    split, so a file is the unit of work and files are the parallelism.
     """
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("value"), _group_or_name(F.col("_metadata.file_path"), "tree", suffix).alias("tree_id")
@@ -291,15 +339,10 @@ def scan_tree_forest(spark: SparkSession, path: str, suffix: str = r"\.(nwk|txt|
 
     def parse(batches):
         for pdf in batches:
-            rows = [r for t, v in zip(pdf["tree_id"], pdf["value"]) for r in newick_edges(t, v)]
+            rows = [r for t, v in zip(pdf["tree_id"], pdf["value"]) for r in newick_edges(t, v, tip_prefix)]
             yield pd.DataFrame(rows, columns=EDGE_SCHEMA.names)
 
-    edges = files.mapInPandas(parse, EDGE_SCHEMA)
-    bare = lambda c: F.regexp_replace(c, rf"^{tip_prefix}", "")
-    tip = F.col("name").isNotNull()
-    return edges.select(
-        "tree_id", F.when(tip, bare("node")).otherwise(F.col("node")).alias("node"), "parent", "length", bare("name").alias("name")
-    )
+    return files.mapInPandas(parse, EDGE_SCHEMA)
 
 
 def scan_biosample_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -315,5 +358,5 @@ def scan_biosample_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_partitioned_results(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> DataFrame:
-    """Per-chunk result tables as one; every file's header is dropped."""
-    return spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").schema(schema).csv(path)
+    """Per-chunk result tables as one; every file's header is dropped, and one that disagrees with the schema raises."""
+    return spark.read.option("header", "true").option("enforceSchema", "false").option("sep", sep).option("recursiveFileLookup", "true").schema(schema).csv(path)

@@ -59,7 +59,26 @@ def test_mixture_recovers_components():
     assert size == pytest.approx(3, abs=0.6) and fc == pytest.approx(70, abs=3)
 
 
-def test_newick():
+def test_newick_numbers_inner_nodes():
     rows = list(newick_edges("t", "((a:1,'b c':2)x:0.5,(d:3,e:4):1.5);"))
-    assert ("t", "b c", "x", 2.0, "b c") in rows and ("t", "d", "node4", 3.0, "d") in rows
-    assert [r for r in rows if r[2] is None] == [("t", "node0", None, None, None)]
+    assert ("t", "b c", "node1", 2.0, "b c", None, None) in rows and ("t", "d", "node4", 3.0, "d", None, None) in rows
+    assert ("t", "node1", "node0", 0.5, None, "x", None) in rows
+    assert [r for r in rows if r[2] is None] == [("t", "node0", None, None, None, None, None)]
+
+
+def test_newick_repeated_supports_stay_apart():
+    rows = list(newick_edges("t", "((a:1,b:1)100:1,(c:1,d:1)100:1);"))
+    assert {r[1]: r[2] for r in rows} == {"node0": None, "node1": "node0", "a": "node1", "b": "node1", "node4": "node0", "c": "node4", "d": "node4"}
+    assert [r[6] for r in rows if r[5] == "100"] == [100.0, 100.0]
+
+
+def test_newick_several_trees_comments_and_odd_names():
+    rows = list(newick_edges("f", "[a;b](out_node1:1[c],'it''s':2); \n(x,x,)r;y;", "out_"))
+    assert [r[:3] for r in rows] == [
+        ("f#1", "_node0", None), ("f#1", "node1", "_node0"), ("f#1", "it's", "_node0"),
+        ("f#2", "node0", None), ("f#2", "node1", "node0"), ("f#2", "node2", "node0"), ("f#2", "node3", "node0"), ("f#3", "y", None),
+    ]
+    assert [r[4] for r in rows[4:7]] == ["x", "x", None] and list(newick_edges("f", " ; ")) == []
+    for broken in ("((a,b);", "(a,b));"):
+        with pytest.raises(ValueError, match="tree f"):
+            list(newick_edges("f", broken))

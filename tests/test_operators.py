@@ -11,6 +11,7 @@ from cladeframe.functions.cooccur import cooccurrence_counts
 from cladeframe.operators import (
     blocks as bl, clusters as cl, intervals as iv, membership as mb, recombination as rc, sequences as sq, stats as st, trees as tr,
 )
+from cladeframe.sources import readers as rd
 
 
 def rows(df):
@@ -274,3 +275,43 @@ def test_blank_levels(spark):
 def test_accession(spark):
     df = spark.createDataFrame([("/d/GCA_009397805.1_x.fna",), ("GCF_000123.2",)], "a string")
     assert [r[0] for r in df.select(lb.accession_short_id(F.col("a"))).collect()] == ["9397805", "123"]
+
+
+def test_unknown_headers_raise_with_the_file(spark, tmp_path):
+    for name, text in {"good.amrfinder.tsv": "\ufeffGene symbol\tElement type\r\nblaA\tAMR\r\n", "none.amrfinder.tsv": ""}.items():
+        (tmp_path / name).write_text(text)
+    assert [(r["sample"], r["feature"], r["type"]) for r in rd.scan_feature_hits(spark, str(tmp_path)).collect()] == [("good", "blaA", "AMR")]
+    (tmp_path / "bad.amrfinder.tsv").write_text("Symbol\tType\nblaA\tAMR\n")
+    with pytest.raises(Exception, match="unknown header.*bad.amrfinder"):
+        rd.scan_feature_hits(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="unknown header"):
+        rd.scan_presence_matrix(spark, str(tmp_path / "good.amrfinder.tsv")).collect()
+
+
+def test_two_files_of_one_sample_raise(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.amrfinder.tsv").write_text("Gene symbol\tElement type\nblaA\tAMR\n")
+    with pytest.raises(Exception, match="two files of one sample"):
+        rd.scan_feature_hits(spark, str(tmp_path)).collect()
+
+
+def test_sampling_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffSeq_number;facility;date\n1;"A;""b""";01.02.19\n')
+    (tmp_path / "b.csv").write_text("date;Seq_number;facility\n03.04.2020;2;Gefl\u00fcgel\n;3;\n")
+    got = {tuple(r) for r in rd.scan_sampling_metadata(spark, str(tmp_path)).collect()}
+    assert got == {("1", 'A;"b"', 2019), ("2", "Gefl\u00fcgel", 2020), ("3", None, None)}
+
+
+def test_pair_files_by_name(spark, tmp_path):
+    (tmp_path / "A_@_B.maf").write_text("a score=1 mult=2\ns A.1 0 2 + 9 AC\ns B.1 0 2 + 9 AG\n\n")
+    assert [tuple(r) for r in rd.scan_pair_alignments(spark, str(tmp_path)).collect()] == [("A", "B", 0, "AC", "AG")]
+
+
+def test_ratio_of_one_tip_nodes_and_identical_clades(spark):
+    rows = [("t", "r", None, None, None), ("t", "x", "r", 1.0, None), ("t", "a", "x", 0.0, "a"), ("t", "b", "x", 0.0, "b"), ("t", "y", "r", 1.0, None), ("t", "c", "y", 1.0, "c")]
+    edges = spark.createDataFrame(rows, EDGES)
+    closure, tips = tr.tree_closure(edges), tr.tree_tips(edges)
+    pairs = spark.createDataFrame([("t", "a", "b", 0.0), ("t", "a", "c", 0.2)], "tree_id string, tip_a string, tip_b string, div double")
+    out = {r["node"]: r for r in tr.clade_vs_sister_ratio(edges, closure, tips, pairs).collect()}
+    assert out["y"]["inside_dist"] is None and out["x"]["div_ratio"] == float("inf")
