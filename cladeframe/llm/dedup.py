@@ -7,8 +7,8 @@ Jaccard similarity. About k·ln k + 2k darts are thrown per document however lon
 nominate pairs, an exact comparison of the shingles decides, and classes are the components of the links.
 
 Members of a bucket are not paired with each other. Each is compared with a leader of its buckets; buckets
-whose members are still in several classes get other leaders for a few rounds, and what is left after that is
-cut into finer buckets and compared completely there, class against class.
+whose members are still in several classes get other leaders for a few rounds, then are cut into finer buckets
+with leaders of their own for a few more, and what is left is compared completely there, class against class.
 """
 
 from __future__ import annotations
@@ -218,6 +218,10 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 6) -> D
 
     for turn in range(rounds + 1):
         placed = buckets.join(labels, "rep")
+        if turn == rounds // 2:
+            several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+            buckets = finer_buckets(placed.join(several, "key").select("key", "rep", "label"), nodes).select("key", "rep")
+            placed = buckets.join(labels, "rep")
         spread = placed.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")).alias("lead")
         ).filter("low < high").select("key", F.col("lead.rep").alias("leader"), F.col("lead.label").alias("leader_label"))
@@ -228,7 +232,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 6) -> D
             pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "a", "b")), False), 1, 4).alias("p"))
             pairs = pairs.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()  # of the leaders of its 32 buckets at most
         else:
-            mixed = finer_buckets(placed.join(spread.select("key"), "key").select("key", "rep", "label"), nodes)
+            mixed = cut(placed.join(spread.select("key"), "key").select("key", "rep", "label"))
             left, right = mixed.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
             pairs = left.join(right, "key").filter("a > b and la <> lb").select("a", "b").distinct()
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
