@@ -6,16 +6,17 @@ keeps the earliest per coordinate, so two signatures agree in a coordinate with
 Jaccard similarity. About k·ln k + 2k darts are thrown per document however long it is. Bands of coordinates
 nominate pairs, an exact comparison of the shingles decides, and classes are the components of the links.
 
-Members of a bucket are not paired with each other. Each is compared with a leader of its buckets; buckets
-whose members are still in several classes get other leaders for a few rounds, then are cut into finer buckets
-with leaders of their own for a few more, and what is left is compared completely there, class against class.
+Members of a bucket are not paired with each other. Each is compared with a leader of its buckets, the member
+with the most company in all of its own. Texts of buckets whose members are still in several classes meet in
+finer buckets, by the few shingles that a pair as similar as asked must have in common: once more with leaders,
+then completely, class against class.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cladeframe.functions.lineage import cut
 from cladeframe.llm.common import bounded_batches, components, mix64, table
@@ -165,35 +166,45 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return beside(beside(near, "a", "x"), "b", "x").filter(similar("xa", "xb")).select("a", "b")
 
 
-def finer_buckets(mixed: DataFrame, nodes: DataFrame, ways: int = 8) -> DataFrame:
-    """(key, rep, label): ``mixed`` buckets cut by ROWS more coordinates, in ``ways`` overlapping manners.
+def prefix_buckets(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep, size, rest, narrow): the shingles by which ``mixed`` (rep, label) texts of two labels can still be linked.
 
-    Two documents of similarity 0.8 share about seven buckets and a finer one in most of these; documents that
-    only have a passage in common share few. Finer buckets of one class are left out.
+    Texts are ordered by their shingles, those seen under one label first, then rare before frequent; ``rest`` counts
+    those after this one. Two texts as similar as asked have a shingle in common among the first of each: the larger
+    one's first (1 - t)·size + 1, the smaller one's even in its first (1 - 2t/(1+t))·size + 1, its ``narrow`` ones.
+    Texts that only share a passage have enough shingles of their own before it and leave no row. No link is lost.
     """
 
-    @F.pandas_udf("array<long>")
-    def finer(key: pd.Series, signature: pd.Series) -> pd.Series:
-        k = key.to_numpy().view(np.uint64)
-        if not len(k):
-            return pd.Series([], dtype=object)
-        signed = np.frombuffer(b"".join(signature), np.uint8).reshape(len(k), COORDINATES)
-        start, out = (mix64(k) % np.uint64(COORDINATES)).astype(np.int64), []
-        for way in range(ways):
-            part = np.take_along_axis(signed, (start[:, None] + 37 * np.arange(ROWS) + 11 * way) % COORDINATES, 1)
-            sub = mix64(k ^ np.uint64(way + 1))
-            for i in range(ROWS):
-                sub = mix64(sub ^ part[:, i].astype(np.uint64))
-            out.append(sub.view(np.int64))
-        return pd.Series(list(np.stack(out, 1)))
-
-    signed = mixed.join(nodes.select("rep", "signature"), "rep")
-    cuts = cut(signed.select("rep", "label", F.explode(finer("key", "signature")).alias("key")))
-    several = cuts.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return cut(cuts.join(several, "key"))
-
-
-def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
+    @F.pandas_udf("array<int>")
+    def unpacked(shingles: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int32) for x in shingles], dtype=object)
+
+    chosen = cut(mixed.join(nodes.select("rep", "shingles"), "rep").select("rep", "label", "shingles"))
+    items = chosen.select("rep", "label", (F.octet_length("shingles") / 4).cast("int").alias("size"), F.explode(unpacked("shingles")).alias("key"))
+    shared = items.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "df")
+    text = Window.partitionBy("rep")
+    ranked = items.join(shared, "key").select(
+        "key", "rep", "size", F.row_number().over(text.orderBy("df", "key")).alias("at"), F.count(F.lit(1)).over(text).alias("own"))
+    place = F.col("size") - F.col("own") + F.col("at")
+    first = lambda share: place <= F.floor(F.col("size") * share + 1e-6) + 1
+    return cut(ranked.filter(first(1 - similarity)).select(
+        "key", "rep", "size", (F.col("own") - F.col("at")).alias("rest"), first(1 - 2 * similarity / (1 + similarity)).alias("narrow")))
+
+
+def complete_pairs(placed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different labels in one bucket of ``prefix_buckets`` that may be similar enough.
+
+    A pair that is has a first shingle in common, and from there on enough of them to go.
+    """
+    small = placed.filter("narrow").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("rest").alias("rx"))
+    large = placed.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("rest").alias("ry"))
+    enough = 1 + F.least("rx", "ry") >= (F.col("nx") + F.col("ny")) * similarity / (1 + similarity) - 1e-6
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pairs = small.join(large, "key").filter(ordered & enough & (F.col("lx") != F.col("ly")))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id) of every row: the smallest doc_id among the documents it is linked with, itself included.
 
     Links join documents whose weighted sets of five-word shingles have a Jaccard similarity of
@@ -209,44 +220,37 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, rounds: int = 6) -> D
     first = texts.select("sha", F.col("rep").alias("doc_id"))
     keyed = sketched.select("sha", "doc_id", "keys").join(first, ["sha", "doc_id"]).dropDuplicates(["sha", "doc_id"]).select(
         F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = cut(keyed.join(shared, "key"))
+    central = cut(buckets.groupBy("rep").agg(F.sum("n").alias("company")))
     involved = buckets.select("rep").distinct()
     wanted = first.join(involved, first["doc_id"] == involved["rep"], "left_semi")
     nodes = cut(sketched.join(wanted, ["sha", "doc_id"]).select(F.col("doc_id").alias("rep"), "signature", "shingles").dropDuplicates(["rep"]))
-    labels, tried, spark = cut(nodes.select("rep", F.col("rep").alias("label"))), None, docs.sparkSession
+    labels, tried = cut(nodes.select("rep", F.col("rep").alias("label"))), None
 
-    for turn in range(rounds + 1):
-        placed = buckets.join(labels, "rep")
-        if turn == rounds // 2:
+    for turn in ("bands", "prefixes", "complete"):
+        if turn == "prefixes":
             several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-            buckets = finer_buckets(placed.join(several, "key").select("key", "rep", "label"), nodes).select("key", "rep")
-            placed = buckets.join(labels, "rep")
-        spread = placed.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")).alias("lead")
-        ).filter("low < high").select("key", F.col("lead.rep").alias("leader"), F.col("lead.label").alias("leader_label"))
-        if turn < rounds:
-            met = placed.join(spread, "key").filter("label <> leader_label").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
+            buckets = prefix_buckets(placed.join(several, "key").select("rep", "label").distinct(), nodes, similarity)
+        placed = buckets.join(labels.join(central, "rep"), "rep")
+        if turn == "complete":
+            pairs = complete_pairs(placed, similarity)
+        else:
+            leaders = placed.groupBy("key").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("company", "rep", "label")).alias("lead")
+            ).filter("low < high").select("key", F.col("lead.rep").alias("leader"), F.col("lead.label").alias("leader_label"))
+            met = placed.join(leaders, "key").filter("label <> leader_label").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
             pairs = met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b"), "rep", "n")
-            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "a", "b")), False), 1, 4).alias("p"))
-            pairs = pairs.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()  # of the leaders of its 32 buckets at most
-        else:
-            mixed = cut(placed.join(spread.select("key"), "key").select("key", "rep", "label"))
-            left, right = mixed.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").filter("a > b and la <> lb").select("a", "b").distinct()
-            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
+            pairs = pairs.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()  # of the leaders of its own buckets at most
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = verified(pairs, nodes, similarity)
         on = links.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(
             labels.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         roots = components(on)
         labels = cut(labels.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")))
+        placed = buckets.join(labels, "rep")
 
     whole = components(ties.unionByName(labels.filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
