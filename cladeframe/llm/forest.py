@@ -3,8 +3,9 @@
 Every tree sorts all vectors by a string of random hyperplane bits. A query goes down each tree to its own
 place and up again, in all trees at once, to the longest common prefix length at which the rows that share
 the prefix make up enough candidates; these are contiguous in every sorted array. The arrays are cut into
-ordered buckets, queries visit the buckets that their prefix range touches, and each visit scores its rows
-exactly in one matrix product.
+ordered buckets. A first visit counts the rows of every prefix length exactly, from the keys alone; then
+queries visit the buckets that their prefix range touches, and each visit scores its rows exactly in one
+matrix product.
 """
 
 from __future__ import annotations
@@ -43,31 +44,6 @@ def prefix_range(code: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, low + (np.int64(1) << (BITS - depth + TIE)) - 1
 
 
-class Depths:
-    """How far each query ascends, from the quantiles of the sorted arrays."""
-
-    def __init__(self, cuts: np.ndarray, rows: int):
-        self.cuts, self.rows = cuts, rows
-        self.share = np.linspace(0, rows, cuts.shape[1] + 2)
-        self.ends = np.c_[np.zeros(len(cuts), np.int64), cuts, np.full(len(cuts), (1 << (BITS + TIE)) - 1, np.int64)]
-
-    def below(self, tree: int, key: np.ndarray) -> np.ndarray:
-        return np.interp(key.astype(float), self.ends[tree].astype(float), self.share)
-
-    def choose(self, codes: np.ndarray, candidates: float) -> np.ndarray:
-        """The longest prefix, the same in all trees, whose rows come to ``candidates`` together."""
-        depth = np.zeros(len(codes), np.int64)
-        open_ = np.ones(len(codes), bool)
-        for d in range(BITS, 0, -1):
-            total = np.zeros(len(codes))
-            for t in range(codes.shape[1]):
-                low, high = prefix_range(codes[:, t], np.int64(d))
-                total += self.below(t, high) - self.below(t, low)
-            depth[open_ & (total >= candidates)] = d
-            open_ &= total < candidates
-        return depth
-
-
 def nearest(
     rows: DataFrame, query_every: int = 20, k: int = 20, trees: int = 32, effort: float = 4.5, bucket_rows: int = 2048, seed: int = 29
 ) -> DataFrame:
@@ -79,8 +55,10 @@ def nearest(
 
     Equal vectors are indexed once with their k + 1 smallest ids, which is all that any answer can need, so a
     hot vector costs no more than another (``row_number`` limits it before the shuffle). Inner products
-    become angles by one more component that brings all candidates to the largest norm. A query scores about
-    ``effort`` times n^0.8 rows over all trees. The driver gets n / ``bucket_rows`` cut keys per tree.
+    become angles by one more component that brings all candidates to the largest norm. A query takes the
+    longest prefix that gives at least ``effort`` times n^0.8 rows over all trees and, in one tree, 4 k + 4
+    different vectors or all there are; so it finds ``k`` rows wherever there are as many. The driver gets
+    n / ``bucket_rows`` cut keys and bucket sizes per tree.
     """
     spark = rows.sparkSession
     good = usable(rows.filter("vec_id is not null")).select(
@@ -96,7 +74,7 @@ def nearest(
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     facts = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("top")).first()
     n, dim, top = facts["n"], facts["dim"] or 1, facts["top"] or 1.0
-    normals, wanted = planes(dim, trees, seed), effort * n**0.8
+    normals, wanted, least = planes(dim, trees, seed), min(effort * n**0.8, n * trees), min(n, 4 * (k + 1))
 
     def matrix(vectors) -> np.ndarray:
         out = np.zeros((len(vectors), dim))
@@ -123,7 +101,6 @@ def nearest(
         shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
         for r in keyed.groupBy("tree").agg(F.percentile_approx("key", shares, F.lit(max(10_000, 20 * slices))).alias("q")).collect():
             cuts[r["tree"]] = r["q"]
-    depths = Depths(cuts, n)
 
     def place(batches):
         for pdf in batches:
@@ -133,11 +110,42 @@ def nearest(
                 bucket[own] = np.searchsorted(cuts[t], pdf["key"].to_numpy()[own], side="right")
             yield pdf.assign(bucket=bucket)
 
+    below = np.zeros((trees, slices), np.int64)
+    placed = keyed.select("tree", "key").mapInPandas(place, "tree int, key long, bucket long")
+    for r in placed.groupBy("tree", "bucket").count().collect():
+        below[r["tree"], r["bucket"] + 1:] += r["count"]
+    levels = np.arange(1, BITS + 1)
+    sizes = [f"s{d}" for d in levels]
+
+    def edges(tree: int, code: np.ndarray):
+        """Both ends of the range of every prefix length, and the buckets that hold them."""
+        low, high = prefix_range(code[:, None], levels)
+        return low, high, np.searchsorted(cuts[tree], low, side="right"), np.searchsorted(cuts[tree], high, side="right")
+
+    def questions(batches):
+        for pdf in batches:
+            x = matrix(pdf["v"])
+            codes = hash_strings(x, np.zeros(len(x)), normals)
+            for t in range(trees):
+                _, _, first, last = edges(t, codes[:, t])
+                touched = np.sort(np.c_[first, last], axis=1)
+                at, c = np.nonzero(np.c_[np.ones(len(x), bool), np.diff(touched, axis=1) > 0])
+                yield pd.DataFrame({"tree": t, "bucket": touched[at, c], "query": pdf["rep"].to_numpy()[at], "code": codes[at, t]})
+
+    def count(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask):
+            return pd.DataFrame({c: [] for c in ("query", "tree", *sizes)}).astype("int64").astype({"tree": "int32"})
+        tree, bucket, key = int(ask["tree"].iloc[0]), int(ask["bucket"].iloc[0]), np.sort(data["key"].to_numpy(np.int64))
+        low, high, first, last = edges(tree, ask["code"].to_numpy())
+        size = np.where(last == bucket, below[tree, bucket] + np.searchsorted(key, high, side="right"), 0)
+        size -= np.where(first == bucket, below[tree, bucket] + np.searchsorted(key, low), 0)
+        return pd.concat([ask[["query", "tree"]].reset_index(drop=True), pd.DataFrame(size, columns=sizes)], axis=1)
+
     def visits(batches):
         for pdf in batches:
             x = matrix(pdf["v"])
             codes = hash_strings(x, np.zeros(len(x)), normals)
-            depth = depths.choose(codes, wanted)
+            depth = pdf["depth"].to_numpy(np.int64)
             for t in range(trees):
                 low, high = prefix_range(codes[:, t], depth)
                 first, last = np.searchsorted(cuts[t], low, side="right"), np.searchsorted(cuts[t], high, side="right")
@@ -167,7 +175,13 @@ def nearest(
         return out[out.groupby("query").cumcount() <= k]
 
     buckets = keyed.mapInPandas(place, "tree int, key long, rep long, x binary, bucket long")
-    asks = reps.filter("asked").select("rep", "v").mapInPandas(visits, "tree int, bucket long, query long, low long, high long, q binary")
+    asking = reps.filter("asked").select("rep", "v")
+    parts = placed.groupBy("tree", "bucket").cogroup(asking.mapInPandas(questions, "tree int, bucket long, query long, code long").groupBy("tree", "bucket")).applyInPandas(
+        count, ", ".join(["query long, tree int", *(f"{c} long" for c in sizes)]))
+    ranges = parts.groupBy("query", "tree").agg(*[F.sum(c).alias(c) for c in sizes])
+    enough = [F.when((F.sum(c) >= float(wanted)) & (F.max(c) >= least), F.lit(d)) for d, c in zip(levels.tolist(), sizes)]
+    depths = cut(ranges.groupBy("query").agg(F.coalesce(*reversed(enough), F.lit(0)).alias("depth")).withColumnRenamed("query", "rep"))
+    asks = asking.join(depths, "rep").mapInPandas(visits, "tree int, bucket long, query long, low long, high long, q binary")
     hits = buckets.groupBy("tree", "bucket").cogroup(asks.groupBy("tree", "bucket")).applyInPandas(score, "query long, rep long, score double")
     once = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = once.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= k + 1)

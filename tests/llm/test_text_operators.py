@@ -459,6 +459,19 @@ def test_forest_finds_neighbours(spark):
     assert forest.nearest(df.limit(0)).count() == 0
 
 
+def test_forest_answers_are_whole(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda n, d: (v := rng.normal(size=(n, d))) / np.linalg.norm(v, axis=1)[:, None]
+    pole = unit(1500, 8)
+    pole[3] *= 100
+    cases = [np.array([[1.0, 0.0], [-1.0, 0.0]]), rng.normal(size=(21, 64)), rng.normal(size=(40, 64)), np.repeat(unit(4, 8), 10, axis=0) + 1e-3 * rng.normal(size=(40, 8)), pole]
+    for x, every in zip(cases, (1, 1, 1, 1, 20)):
+        df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = forest.nearest(df, query_every=every, bucket_rows=256).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n"), F.max("rank").alias("r")).collect()
+        assert {r["query_id"] for r in got} == set(range(0, len(x), every))
+        assert all(r["n"] == r["r"] == min(20, len(x) - 1) for r in got)
+
+
 def test_pipeline_stages(spark, rows):
     import corpus_pipeline
 
