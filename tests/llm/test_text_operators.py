@@ -433,6 +433,26 @@ def test_secrets_against_patterns_and_a_planted_shape(spark, nothing):
     assert secrets.find_secrets(nothing.select("doc_id", "text")).count() == 0
 
 
+def test_secrets_scores_every_candidate(spark):
+    rng = random.Random(12)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    half = "ghp_" + key(24, "0123456789abcdef") + "ZZZZ"
+    text = f'login {half} then "xK9pQ2vT7m" code: "p@9X!z7#Qw$4kL%2" qWmZkXvBnTrPdFgHjLsQ end plain words here'
+    found = {text[s:e] for s, e in zip(*secrets.candidates_of(text, secrets.base_spans(text))[:2])}
+    assert {half, "xK9pQ2vT7m", "p@9X!z7#Qw$4kL%2", "qWmZkXvBnTrPdFgHjLsQ"} <= found
+    docs = [(0, text), *((i, prose(rng, 60)) for i in range(1, 40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in secrets.find_secrets(df).collect()}
+    model = {text[int(s):int(e)] for k, s, e in spans[0] if k == "model"}
+    assert half in model and "p@9X!z7#Qw$4kL%2" in model, "few findings: the network is fitted all the same"
+    assert sum(len(spans[i]) for i in range(1, 40)) <= 5
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert "ZZZZ" not in clean[0] and clean[0].endswith("plain words here")
+    net = secrets.CharNet.fit(*secrets.made_up(100, 100))
+    codes = secrets.made_up(20, 20, seed=5)[0]
+    assert np.allclose(net.pooled_logit(codes), net.forward(codes)[3], atol=1e-3)
+
+
 def test_forest_finds_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
