@@ -137,15 +137,19 @@ SAMPLE = 12_000
 FEATURES = ("exact", "near", "best", "dense", "abuse", "quoted", "reported", "spread", "any_exact", "any_near")
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case and of the same length: U+0130 alone would become two characters, and is taken as i."""
+    return text.replace("\u0130", "i").lower()
+
+
 def spans_of(text: str, finder: HitFinder, window: int = 8) -> list[tuple[int, int, float, int, float, bool]]:
     """(start, end, weight, distance, context score, quoted) of every hit in ``text``."""
-    lowered = text.lower()
-    lowered = lowered if len(lowered) == len(text) else text
-    words = WORD.findall(lowered)
+    low_text = lowered(text)
+    words = WORD.findall(low_text)
     hits = [(i, hit) for i, hit in enumerate(map(finder.__getitem__, words)) if hit]
     if not hits:
         return []
-    at = [m.span() for m in WORD.finditer(lowered)]
+    at = [m.span() for m in WORD.finditer(low_text)]
     quotes = [m.start() for m in QUOTES.finditer(text)]
     reports = [0, *accumulate(w in REPORTING for w in words)]
     addresses = [0, *accumulate(w in ADDRESS for w in words)]
@@ -164,13 +168,14 @@ def spans_of(text: str, finder: HitFinder, window: int = 8) -> list[tuple[int, i
 
 def features_of(text: str, finder: HitFinder) -> list[float]:
     """The scores of FEATURES for one whole text."""
-    if not any(map(finder.__getitem__, set(WORD.findall(text.lower())))):
+    low_text = lowered(text)
+    if not any(map(finder.__getitem__, set(WORD.findall(low_text)))):
         return [0.0] * len(FEATURES)
     spans = spans_of(text, finder)
     n = 1 + text.count(" ")
     exact = [s for s in spans if s[3] == 0]
     mass = sum(s[2] / (1 + s[3]) for s in spans)
-    distinct = len({text[s[0]:s[1]].lower() for s in spans})
+    distinct = len({low_text[s[0]:s[1]] for s in spans})
     return [
         np.log1p(len(exact)), np.log1p(len(spans) - len(exact)), max(s[2] / (1 + s[3]) for s in spans), np.log1p(1000 * mass / (n + 50)),
         np.log1p(sum(s[2] * s[4] / (1 + s[3]) for s in spans)), sum(s[5] for s in spans) / len(spans),
@@ -185,7 +190,7 @@ def learn_lexicon(train: DataFrame, entries: int = 400, least_g: float = 24.0, l
     of one toxic text repeat its contexts and so do not make terms of all its words. A word needs a likelihood
     ratio of ``least_g``; only the ``entries`` strongest words reach the driver.
     """
-    words = train.select("y", F.regexp_extract_all(F.lower("text"), F.lit(f"({SPARK_WORD})"), F.lit(1)).alias("b"))
+    words = train.select("y", F.regexp_extract_all(F.lower(F.translate("text", "\u0130", "i")), F.lit(f"({SPARK_WORD})"), F.lit(1)).alias("b"))
     after = words.select("y", F.explode(F.arrays_zip("b", F.concat(F.array(F.lit("")), "b").alias("p"))).alias("e"))
     pairs = after.select("y", F.col("e.b").alias("w"), F.xxhash64("e.p").alias("p")).filter("w is not null").distinct()
     n = pairs.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()

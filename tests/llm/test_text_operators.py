@@ -268,6 +268,13 @@ def test_quotation_weighs_less_than_abuse():
     assert quoted[5] and quoted[4] < 1 < abuse[4] and abuse[3] == 1
 
 
+def test_hits_where_lower_case_changes_the_length():
+    finder, text = toxicity.HitFinder({"scum": 2.0, "moron": 3.0, "idiotic": 3.0}), "\u0130stanbul: Scum and MORON, \u0130D\u0130OT\u0130C"
+    assert [text[s[0]:s[1]] for s in toxicity.spans_of(text, finder)] == ["Scum", "MORON", "\u0130D\u0130OT\u0130C"]
+    assert toxicity.features_of(text, finder) == toxicity.features_of(text.replace("\u0130", "I"), finder)
+    assert all(len(toxicity.lowered(chr(c))) == 1 for c in range(0x110000))
+
+
 def test_toxicity_learns_held_out_labels(spark, nothing):
     rng = random.Random(6)
     docs, labels = [], []
