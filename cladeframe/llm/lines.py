@@ -45,7 +45,8 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 40, least_docs: int =
         "id", "mark", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g")))
     holders = hashed.groupBy("h", "g").agg(
         F.count_distinct("id").alias("n"), F.max(F.col("id").isNull().cast("int")).alias("unnamed"), F.max("id").alias("keeper"))
-    frequent = holders.filter(F.col("n") + F.col("unnamed") >= least_docs).select("h", "g", "keeper")
+    # A table of its own, so that both sides of the join are plain shuffles, which the skew join can split.
+    frequent = cut(holders.filter(F.col("n") + F.col("unnamed") >= least_docs).select("h", "g", "keeper"))
     lost = hashed.join(frequent, ["h", "g"]).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
     gone = lost.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
 
