@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeframe.functions.distributions import binomial_quantile, neg_binomial_pmf, log_gamma, poisson_pmf
 from cladeframe.functions.lineage import cut
+from cladeframe.functions.paths import best_paths
 from cladeframe.operators.intervals import complement_intervals, merge_intervals
 from cladeframe.operators.sequences import PAIR, pair_divergence
 
@@ -243,36 +245,80 @@ def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, win
     return fitted.select(*PAIR, "f.mu", "f.mnb", "f.nb_size", "f.fc")
 
 
-@F.pandas_udf(T.StringType())
-def _state(no: pd.Series, count: pd.Series, mu: pd.Series, mnb: pd.Series, size: pd.Series, fc: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StructType().add("c", T.DoubleType()).add("r", T.DoubleType()))
+def _emissions(count: pd.Series, mu: pd.Series, mnb: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Log weight of a window's count under either component."""
     k = count.to_numpy(float)
     m, b, s = mu.to_numpy(float), mnb.to_numpy(float), size.to_numpy(float)
-    clonal = k * np.log(m) - m - log_gamma(k + 1)
     p = s / (s + b)
+    clonal = k * np.log(m) - m - log_gamma(k + 1)
     recombined = log_gamma(k + s) - log_gamma(s) - log_gamma(k + 1) + s * np.log(p) + k * np.log1p(-p)
-    first = no.to_numpy() == 0
-    share = fc.to_numpy(float) / 100
-    clonal = clonal + np.where(first, np.log(share), 0.0)
-    recombined = recombined + np.where(first, np.log1p(-share), 0.0)
-    return pd.Series(np.where(clonal >= recombined, "C", "R"))
+    return pd.DataFrame({"c": clonal, "r": recombined})
+
+
+def _log(share) -> Column:
+    """Logarithm of a share; of none it is minus infinity."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.when(share > 0, F.log(share)).otherwise(F.lit(float("-inf")))
 
 
-def segment_states(windows: DataFrame, fit: DataFrame, window: int = 500) -> DataFrame:
-    """Label every window clonal (C) or recombined (R) under the fitted emissions.
+#: Transition shares of the method: from clonal and from recombined windows, either to clonal and recombined ones.
+EVEN = ((0.5, 0.5), (0.5, 0.5))
 
-    All transitions are equal (0.5), so the most likely path is the more likely state of
-    each window; only the first one also weighs the start shares. Pairs without a fit are
-    left out.
+
+def segment_states(windows: DataFrame, fit: DataFrame, window: int = 500, transitions: Sequence[Sequence[float]] = EVEN) -> DataFrame:
+    """Label every window clonal (C) or recombined (R) on the most likely path under the fitted emissions.
+
+    ``transitions`` are the shares from C and from R to C and R; a column ``move`` of ``fit`` (log shares, row by row)
+    gives each pair its own. Where all are equal the path is the more likely state of each window, only the first
+    one also weighing the start shares, and windows are labelled alone. Ties are clonal; pairs without a fit are left
+    out.
     """
     counts = windows.withColumn("k", F.round(F.col("divergence") * window))
     means = counts.groupBy(*PAIR).agg(F.avg("k").alias("mean_k"))
     used = fit.filter("mu <> 0").join(means, PAIR).withColumn(
         "mu", F.when(F.col("mu") <= 1.1e-5, F.greatest(F.col("mean_k"), F.lit(1e-12))).otherwise(F.col("mu"))
     )
-    return counts.join(used, PAIR).select(
-        *PAIR, "window_no", "start", "length", "divergence",
-        _state("window_no", "k", "mu", "mnb", "nb_size", "fc").alias("state"),
-    )
+    scored = counts.join(used, PAIR).withColumn("e", _emissions("k", "mu", "mnb", "nb_size"))
+    named = lambda c: F.when(c, "C").otherwise("R").alias("state")
+    flat = [float(x) for row in transitions for x in row]
+    if len(set(flat)) == 1 and "move" not in fit.columns:
+        first = lambda share: F.when(F.col("window_no") == 0, _log(share)).otherwise(0.0)
+        clonal = F.col("e.c") + first(F.col("fc") / 100) >= F.col("e.r") + first(1 - F.col("fc") / 100)
+        return scored.select(*PAIR, "window_no", "start", "length", "divergence", named(clonal))
+    move = F.col("move") if "move" in fit.columns else F.array(*[_log(x) for x in flat])
+    chains = scored.select(
+        *PAIR, "window_no", F.array("e.c", "e.r").alias("emit"), F.array(_log(F.col("fc") / 100), _log(1 - F.col("fc") / 100)).alias("start"), move.alias("move"))
+    paths = best_paths(chains, PAIR, "window_no")
+    return windows.join(paths, [*PAIR, "window_no"]).select(*PAIR, "window_no", "start", "length", "divergence", named(F.col("state") == 0))
+
+
+def transition_shares(states: DataFrame, prior: float = 1.0) -> DataFrame:
+    """(pair, move): log shares from C and R to C and R, counted on labelled windows with ``prior`` added to each."""
+    after = states.select(*PAIR, (F.col("window_no") - 1).alias("window_no"), F.col("state").alias("next"))
+    seen = states.join(after, [*PAIR, "window_no"], "left").groupBy(*PAIR).agg(*[
+        (F.count_if((F.col("state") == a) & (F.col("next") == b)) + prior).alias(a + b) for a in "CR" for b in "CR"])
+    return seen.select(*PAIR, F.array(*[_log(F.try_divide(F.col(a + b), F.col(a + "C") + F.col(a + "R"))) for a in "CR" for b in "CR"]).alias("move"))
+
+
+def train_segment_states(windows: DataFrame, fit: DataFrame, window: int = 500, rounds: int = 20, prior: float = 1.0) -> DataFrame:
+    """States by Viterbi training of the transitions: label, count transitions per pair, label again.
+
+    Starts from equal transitions and ends when no pair changes, after ``rounds`` rounds at the latest; the likelihood
+    never falls, so the labels settle after few. Pairs that are settled leave the loop.
+    """
+    states = cut(segment_states(windows, fit, window))
+    done, open_ = [], states
+    for _ in range(rounds):
+        moves = cut(transition_shares(open_, prior))
+        again = cut(segment_states(windows.join(moves.select(*PAIR), PAIR, "left_semi"), fit.join(moves, PAIR), window))
+        other = again.select(*PAIR, "window_no", F.col("state").alias("now"))
+        moved = cut(open_.join(other, [*PAIR, "window_no"]).filter("state <> now").select(*PAIR).distinct())
+        done.append(again.join(moved, PAIR, "left_anti"))
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        open_ = cut(again.join(moved, PAIR, "left_semi"))
+    return reduce(DataFrame.unionByName, [*done, open_])
 
 
 def state_summary(states: DataFrame) -> DataFrame:

@@ -140,9 +140,46 @@ def _(t: Tables):
     return _analysis(t).fit
 
 
-@query("segment_states")
+# A fit by moments stands in for the mixture, so that SQL can follow every window of every pair.
+EMISSIONS = WINDOWS + """, cnt AS (SELECT win.strain1, win.strain2, window_no, start, length, mism / length::DOUBLE AS divergence, round(mism / length::DOUBLE * 500) AS k
+  FROM win JOIN wcnt USING (strain1, strain2, window_no)),
+em AS MATERIALIZED (SELECT c.strain1, c.strain2, window_no, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, divergence,
+  k * ln(m * 0.5) - m * 0.5 - lgamma(k + 1) AS ec, lgamma(k + 2) - lgamma(k + 1) + 2 * ln(2 / (2 + m * 2)) + k * ln(1 - 2 / (2 + m * 2)) AS er
+  FROM cnt c JOIN (SELECT strain1, strain2, avg(k) AS m FROM cnt GROUP BY 1, 2) USING (strain1, strain2) WHERE m > 0)"""
+STICKY = ((0.95, 0.05), (0.2, 0.8))
+BEST_PATH = EMISSIONS + f""", fw AS (
+  SELECT strain1, strain2, window_no, ln(0.6) + ec AS c, ln(0.4) + er AS r, true AS bc, true AS br FROM em WHERE window_no = 0
+  UNION ALL SELECT f.strain1, f.strain2, e.window_no, greatest(c + ln({STICKY[0][0]}), r + ln({STICKY[1][0]})) + ec, greatest(c + ln({STICKY[0][1]}), r + ln({STICKY[1][1]})) + er,
+    c + ln({STICKY[0][0]}) >= r + ln({STICKY[1][0]}), c + ln({STICKY[0][1]}) >= r + ln({STICKY[1][1]})
+  FROM fw f JOIN em e ON e.strain1 = f.strain1 AND e.strain2 = f.strain2 AND e.window_no = f.window_no + 1),
+fwm AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT strain1, strain2, window_no, c >= r AS clonal FROM fwm JOIN (SELECT strain1, strain2, max(window_no) AS window_no FROM em GROUP BY 1, 2) USING (strain1, strain2, window_no)
+  UNION ALL SELECT b.strain1, b.strain2, b.window_no - 1, CASE WHEN b.clonal THEN f.bc ELSE f.br END
+  FROM bw b JOIN fwm f ON f.strain1 = b.strain1 AND f.strain2 = b.strain2 AND f.window_no = b.window_no WHERE b.window_no > 0)"""
+
+
+def _moment_fit(t: Tables):
+    windows = cut(_windows(t))
+    mean = windows.groupBy(*PAIR).agg(F.avg(F.round(F.col("divergence") * 500)).alias("m"))
+    return windows, mean.select(*PAIR, (F.col("m") * 0.5).alias("mu"), (F.col("m") * 2).alias("mnb"), F.lit(2.0).alias("nb_size"), F.lit(60.0).alias("fc"))
+
+
+@query("segment_states", f"""WITH {EMISSIONS} SELECT strain1, strain2, window_no, start, length, round(divergence, 9) AS divergence,
+CASE WHEN ec + CASE WHEN window_no = 0 THEN ln(0.6) ELSE 0 END >= er + CASE WHEN window_no = 0 THEN ln(0.4) ELSE 0 END THEN 'C' ELSE 'R' END AS state FROM em""")
 def _(t: Tables):
-    return _analysis(t).states
+    return rc.segment_states(*_moment_fit(t)).withColumn("divergence", F.round("divergence", 9))
+
+
+@query("segment_states_sticky", f"""WITH RECURSIVE {BEST_PATH} SELECT strain1, strain2, window_no, start, length, round(divergence, 9) AS divergence,
+CASE WHEN clonal THEN 'C' ELSE 'R' END AS state FROM bw JOIN em USING (strain1, strain2, window_no)""")
+def _(t: Tables):
+    return rc.segment_states(*_moment_fit(t), transitions=STICKY).withColumn("divergence", F.round("divergence", 9))
+
+
+@query("segment_states_trained")
+def _(t: Tables):
+    analysis = _analysis(t)
+    return rc.train_segment_states(analysis.windows, analysis.fit)
 
 
 @query("recombination_edges")
