@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_while(df: DataFrame, holds: Column) -> tuple[DataFrame, bool]:
+    """``cut``, and whether ``holds`` is true of any row, seen while the rows are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count_if(holds).alias("n")))
+    return table, seen.get["n"] > 0
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

@@ -1,14 +1,15 @@
 """Operators over a forest held as edges (tree_id, node, parent, length, name).
 
-Roots have a null parent, tips a name. Questions on ancestry go through one closure
-table, built by doubling joins in about log2(depth) rounds.
+Roots have a null parent, tips a name. Depths, clade sizes, tip positions and last common
+ancestors come from pointers that double their reach: about log2(depth) rounds of one row
+a node. Questions on all ancestors of a node go through one closure table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cladeframe.functions.lineage import cut
+from cladeframe.functions.lineage import cut, cut_while
 from cladeframe.functions.scan import exact_percentiles, prefix_scan
 
 
@@ -17,22 +18,19 @@ def tree_closure(edges: DataFrame) -> DataFrame:
 
     ``branch`` is the child of ``anc`` on the way to ``desc`` (null for self pairs).
     """
-    paths = cut(edges.filter(F.col("parent").isNotNull()).select(
+    far, more = cut_while(edges.filter(F.col("parent").isNotNull()).select(
         "tree_id", F.col("parent").alias("anc"), F.col("node").alias("desc"), F.col("length").alias("dist"),
         F.lit(1).alias("hops"), F.col("node").alias("branch"),
-    ))
-    reach = 1
-    while True:
-        far = paths.filter(F.col("hops") == reach)
-        if far.isEmpty():
-            break
-        up = far.select("tree_id", "anc", F.col("desc").alias("mid"), F.col("dist").alias("d1"), "branch")
+    ), F.lit(True))
+    paths, reach = far, 1
+    while more:
+        # Paths of exactly ``reach`` hops are prolonged by all paths known; only the new ones are written.
+        up = far.filter(F.col("hops") == reach).select("tree_id", "anc", F.col("desc").alias("mid"), F.col("dist").alias("d1"), "branch")
         down = paths.select("tree_id", F.col("anc").alias("mid"), "desc", F.col("dist").alias("d2"), "hops")
-        longer = up.join(down, ["tree_id", "mid"]).select(
+        far, more = cut_while(up.join(down, ["tree_id", "mid"]).select(
             "tree_id", "anc", "desc", (F.col("d1") + F.col("d2")).alias("dist"), (F.col("hops") + reach).alias("hops"), "branch"
-        )
-        paths = cut(paths.unionByName(longer))
-        reach *= 2
+        ), F.lit(True))
+        paths, reach = paths.unionByName(far), reach * 2
     zero = F.lit(0).cast(paths.schema["dist"].dataType)
     own = edges.select(
         "tree_id", F.col("node").alias("anc"), F.col("node").alias("desc"), zero.alias("dist"),
@@ -47,12 +45,43 @@ def tree_tips(edges: DataFrame) -> DataFrame:
     return edges.join(inner, ["tree_id", "node"], "left_anti").select("tree_id", "node", "name")
 
 
-def node_depths(edges: DataFrame, closure: DataFrame) -> DataFrame:
+def lift(edges: DataFrame, **sums: Column) -> DataFrame:
+    """(tree_id, node, hops, sums) of every node: each sum runs over the node and its ancestors, without the root.
+
+    Every node points at an ancestor and holds the sums on the way to it; following the ancestor's own pointer doubles
+    the way, so a tree of any shape takes log2(depth) rounds of at most one row a node. Nodes that have arrived at
+    their root are written once and left out of later rounds.
+    """
+    own = lambda value: F.when(F.col("parent").isNull(), F.lit(0)).otherwise(value)
+    names = ["hops", *sums]
+    state = edges.select("tree_id", "node", F.col("parent").alias("up"), own(F.lit(1)).alias("hops"), *[own(v).alias(n) for n, v in sums.items()])
+    arrived, moving, more = state.filter("up IS NULL"), state.filter("up IS NOT NULL"), True
+    while more:
+        seen = arrived.unionByName(moving).select("tree_id", F.col("node").alias("up"), F.col("up").alias("next"), *[F.col(n).alias(f"further_{n}") for n in names])
+        state, more = cut_while(moving.join(seen, ["tree_id", "up"], "left").select(
+            "tree_id", "node", F.col("next").alias("up"), *[(F.col(n) + F.coalesce(f"further_{n}", F.lit(0))).alias(n) for n in names]), F.col("up").isNotNull())
+        arrived, moving = arrived.unionByName(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
+    return arrived.drop("up")
+
+
+def tip_counts(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(tree_id, node, n_tips): how many of ``tips`` are at or under each node.
+
+    The same doubling seen from above: a node adds what the nodes exactly 1, 2, 4, … edges below it have gathered.
+    """
+    marked = tips.select("tree_id", "node", F.lit(1).cast("long").alias("n_tips"))
+    state, more = edges.select("tree_id", "node", F.col("parent").alias("up")).join(marked, ["tree_id", "node"], "left").na.fill(0, ["n_tips"]), True
+    while more:
+        given = state.filter("up IS NOT NULL").groupBy("tree_id", F.col("up").alias("node")).agg(F.sum("n_tips").alias("given"))
+        above = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("next"))
+        state, more = cut_while(state.join(given, ["tree_id", "node"], "left").join(above, ["tree_id", "up"], "left").select(
+            "tree_id", "node", F.col("next").alias("up"), (F.col("n_tips") + F.coalesce("given", F.lit(0))).alias("n_tips")), F.col("up").isNotNull())
+    return state.drop("up")
+
+
+def node_depths(edges: DataFrame) -> DataFrame:
     """Distance and hops of every node from its root."""
-    roots = edges.filter(F.col("parent").isNull()).select("tree_id", F.col("node").alias("anc"))
-    return closure.join(roots, ["tree_id", "anc"], "left_semi").select(
-        "tree_id", F.col("desc").alias("node"), F.col("dist").alias("depth"), "hops"
-    )
+    return lift(edges, depth=F.col("length")).select("tree_id", "node", "depth", "hops")
 
 
 def clade_members(closure: DataFrame, tips: DataFrame) -> DataFrame:
@@ -80,27 +109,73 @@ def sister_clades(edges: DataFrame, closure: DataFrame, tips: DataFrame) -> Data
     )
 
 
-def tree_distances(edges: DataFrame, closure: DataFrame, tips: DataFrame, salts: int = 8) -> DataFrame:
-    """Every tip pair once, at its last common ancestor: patristic distance, edges, ancestor depth.
+def seated_nodes(edges: DataFrame, tips: DataFrame, ladderize: bool = False) -> DataFrame:
+    """(tree_id, node, parent, n_tips, before, hops, depth, position) of every node with tips at or under it.
 
-    The answer is the square table itself. A pair is met only where its two branches
-    part, and an ancestor's tips are spread over ``salts`` so that the root is no hot key.
+    ``position`` counts the tips drawn before the node's first one, ``before`` those under its earlier siblings, which
+    go by node id, or with ``ladderize`` by number of tips first. Siblings are ranged over all partitions, so a node
+    may have any number of children.
     """
-    under = clade_members(closure, tips).filter(F.col("branch").isNotNull())
-    left = under.select(
-        "tree_id", "node", F.col("tip").alias("ta"), F.col("dist").alias("da"), F.col("hops").alias("ha"), F.col("branch").alias("ba"),
-        F.pmod(F.xxhash64("tip"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    right = under.select(
-        "tree_id", "node", F.col("tip").alias("tb"), F.col("dist").alias("db"), F.col("hops").alias("hb"), F.col("branch").alias("bb"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    depth = node_depths(edges, closure).select("tree_id", "node", F.col("depth").alias("mrca_depth"))
-    pairs = left.join(right, ["tree_id", "node", "salt"]).filter(F.col("ba") < F.col("bb"))
-    return pairs.join(depth, ["tree_id", "node"]).select(
-        "tree_id", F.least("ta", "tb").alias("tip_a"), F.greatest("ta", "tb").alias("tip_b"),
-        F.col("node").alias("mrca"), (F.col("da") + F.col("db")).alias("patristic"),
-        (F.col("ha") + F.col("hb")).alias("edge_count"), "mrca_depth",
+    by = ["n_tips", "node"] if ladderize else ["node"]
+    sib = edges.select("tree_id", "node", "parent", "length").join(tip_counts(edges, tips).filter("n_tips > 0"), ["tree_id", "node"])
+    placed = cut(sib.repartitionByRange("tree_id", "parent", *by).withColumn("__part", F.spark_partition_id()))
+    ordered = cut(prefix_scan(placed, ["tree_id", "parent"], by, "__part", {"before": ("sum", "n_tips")}))
+    return ordered.drop("__part", "length").join(lift(ordered, depth=F.col("length"), position=F.col("before")), ["tree_id", "node"])
+
+
+def ancestor_table(seats: DataFrame) -> DataFrame:
+    """(tree_id, k, i, low): the highest node that parts any of the tips i … i + 2^k from its neighbour.
+
+    Tips i and i + 1 part at the parent of the only node that begins with tip i + 1 and has an earlier sibling. Runs of
+    2^k such marks are joined from two runs half as long, so there are n·log n rows whatever the shape; ``low`` is
+    (hops, node, depth).
+    """
+    upper = seats.select("tree_id", F.col("node").alias("parent"), F.struct("hops", "node", "depth").alias("low"))
+    level, more = cut_while(seats.filter("before > 0").select("tree_id", "parent", (F.col("position") - 1).alias("i")).join(upper, ["tree_id", "parent"]).select(
+        "tree_id", F.lit(0).alias("k"), "i", "low"), F.lit(True))
+    levels, k = level, 0
+    while more:
+        other = level.select("tree_id", (F.col("i") - (1 << k)).alias("i"), F.col("low").alias("right"))
+        k += 1
+        level, more = cut_while(level.join(other, ["tree_id", "i"]).select("tree_id", F.lit(k).alias("k"), "i", F.least("low", "right").alias("low")), F.lit(True))
+        levels = levels.unionByName(level)
+    return levels
+
+
+def tree_distances(edges: DataFrame, tips: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Patristic distance, edges between, last common ancestor and its depth of tip pairs.
+
+    ``pairs`` (tree_id, tip_a, tip_b) are the asked ones; without them the answer is the square table, every pair of a
+    tree once with tip_a < tip_b. The ancestor is found by two look-ups in ``ancestor_table``, so a pair costs the
+    same in any tree. A tip asked against itself is its own ancestor; pairs with an unknown tip have no row.
+    """
+    return distances_of(cut(seated_nodes(edges, tips)), tips, pairs)
+
+
+def distances_of(seats: DataFrame, tips: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``tree_distances`` from written ``seated_nodes``, which may serve several calls."""
+    table = ancestor_table(seats)
+    own = seats.join(tips.select("tree_id", "node"), ["tree_id", "node"], "left_semi").select("tree_id", "node", "position", "hops", "depth")
+    end = lambda x: own.select("tree_id", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "position", "hops", "depth")])
+    if pairs is None:
+        sizes = own.groupBy("tree_id").agg(F.max("position").alias("last"))
+        spread = end("a").join(sizes, "tree_id").filter(F.col("position_a") < F.col("last")).withColumn("position_b", F.explode(F.sequence(F.col("position_a") + 1, F.col("last"))))
+        met = spread.join(end("b"), ["tree_id", "position_b"])
+    else:
+        asked = pairs.select("tree_id", F.col("tip_a").alias("node_a"), F.col("tip_b").alias("node_b"))
+        met = asked.join(end("a"), ["tree_id", "node_a"]).join(end("b"), ["tree_id", "node_b"])
+    gap = F.abs(F.col("position_a") - F.col("position_b"))
+    met = met.withColumn("k", F.length(F.bin(gap)) - 1).withColumn("i", F.least("position_a", "position_b")).withColumn(
+        "i2", F.greatest("position_a", "position_b") - F.expr("shiftleft(1L, k)"))
+    first = table.select("tree_id", "k", "i", F.col("low").alias("low1"))
+    second = table.select("tree_id", "k", F.col("i").alias("i2"), F.col("low").alias("low2"))
+    own_low = F.when(gap == 0, F.struct(F.col("hops_a").alias("hops"), F.col("node_a").alias("node"), F.col("depth_a").alias("depth")))
+    found = met.join(first, ["tree_id", "k", "i"], "left").join(second, ["tree_id", "k", "i2"], "left").withColumn("low", F.coalesce(own_low, F.least("low1", "low2")))
+    a, b = (F.col("node_a"), F.col("node_b")) if pairs is not None else (F.least("node_a", "node_b"), F.greatest("node_a", "node_b"))
+    return found.select(
+        "tree_id", a.alias("tip_a"), b.alias("tip_b"), F.col("low.node").alias("mrca"),
+        (F.col("depth_a") + F.col("depth_b") - 2 * F.col("low.depth")).alias("patristic"),
+        (F.col("hops_a") + F.col("hops_b") - 2 * F.col("low.hops")).alias("edge_count"), F.col("low.depth").alias("mrca_depth"),
     )
 
 
@@ -289,27 +364,14 @@ def midpoint_root(edges: DataFrame, closure: DataFrame, tips: DataFrame, new_nod
     return joined.unionByName(same)
 
 
-def tip_order(
-    edges: DataFrame, closure: DataFrame, tips: DataFrame, ladderize: bool = False, prefix: int = 15
-) -> DataFrame:
+def tip_order(edges: DataFrame, tips: DataFrame, ladderize: bool = False) -> DataFrame:
     """0-based drawing position of every tip: (tree_id, tip, position).
 
-    A tip stands behind all tips of earlier siblings along its path, so positions are
-    sums over ancestors of prefix counts among siblings; no overall sort is needed.
-    Siblings go by node id, or with ``ladderize`` by clade size first. The first ``prefix``
-    letters of the id cut a node with very many children into ordered buckets.
+    A tip stands behind all tips of earlier siblings along its path; siblings go by node id, or with ``ladderize`` by
+    clade size first.
     """
-    sizes = clade_sizes(closure, tips)
-    sib = edges.select("tree_id", "node", "parent").join(sizes, ["tree_id", "node"])
-    by = ["n_tips", "node"] if ladderize else ["node"]
-    head = F.substring("node", 1, prefix)
-    grow = F.struct("n_tips", head.alias("head")) if ladderize else head
-    before = prefix_scan(sib, ["tree_id", "parent"], by, grow, {"before": ("sum", "n_tips")}).select(
-        "tree_id", F.col("node").alias("anc"), "before"
-    )
-    return closure.join(tips.select("tree_id", F.col("node").alias("desc")), ["tree_id", "desc"]).join(
-        before, ["tree_id", "anc"]
-    ).groupBy("tree_id", F.col("desc").alias("tip")).agg(F.sum("before").alias("position"))
+    seats = seated_nodes(edges, tips, ladderize)
+    return seats.join(tips.select("tree_id", "node"), ["tree_id", "node"], "left_semi").select("tree_id", F.col("node").alias("tip"), "position")
 
 
 def tip_overlap(first: DataFrame, second: DataFrame, on: str = "tip") -> DataFrame:
@@ -342,7 +404,7 @@ def tangle_crossings(first: DataFrame, second: DataFrame, on: str = "tip") -> Da
     return scan.agg(F.coalesce(F.sum(F.when(F.col("bit") == 0, F.col("ones"))), F.lit(0)).alias("crossings"))
 
 
-def tip_depth_percentile(edges: DataFrame, closure: DataFrame, tips: DataFrame, percent: float = 99.0) -> DataFrame:
+def tip_depth_percentile(edges: DataFrame, tips: DataFrame, percent: float = 99.0) -> DataFrame:
     """Interpolated percentile and maximum of tip depth per tree."""
-    depth = node_depths(edges, closure).join(tips.select("tree_id", "node"), ["tree_id", "node"], "left_semi")
+    depth = node_depths(edges).join(tips.select("tree_id", "node"), ["tree_id", "node"], "left_semi")
     return exact_percentiles(depth, ["tree_id"], "depth", {"depth_pct": percent / 100, "max_depth": 1.0})

@@ -236,7 +236,7 @@ SELECT tip, CAST(max(d) FILTER (WHERE other = 'n0') AS DOUBLE) AS n0, CAST(max(d
 def _(t: Tables):
     path = _new(t, "dist")
     edges, closure, tips = _parts(t.nation_tree)
-    d = tr.tree_distances(edges, closure, tips).select("tip_a", "tip_b", F.col("patristic").cast("double").alias("distance"))
+    d = tr.tree_distances(edges, tips).select("tip_a", "tip_b", F.col("patristic").cast("double").alias("distance"))
     wr.write_distance_matrix(d, tips.select(F.col("node").alias("tip")), path)
     wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)
     return wide.select("tip", F.col("n0").cast("double").alias("n0"), F.col("n13").cast("double").alias("n13"), F.lit(len(wide.columns) - 1).cast("long").alias("n_columns"))

@@ -22,6 +22,11 @@ def _parts(edges: DataFrame):
     return edges, tr.tree_closure(edges), tr.tree_tips(edges)
 
 
+def _tips(edges: DataFrame):
+    edges = cut(edges)
+    return edges, tr.tree_tips(edges)
+
+
 @query("tree_closure", f"WITH {T_ALL} SELECT 't' AS tree_id, anc, descn AS \"desc\", dist, hops, branch FROM closure")
 def _(t: Tables):
     return tr.tree_closure(t.tree)
@@ -29,7 +34,7 @@ def _(t: Tables):
 
 @query("node_depths", f"WITH {T_ALL} SELECT 't' AS tree_id, descn AS node, dist AS depth, hops FROM closure WHERE anc = 'root'")
 def _(t: Tables):
-    return tr.node_depths(t.tree, tr.tree_closure(t.tree))
+    return tr.node_depths(cut(t.tree))
 
 
 @query("clade_members", f"WITH {T_ALL} SELECT 't' AS tree_id, anc AS node, descn AS tip, dist, hops, branch FROM closure WHERE descn IN (SELECT node FROM tips)")
@@ -49,7 +54,18 @@ def _(t: Tables):
 SELECT 't' AS tree_id, x.descn AS tip_a, y.descn AS tip_b, x.anc AS mrca, CAST(x.dist + y.dist AS BIGINT) AS patristic, x.hops + y.hops AS edge_count, CAST(r.dist AS BIGINT) AS mrca_depth
 FROM a x JOIN a y ON x.anc = y.anc AND x.descn < y.descn AND x.branch <> y.branch JOIN closure r ON r.anc = 'root' AND r.descn = x.anc""")
 def _(t: Tables):
-    return tr.tree_distances(*_parts(t.nation_tree))
+    return tr.tree_distances(*_tips(t.nation_tree))
+
+
+@query("tree_distances_of_pairs", f"""WITH {T_ALL}, p AS (SELECT a.c_name AS tip_a, b.c_name AS tip_b FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey * 7 % 1009 + 1),
+u AS (SELECT * FROM closure WHERE descn IN (SELECT node FROM tips)),
+m AS (SELECT tip_a, tip_b, max_by(x.anc, r.hops) AS mrca, max(r.hops) AS top FROM p JOIN u x ON x.descn = tip_a JOIN u y ON y.descn = tip_b AND y.anc = x.anc JOIN closure r ON r.anc = 'root' AND r.descn = x.anc GROUP BY 1, 2)
+SELECT 't' AS tree_id, tip_a, tip_b, mrca, CAST(x.dist + y.dist AS BIGINT) AS patristic, x.hops + y.hops AS edge_count, CAST(r.dist AS BIGINT) AS mrca_depth
+FROM m JOIN closure x ON x.descn = tip_a AND x.anc = mrca JOIN closure y ON y.descn = tip_b AND y.anc = mrca JOIN closure r ON r.anc = 'root' AND r.descn = mrca""")
+def _(t: Tables):
+    a = t.customer.select(F.col("c_name").alias("tip_a"), (F.col("c_custkey") * 7 % 1009 + 1).alias("c_custkey"))
+    pairs = a.join(t.customer.select("c_custkey", F.col("c_name").alias("tip_b")), "c_custkey").select(F.lit("t").alias("tree_id"), "tip_a", "tip_b")
+    return tr.tree_distances(*_tips(t.tree), pairs)
 
 
 RATIO = KEEP_ALL + f""", ppair AS (SELECT strain1 AS a, strain2 AS b, div FROM kall),
@@ -126,14 +142,13 @@ def _(t: Tables):
 
 @query("tip_order", """SELECT 't' AS tree_id, c_name AS tip, row_number() OVER (ORDER BY 'r' || n_regionkey, 'n' || c_nationkey, c_name) - 1 AS position FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def _(t: Tables):
-    edges, closure, tips = _parts(t.tree)
-    return tr.tip_order(edges, closure, tips)
+    return tr.tip_order(*_tips(t.tree))
 
 
 @query("tip_order_ladderized", """WITH s AS (SELECT *, count(*) OVER (PARTITION BY n_regionkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS nn FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT 't' AS tree_id, c_name AS tip, row_number() OVER (ORDER BY rn, 'r' || n_regionkey, nn, 'n' || c_nationkey, c_name) - 1 AS position FROM s""")
 def _(t: Tables):
-    return tr.tip_order(*_parts(t.tree), ladderize=True)
+    return tr.tip_order(*_tips(t.tree), ladderize=True)
 
 
 @query("tip_overlap", """SELECT count(*) FILTER (WHERE c_acctbal > 0 AND c_acctbal < 8000) AS shared, count(*) FILTER (WHERE c_acctbal > 0 AND NOT c_acctbal < 8000) AS only_first, count(*) FILTER (WHERE NOT c_acctbal > 0 AND c_acctbal < 8000) AS only_second FROM customer""")
@@ -145,12 +160,12 @@ def _(t: Tables):
 @query("tangle_crossings", """WITH o AS (SELECT row_number() OVER (ORDER BY 'r' || n_regionkey, 'n' || c_nationkey, c_name) AS y1, row_number() OVER (ORDER BY c_mktsegment, c_name) AS y2 FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT count(*) AS crossings FROM o a JOIN o b ON a.y1 < b.y1 AND a.y2 > b.y2""")
 def _(t: Tables):
-    return tr.tangle_crossings(tr.tip_order(*_parts(t.tree)), tr.tip_order(*_parts(t.tree2)))
+    return tr.tangle_crossings(tr.tip_order(*_tips(t.tree)), tr.tip_order(*_tips(t.tree2)))
 
 
 @query("tip_depth_percentile", f"WITH {T_ALL} SELECT 't' AS tree_id, count(*) AS n, round(quantile_cont(dist, 0.99), 6) AS depth_pct, CAST(max(dist) AS DOUBLE) AS max_depth FROM closure WHERE anc = 'root' AND descn IN (SELECT node FROM tips)")
 def _(t: Tables):
-    return tr.tip_depth_percentile(*_parts(t.tree)).withColumn("depth_pct", F.round("depth_pct", 6))
+    return tr.tip_depth_percentile(*_tips(t.tree)).withColumn("depth_pct", F.round("depth_pct", 6))
 
 
 # --- clusters ---------------------------------------------------------------
