@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cladeframe.functions.cooccur import cooccurrence_counts
 from cladeframe.functions.distributions import fisher_p, normal_upper_tail
 from cladeframe.functions.lineage import cut
+from cladeframe.functions.selection import ranked_differences
 from cladeframe.functions.scan import double_bucket, exact_percentiles, prefix_scan, range_bucket
 
 
@@ -97,15 +98,16 @@ def _value_bucket(hist: DataFrame) -> Column:
 
 def rank_sum_test(
     df: DataFrame, value: str, group: str, first: str, second: str, z: float = 1.959963984540054,
-    max_distinct: int = 20000,
+    pair_limit: int = 1_000_000,
 ) -> DataFrame:
     """Wilcoxon W of ``first``, two-sided normal p (tie and continuity corrected), shift and CI.
 
-    Everything comes from the histogram of values. The Hodges–Lehmann shift is the
-    weighted median of value differences; it needs discrete values (calendar years)
-    and raises beyond ``max_distinct`` of them rather than dropping any.
+    Everything comes from the histogram of values. The Hodges–Lehmann shift and its bounds
+    are differences of given rank, found by bisection over both histograms, so measures
+    may be continuous; ``pair_limit`` only says when the rest is listed. A missing group
+    gives nulls.
     """
-    hist = _two_group_histogram(df, value, group, first, second)
+    hist = cut(_two_group_histogram(df, value, group, first, second).filter("v IS NOT NULL"))
     scan = prefix_scan(hist, [], ["v"], _value_bucket(hist), {"below": ("sum", F.col("n1") + F.col("n2"))})
     t = (F.col("n1") + F.col("n2")).cast("double")
     mid = F.col("below") + (t + 1) / 2
@@ -123,29 +125,16 @@ def rank_sum_test(
         F.try_divide(dev - F.signum(dev) * 0.5, sigma).alias("z"),
     ).withColumn("pvalue", F.least(F.lit(1.0), 2 * normal_upper_tail(F.abs("z"))))
 
-    other = hist.filter("n2 > 0").agg(F.collect_list(F.struct(F.col("v").alias("u"), F.col("n2").alias("m")))).scalar()
-    bounded = hist.filter("n1 > 0").withColumn("o", other).withColumn(
-        "o", F.when(F.size("o") > max_distinct, F.raise_error(F.lit("too many distinct values for the shift"))).otherwise(F.col("o"))
-    )
-    diffs = bounded.select("v", "n1", F.inline("o")).groupBy((F.col("v") - F.col("u")).alias("v")).agg(
-        F.sum(F.col("n1") * F.col("m")).alias("weight")
-    )
-    cum = prefix_scan(diffs, [], ["v"], _value_bucket(diffs), {"upto": ("sum", "weight")}, inclusive=True)
-    total = diffs.agg(F.sum("weight").cast("double")).scalar()
-    stat_row = stat.agg(F.first(F.struct("n1", "n2"))).scalar()
-    a, b = stat_row["n1"].cast("double"), stat_row["n2"].cast("double")
-    rank = F.floor(a * b / 2 - z * F.sqrt(a * b * (a + b + 1) / 12))
-    rank = F.greatest(rank, F.lit(1))
-
-    def at(position):
-        return F.min(F.when(F.col("upto") >= position, F.col("v")))
-
-    shift = cum.agg(
-        ((at(F.floor((total + 1) / 2)) + at(F.floor((total + 2) / 2))) / 2).alias("shift"),
-        at(rank).alias("ci_low"), at(total + 1 - rank).alias("ci_high"),
-    )
-    packed = shift.agg(F.first(F.struct("shift", "ci_low", "ci_high"))).scalar()
-    return stat.withColumn("s", packed).select("n1", "n2", "w", "z", "pvalue", "s.shift", "s.ci_low", "s.ci_high")
+    stat = cut(stat)
+    sizes = stat.first()
+    a, b = sizes["n1"] or 0, sizes["n2"] or 0
+    found = [None] * 4
+    if a and b:
+        rank = max(1, math.floor(a * b / 2 - z * math.sqrt(a * b * (a + b + 1) / 12)))
+        found = ranked_differences(hist, [(a * b + 1) // 2, (a * b + 2) // 2, rank, a * b + 1 - rank], pair_limit)
+    middle = None if found[0] is None else (found[0] + found[1]) / 2
+    at = lambda x, name: F.lit(x).cast("double").alias(name)
+    return stat.select("n1", "n2", "w", "z", "pvalue", at(middle, "shift"), at(found[2], "ci_low"), at(found[3], "ci_high"))
 
 
 def ks_two_sample(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:

@@ -256,6 +256,18 @@ def _(t: Tables):
     return st.rank_sum_test(_years(t), "v", "g", "F", "other").select("n1", "n2", "w", _r("z"), "shift", "ci_low", "ci_high")
 
 
+@query("rank_sum_continuous", """WITH v AS (SELECT round(c_acctbal, 2) AS v, c_mktsegment AS g FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+r AS (SELECT *, avg(i) OVER (PARTITION BY v) AS mid FROM (SELECT *, row_number() OVER (ORDER BY v) AS i FROM v)),
+s AS (SELECT count(*) FILTER (g = 'BUILDING') AS n1, count(*) FILTER (g <> 'BUILDING') AS n2, sum(mid) FILTER (g = 'BUILDING') AS r1 FROM r),
+d AS (SELECT a.v - b.v AS d, row_number() OVER (ORDER BY a.v - b.v) AS i FROM v a JOIN v b ON a.g = 'BUILDING' AND b.g <> 'BUILDING'),
+k AS (SELECT *, n1 * n2 AS total, greatest(1, floor(n1 * n2 / 2 - 1.959963984540054 * sqrt(n1 * n2 * (n1 + n2 + 1) / 12))) AS k FROM s)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, any_value(r1) - any_value(n1) * (any_value(n1) + 1) / 2 AS w,
+  round(avg(d) FILTER (i = (total + 1) // 2 OR i = (total + 2) // 2), 4) AS shift, round(min(d) FILTER (i = k), 4) AS ci_low, round(min(d) FILTER (i = total + 1 - k), 4) AS ci_high FROM d, k GROUP BY n1, n2""")
+def _(t: Tables):
+    test = st.rank_sum_test(t.customer.withColumn("v", F.round("c_acctbal", 2)), "v", "c_mktsegment", "BUILDING", "MACHINERY")
+    return test.select("n1", "n2", "w", _r("shift", 4), _r("ci_low", 4), _r("ci_high", 4))
+
+
 @query("ks_two_sample", f"""WITH {YEARS}, h AS (SELECT v, count(*) FILTER (WHERE g = 'F') AS n1, count(*) FILTER (WHERE g = 'other') AS n2 FROM yr GROUP BY v),
 c AS (SELECT sum(n1) OVER (ORDER BY v) / sum(n1) OVER () AS f1, sum(n2) OVER (ORDER BY v) / sum(n2) OVER () AS f2, sum(n1) OVER () AS n1, sum(n2) OVER () AS n2 FROM h),
 d AS (SELECT max(abs(f1 - f2)) AS d, max(n1)::DOUBLE AS n1, max(n2)::DOUBLE AS n2 FROM c)
