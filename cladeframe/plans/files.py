@@ -141,14 +141,19 @@ def _(t: Tables):
     return rd.scan_presence_matrix(t.spark, path)
 
 
-@query("write_presence_matrix", f"WITH m AS ({MATRIX}) SELECT feature AS \"Gene\", count(*) FILTER (WHERE sample = 'n0') AS n0, count(*) FILTER (WHERE sample = 'n7') AS n7, count(*) AS total FROM m GROUP BY feature")
+def _long(wide: DataFrame, row: str) -> DataFrame:
+    """All cells of a wide table, one row each."""
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("value")) for c in wide.columns if c != row])
+    return wide.select(row, F.inline(cells))
+
+
+@query("write_presence_matrix", f"""WITH m AS ({MATRIX}), g AS (SELECT DISTINCT feature FROM m), s AS (SELECT DISTINCT sample FROM m)
+SELECT g.feature AS "Gene", s.sample AS col, CAST(count(m.feature) AS BIGINT) AS value FROM g CROSS JOIN s LEFT JOIN m ON m.feature = g.feature AND m.sample = s.sample GROUP BY 1, 2""")
 def _(t: Tables):
     path = _new(t, "rtab")
     cells = _matrix_cells(t)
     wr.write_presence_matrix(cells, cells.select("sample").distinct(), path)
-    wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)
-    cols = [c for c in wide.columns if c != "Gene"]
-    return wide.select("Gene", *[F.col(c).cast("long").alias(c) for c in ("n0", "n7")], sum(F.col(c).cast("long") for c in cols).alias("total"))
+    return _long(t.spark.read.option("header", "true").option("sep", "\t").csv(path), "Gene").withColumn("value", F.col("value").cast("long"))
 
 
 @query("scan_id_list", "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'g' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS id, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
@@ -230,16 +235,14 @@ def _(t: Tables):
     return back.select(F.col("value").alias("strain"), F.regexp_extract("file", r"/list=([^/]*)/", 1).alias("list"))
 
 
-@query("write_distance_matrix", f"""WITH {T_NATION}, a AS (SELECT * FROM closure WHERE descn IN (SELECT node FROM tips)),
-d AS (SELECT x.descn AS tip, y.descn AS other, min(x.dist + y.dist) AS d FROM a x JOIN a y ON x.anc = y.anc GROUP BY ALL)
-SELECT tip, CAST(max(d) FILTER (WHERE other = 'n0') AS DOUBLE) AS n0, CAST(max(d) FILTER (WHERE other = 'n13') AS DOUBLE) AS n13, count(*) AS n_columns FROM d GROUP BY tip""")
+@query("write_distance_matrix", f"""WITH {T_NATION}, a AS (SELECT * FROM closure WHERE descn IN (SELECT node FROM tips))
+SELECT x.descn AS tip, y.descn AS col, CAST(min(x.dist + y.dist) AS DOUBLE) AS value FROM a x JOIN a y ON x.anc = y.anc GROUP BY ALL""")
 def _(t: Tables):
     path = _new(t, "dist")
-    edges, closure, tips = _parts(t.nation_tree)
+    edges, _, tips = _parts(t.nation_tree)
     d = tr.tree_distances(edges, tips).select("tip_a", "tip_b", F.col("patristic").cast("double").alias("distance"))
     wr.write_distance_matrix(d, tips.select(F.col("node").alias("tip")), path)
-    wide = t.spark.read.option("header", "true").option("sep", "\t").csv(path)
-    return wide.select("tip", F.col("n0").cast("double").alias("n0"), F.col("n13").cast("double").alias("n13"), F.lit(len(wide.columns) - 1).cast("long").alias("n_columns"))
+    return _long(t.spark.read.option("header", "true").option("sep", "\t").csv(path), "tip").withColumn("value", F.col("value").cast("double"))
 
 
 @query("incremental_ingest", "SELECT user_id AS genome, event_type AS contig, count(*) AS n FROM events GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_COLUMNS = 20000
+from cladeframe.sources.wide import folder_of, write_wide
 
 
 def write_fasta_groups(contigs: DataFrame, path: str, width: int = 80) -> None:
@@ -27,21 +27,11 @@ def select_contigs(labels: DataFrame, contigs: DataFrame, wanted: Sequence[str],
     return out.join(statuses.select("genome"), "genome", "left_semi") if statuses is not None else out
 
 
-def _names(roster: DataFrame, column: str) -> list[str]:
-    """The columns of a wide file. A roster is small; one too long for a wide file raises."""
-    names = [r[0] for r in roster.select(F.col(column).cast("string")).distinct().limit(MAX_COLUMNS + 1).collect()]
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"a wide table of more than {MAX_COLUMNS} columns; keep the long form")
-    return sorted(names)
-
-
 def write_presence_matrix(cells: DataFrame, roster: DataFrame, path: str, by: str | None = None) -> None:
     """Features as rows, genomes as columns, first header ``Gene``; with ``by`` one folder per feature class."""
-    names = _names(roster, "sample")
-    keys = [F.col("feature").alias("Gene")] + ([F.col(by)] if by else [])
-    wide = cells.groupBy(*keys).pivot("sample", names).agg(F.first(F.lit(1))).na.fill(0, names)
-    writer = wide.write.option("header", "true").option("sep", "\t")
-    (writer.partitionBy(by) if by else writer).csv(path)
+    kept = [by] if by else []
+    named = cells.select(F.col("feature").alias("row"), F.col("sample").alias("col"), F.lit("1").alias("value"), *kept)
+    write_wide(named, cells.select(F.col("feature").alias("row")), roster.select(F.col("sample").alias("col")), path, "Gene", "0", folder_of(by, F.col(by)) if by else None)
 
 
 def write_cluster_lists(members: DataFrame, path: str, min_size: int = 3, base: str = "set") -> None:
@@ -56,15 +46,9 @@ def write_cluster_lists(members: DataFrame, path: str, min_size: int = 3, base:
     used.select(F.concat(F.lit(f"{base}_cf_"), F.col("list")).alias("value")).distinct().write.text(os.path.join(path, "index"))
 
 
-def distance_matrix(distances: DataFrame, tips: DataFrame, a: str = "tip_a", b: str = "tip_b", value: str = "distance") -> DataFrame:
-    """Square table with one row and one column per tip in the same order; the diagonal is 0."""
-    names = _names(tips, "tip")
-    both = distances.select(F.col(a).alias("tip"), F.col(b).alias("other"), F.col(value).alias("d")).unionByName(
-        distances.select(F.col(b).alias("tip"), F.col(a).alias("other"), F.col(value).alias("d"))
-    )
-    own = tips.select(F.col("tip"), F.col("tip").alias("other"), F.lit(0).cast("double").alias("d"))
-    return both.unionByName(own).groupBy("tip").pivot("other", names).agg(F.first("d")).orderBy("tip")
-
-
-def write_distance_matrix(distances: DataFrame, tips: DataFrame, path: str, **kw: str) -> None:
-    distance_matrix(distances, tips, **kw).write.option("header", "true").option("sep", "\t").csv(path)
+def write_distance_matrix(distances: DataFrame, tips: DataFrame, path: str, a: str = "tip_a", b: str = "tip_b", value: str = "distance") -> None:
+    """Square table with one row and one column per tip in the same order; the diagonal is 0, unknown pairs are empty."""
+    cell = lambda row, col, d: distances.select(F.col(row).cast("string").alias("row"), F.col(col).cast("string").alias("col"), F.col(d).cast("double").alias("value"))
+    tip = F.col("tip").cast("string")
+    own = tips.select(tip.alias("row"), tip.alias("col"), F.lit(0.0).alias("value"))
+    write_wide(cell(a, b, value).unionByName(cell(b, a, value)).unionByName(own), tips.select(tip.alias("row")), tips.select(tip.alias("col")), path, "tip")
