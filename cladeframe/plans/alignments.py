@@ -269,8 +269,8 @@ def _(t: Tables):
 
 # --- multi-genome blocks ----------------------------------------------------
 BLOCKS = """lg AS (SELECT conv_id, max(length(text)) AS size FROM conversations GROUP BY conv_id),
-br AS (SELECT conv_id AS label, role AS isolate, text || repeat('-', size - length(text)) AS seq, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM conversations JOIN lg USING (conv_id) WHERE role <> 'system'),
-cb AS (SELECT label, isolate, seq FROM br WHERE rn = 1 AND label IN (SELECT label FROM br GROUP BY label HAVING count(DISTINCT isolate) = 2))"""
+br AS (SELECT conv_id AS label, role AS isolate, text || repeat('-', size - length(text)) AS seq, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM conversations JOIN lg USING (conv_id)),
+cb AS (SELECT label, isolate, seq FROM br WHERE rn = 1 AND label IN (SELECT label FROM br GROUP BY label HAVING count(DISTINCT isolate) = (SELECT count(DISTINCT role) FROM conversations)))"""
 COLS = BLOCKS + """, ch AS (SELECT label, isolate, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM cb),
 inf AS (SELECT label, i FROM ch GROUP BY label, i HAVING count(*) FILTER (WHERE c NOT IN ('-', 'N')) > 1),
 ic AS (SELECT ch.* FROM ch JOIN inf USING (label, i))"""

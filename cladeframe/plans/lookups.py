@@ -170,14 +170,15 @@ def _(t: Tables):
     return mb.group_sizes(lists, mb.priority_group_assignment(lists, overwrite=True))
 
 
-CALLS = """calls AS (SELECT c_custkey AS genome, CASE WHEN c_acctbal > 5000 THEN 'pos' WHEN c_acctbal > 2000 THEN 'partial' ELSE 'neg' END AS status FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+CALLS = """calls AS (SELECT c_custkey AS genome, CASE WHEN c_acctbal > 5000 THEN 'pos' WHEN c_acctbal > 2000 THEN 'partial' WHEN c_acctbal >= 0 THEN 'neg' END AS status FROM customer),
 old AS (SELECT DISTINCT o_custkey AS genome FROM orders WHERE o_totalprice > 450000)"""
 
 
 def _calls(t: Tables):
     b = F.col("c_acctbal")
-    return t.customer.filter("c_mktsegment <> 'MACHINERY'").select(
-        F.col("c_custkey").alias("genome"), F.when(b > 5000, "pos").when(b > 2000, "partial").otherwise("neg").alias("status")
+    # an overdrawn customer stands for a genome without a call
+    return t.customer.select(
+        F.col("c_custkey").alias("genome"), F.when(b > 5000, "pos").when(b > 2000, "partial").when(b >= 0, "neg").alias("status")
     )
 
 
@@ -273,8 +274,8 @@ def _(t: Tables):
 
 
 CONSENSUS = """ct AS (SELECT source AS genome, doc_id AS contig, length(text) AS length FROM documents),
-h AS (SELECT source AS genome, doc_id AS contig, length(text) * (doc_id % 7) // 10 AS s, length(text) * (doc_id % 7 + 3) // 10 AS e FROM documents WHERE lang <> 'fr'
-  UNION ALL SELECT source, doc_id, length(text) * (doc_id % 5) // 10, length(text) * (doc_id % 5 + 4) // 10 FROM documents WHERE lang <> 'fr'),
+h AS (SELECT source AS genome, doc_id AS contig, length(text) * (doc_id % 7) // 10 AS s, length(text) * (doc_id % 7 + 3) // 10 AS e FROM documents
+  UNION ALL SELECT source, doc_id, length(text) * (doc_id % 5) // 10, length(text) * (doc_id % 5 + 4) // 10 FROM documents),
 pos AS (SELECT genome, contig, s, e, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
 cov AS (SELECT genome, contig, sum(greatest(0, e - greatest(s, coalesce(reach, s)))) AS c FROM pos GROUP BY ALL),
 v AS (SELECT doc_id AS contig, CASE WHEN quality = 1 THEN 1 ELSE 0 END + CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS n FROM labels),
@@ -285,7 +286,7 @@ lb AS (SELECT *, CASE WHEN aligned_share >= 0.5 THEN CASE WHEN length >= 1500 TH
 
 def _hits(t: Tables):
     n, k = F.length("text"), F.col("doc_id")
-    one = lambda m, w: t.documents.filter("lang <> 'fr'").select(
+    one = lambda m, w: t.documents.select(
         F.col("source").alias("genome"), k.alias("contig"), F.floor(n * (k % m) / 10).alias("start"), F.floor(n * (k % m + w) / 10).alias("end")
     )
     return one(7, 3).unionByName(one(5, 4))

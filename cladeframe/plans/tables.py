@@ -129,7 +129,7 @@ class Tables:
 
     @cached_property
     def block_roster(self) -> DataFrame:
-        return self.conversations.select(F.col("role").alias("isolate")).filter(F.col("isolate") != "system").distinct()
+        return self.conversations.select(F.col("role").alias("isolate")).distinct()
 
     # --- trees --------------------------------------------------------------
     @cached_property
