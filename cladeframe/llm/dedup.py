@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cladeframe.functions.lineage import cut
+from cladeframe.functions.scan import sorted_index
 from cladeframe.llm.common import bounded_batches, components, mix64, table
 
 WORDS, BANDS, ROWS = 5, 32, 7
@@ -213,7 +214,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     other columns are ignored. Equal texts are one node from the start, found by digest, so copies cost no
     comparison.
     """
-    sketched = cut(sketch(docs))
+    whole = linked(cut(sketch(docs)), similarity)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return ids.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+
+
+def linked(sketched: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of every doc_id of ``sketch`` rows that is linked to a smaller one, with the smallest it reaches."""
     texts = cut(sketched.groupBy("sha").agg(F.min("doc_id").alias("rep")))
     member = sketched.select("doc_id", "sha").join(texts.select("sha", "rep"), "sha").select("doc_id", "rep")
     ties = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -252,16 +259,26 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         labels = cut(labels.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")))
         placed = buckets.join(labels, "rep")
 
-    whole = components(ties.unionByName(labels.filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    return components(ties.unionByName(labels.filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row of each class: that of the smallest doc_id, once. Rows without doc_id all stay."""
-    kept = cut(near_classes(docs, similarity).filter("doc_id = class_id").select("doc_id").distinct())
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each class of texts, that of the smallest doc_id, once.
+
+    Here texts are the nodes, numbered by their smallest doc_id and digest, so an id with several texts keeps those
+    that nothing else resembles, and rows without an id are compared like the others and come last. Null texts
+    count as empty; other columns may have any names; an empty table gives no rows.
+    """
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), sha)
+    first = rows.groupBy("sha").agg(F.min("id").alias("first"))
+    order = [F.col("first").isNull().alias("late"), "first", "sha"]
+    numbers = cut(sorted_index(first.select(*order), ["late", "first", "sha"], "doc_id"))
+    sketched = sketch(docs.select(F.lit(0).alias("doc_id"), "text")).drop("doc_id").dropDuplicates(["sha"])
+    whole = linked(cut(sketched.join(numbers.select("sha", "doc_id"), "sha")), similarity)
+    kept = numbers.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("first", F.col("sha").alias("own"))
+    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("first")) & (F.col("sha") == F.col("own")), "left_semi")
+    return chosen.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op8(spark, folder: str) -> DataFrame:

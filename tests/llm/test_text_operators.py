@@ -512,3 +512,38 @@ def test_pipeline_stages(spark, rows):
     packed = corpus_pipeline.run(spark, folder)
     assert packed.select("doc_id").distinct().join(at.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0
     assert packed.groupBy("doc_id").agg(F.sum(F.when(F.col("piece") == 0, 1)).alias("n")).agg(F.sum("n")).first()[0] == at.count()
+
+
+def test_texts_of_one_id_are_kept_apart(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    data = [(1, a), (1, b), (7, b), (7, c), (7, c), (None, c), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "k", 1, "r") for i, t in data], "doc_id long, text string, sha string, first int, row string")
+    kept = dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (1, b), (7, c), (9, "")])
+    assert dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_long_quoted_values_are_candidates():
+    for size in (6, 150, 260, 5000):
+        text = f'the code: "{"k$" * (size // 2)}" ends'
+        start, end, _, _ = secrets.candidates_of(text, [])
+        assert (11, 11 + size) in set(zip(start.tolist(), end.tolist()))
+
+
+def test_pipeline_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(12)]
+    data = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s1", 1), (None, texts[4], None, None, None), (20, None, "en", "s0", None), (21, "", "en", None, 0)]
+    labels = [(i, 1, i % 2) for i in range(6)] + [(None, 1, 1), (7, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = ["f", "score", "h", "copies", "row", "sha", "id", "col"]
+    df = spark.createDataFrame([(*d, *["x"] * len(extra)) for d in data], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.cut(stage(spark, df, str(tmp_path)))
+        assert out.columns == df.columns and out.filter("f <> 'x' or score <> 'x' or copies <> 'x'").isEmpty(), name
+        assert common.cut(stage(spark, df.limit(0), str(tmp_path))).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).select("doc_id").distinct().count() == 15
