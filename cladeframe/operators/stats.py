@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cladeframe.functions.cooccur import cooccurrence_counts
 from cladeframe.functions.distributions import fisher_p, normal_upper_tail
+from cladeframe.functions.eigen import BLOCK, centred_spectrum, square_blocks
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.selection import ranked_differences
 from cladeframe.functions.scan import double_bucket, exact_percentiles, prefix_scan, range_bucket
@@ -222,73 +223,50 @@ def jaccard_distance(cells: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def pcoa(
-    distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "sample_b", max_samples: int = 15000
+    distances: DataFrame, n_axes: int = 5, a: str = "sample_a", b: str = "sample_b", basis: int = 1024
 ) -> DataFrame:
     """Principal coordinates (sample, axis, coordinate, eigenvalue, explained) of a distance table.
 
-    The centred matrix is built by aggregation. Its eigenvalues come from the SVD of a
-    distributed row matrix: an axis counts as positive when its left and right vectors
-    agree in sign. The SVD works on squares, so eigenvalues below 1e-7 of the largest are
-    noise. Each sign is fixed so that the largest entry is positive. All eigenvalues are
-    needed for the explained share and the decomposition returns its right vectors to the
-    driver, so a roster beyond ``max_samples`` raises; group identical profiles first.
+    Every pair stands in the table once; a pair that is missing or null is at distance 0. Axes are those of
+    eigenvalues above 1e-10 (and above 1e-9 of the largest, the noise), each sign such that the largest entry is
+    positive. The squared distances stay in blocks on the executors and are multiplied with a few columns at a
+    time (``functions/eigen.py``), so the roster has no bound but the size of the distance table. ``explained``
+    is the share of the sum of positive eigenvalues: exact up to ``basis`` samples and for Euclidean
+    distances of any number, elsewhere with the negative eigenvalues' part of that sum estimated.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    half = cut(distances.select(F.col(a).alias("i"), F.col(b).alias("j"), (F.col("distance") ** 2).alias("d2")))
-    full = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
-    ids = half.select("i").union(half.select("j")).distinct()
-    ids = cut(prefix_scan(
-        ids, [], ["i"], F.lit(0), {"k": ("sum", F.lit(1).cast("long"))}
-    ))
+    pairs = cut(distances.select(F.col(a).alias("i"), F.col(b).alias("j"), (F.col("distance") ** 2).alias("v")))
+    ids = pairs.select("i").union(pairs.select("j")).distinct()
+    ids = cut(prefix_scan(ids, [], ["i"], F.lit(0), {"k": ("sum", F.lit(1).cast("long"))})).select(
+        F.col("i").alias("sample"), "k")
     n = ids.count()
-    if n > max_samples:
-        raise ValueError(f"{n} samples; group identical profiles first or raise max_samples")
-    row_mean = full.groupBy("i").agg((F.sum("d2") / n).alias("rm"))
-    grand = full.agg(F.sum("d2") / (n * n)).scalar()
-    diag = ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d2"))
-    other = row_mean.select(F.col("i").alias("j"), F.col("rm").alias("cm"))
-    centred = (
-        full.unionByName(diag).join(row_mean, "i").join(other, "j").withColumn("g", grand)
-        .select("i", "j", (-0.5 * (F.col("d2") - F.col("rm") - F.col("cm") + F.col("g"))).alias("v"))
-    )
-    col_ids = ids.select(F.col("i").alias("j"), F.col("k").alias("c"))
-    # one matrix row per sample: n doubles, the square root of the table
-    rows = centred.join(ids, "i").join(col_ids, "j").groupBy("k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("row")
-    )
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["k"], Vectors.dense(r["row"]))))
-    svd = matrix.computeSVD(n, computeU=True)
-    sigma = np.array(svd.s)
-    right = svd.V.toArray()
     spark = distances.sparkSession
-    left = spark.createDataFrame(
-        svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector])), "k long, u array<double>"
-    )
-    v_rows = spark.createDataFrame(
-        [(int(k), [float(x) for x in right[k]]) for k in range(n)], "k long, v array<double>"
-    )
-    both = left.join(v_rows, "k").select("k", F.posexplode(F.arrays_zip("u", "v")).alias("axis", "uv")).select(
-        "k", "axis", "uv.u", "uv.v"
-    )
-    top = float(sigma[0]) if len(sigma) else 0.0
-    s = spark.createDataFrame([(i, float(x)) for i, x in enumerate(sigma)], "axis int, eigenvalue double")
-    sign = both.groupBy("axis").agg(
-        F.sum(F.col("u") * F.col("v")).alias("agree"), F.max_by("u", F.abs("u")).alias("lead")
-    ).join(s, "axis").filter((F.col("agree") > 0) & (F.col("eigenvalue") > max(1e-10, 1e-7 * top)))
-    total = sign.agg(F.sum("eigenvalue")).scalar()
-    axes = sign.orderBy(F.desc("eigenvalue")).limit(n_axes)
-    axes = axes.withColumn("no", F.row_number().over(W.orderBy(F.desc("eigenvalue")))).withColumn(
-        "explained", F.col("eigenvalue") / total
-    )
-    return (
-        both.join(F.broadcast(axes), "axis").join(ids, "k")
-        .select(
-            F.col("i").alias("sample"), F.col("no").alias("axis"),
-            (F.signum("lead") * F.col("u") * F.sqrt("eigenvalue")).alias("coordinate"), "eigenvalue", "explained",
-        )
-    )
+    out = f"sample {ids.schema['sample'].dataType.simpleString()}, axis int, coordinate double, eigenvalue double, explained double"
+    if n < 2:
+        return spark.createDataFrame([], out)
+    at = lambda c: ids.select(F.col("sample").alias(c), F.col("k").alias(f"k{c}"))
+    cells = pairs.filter("i != j").join(at("i"), "i").join(at("j"), "j").select(F.col("ki").alias("i"), F.col("kj").alias("j"), "v")
+    trace = (pairs.filter("i != j").agg(F.sum("v")).first()[0] or 0.0) / n
+    found = centred_spectrum(square_blocks(cells, n), n, -0.5, trace, n_axes, basis=basis)
+    values = found.values
+    axes = int((values > max(1e-10, 1e-9 * values.max(initial=0.0))).sum())
+    if not axes:
+        return spark.createDataFrame([], out)
+    width = len(values)
+
+    def unpack(batches):
+        for pdf in batches:
+            for block, raw in zip(pdf["b"], pdf["y"]):
+                y = np.frombuffer(raw).reshape(-1, width)[:, :axes]
+                k = np.arange(len(y)) + block * BLOCK
+                yield pd.DataFrame({"k": np.repeat(k, axes), "axis": np.tile(np.arange(1, axes + 1), len(y)), "u": y.ravel()})
+
+    entries = cut(found.vectors.mapInPandas(unpack, "k long, axis int, u double"))
+    share = [(i + 1, float(v), float(v / found.positive)) for i, v in enumerate(values[:axes])]
+    lead = entries.groupBy("axis").agg(F.max_by("u", F.struct(F.round(F.abs("u"), 9), -F.col("k"))).alias("lead")).join(
+        spark.createDataFrame(share, "axis int, eigenvalue double, explained double"), "axis")
+    # one row an axis
+    return entries.join(F.broadcast(lead), "axis").join(ids, "k").select(
+        "sample", "axis", (F.signum("lead") * F.col("u") * F.sqrt("eigenvalue")).alias("coordinate"), "eigenvalue", "explained")
 
 
 def pcoa_markers(coords: DataFrame, groups: DataFrame, digits: int = 6) -> DataFrame:

@@ -315,6 +315,16 @@ def _(t: Tables):
     return st.pcoa(_jaccard(t))
 
 
+# square roots of Jaccard distances are Euclidean, so all axes together give every distance back
+@query("pcoa_rebuilt_distances", JACCARD + " SELECT sample_a, sample_b, round(distance, 8) AS distance FROM jac")
+def _(t: Tables):
+    rooted = _jaccard(t).withColumn("distance", F.sqrt("distance"))
+    place = st.pcoa(rooted, t.nation.count()).groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("axis", "coordinate"))).alias("at"))
+    left, right = (place.select(F.col("sample").alias(f"sample_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
+    apart = F.aggregate(F.map_keys("at_a"), F.lit(0.0), lambda total, k: total + F.pow(F.element_at("at_a", k) - F.element_at("at_b", k), F.lit(2.0)))
+    return left.join(right, F.col("sample_a") < F.col("sample_b")).select("sample_a", "sample_b", F.round(apart, 8).alias("distance"))
+
+
 def _nation_groups(t: Tables):
     return t.nation.select(F.col("n_nationkey").alias("sample"), F.col("n_regionkey").alias("grp"))
 

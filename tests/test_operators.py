@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,46 @@ def test_pcoa_rebuilds_euclidean_distances(spark):
         assert np.linalg.norm(wide[i] - wide[j]) == pytest.approx(d, abs=1e-6)
 
 
+def principal_axes(d: np.ndarray, axes: int):
+    """Eigenvalues, explained shares and coordinates by a dense decomposition."""
+    j = np.eye(len(d)) - 1 / len(d)
+    values, vectors = np.linalg.eigh(-0.5 * j @ d ** 2 @ j)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    return values[:axes], values[:axes] / values[values > 1e-10].sum(), vectors[:, :axes] * np.sqrt(values[:axes])
+
+
+@pytest.mark.parametrize("basis, slack", [(1024, 1e-9), (64, 0.05)])
+def test_pcoa_agrees_with_dense_decomposition(spark, basis, slack):
+    """600 samples in two blocks, distances that are far from Euclidean.
+
+    A basis of 64 is restarted, and its shares rest on the estimate of the negative eigenvalues from 16 columns.
+    """
+    n, rng = 600, np.random.default_rng(8)
+    x = rng.normal(size=(n, 6)) * [9, 7, 5, 3, 1, 1]
+    d = np.abs(x[:, None, :] - x[None, :, :]).sum(axis=2)
+    i, j = np.triu_indices(n, 1)
+    pairs = spark.createDataFrame(pd.DataFrame({"sample_a": i, "sample_b": j, "distance": d[i, j]}))
+    out = st.pcoa(pairs, 3, basis=basis).toPandas()
+    values, explained, coordinates = principal_axes(d, 3)
+    per = out.drop_duplicates("axis").sort_values("axis")
+    assert per["eigenvalue"].to_numpy() == pytest.approx(values, rel=1e-8)
+    assert per["explained"].to_numpy() == pytest.approx(explained, rel=slack)
+    wide = out.pivot(index="sample", columns="axis", values="coordinate").sort_index().to_numpy()
+    assert np.abs(np.abs(wide) - np.abs(coordinates)).max() < 1e-4
+
+
+def test_pcoa_small_cases(spark):
+    schema = "sample_a string, sample_b string, distance double"
+    assert st.pcoa(spark.createDataFrame([], schema)).count() == 0
+    assert st.pcoa(spark.createDataFrame([("a", "b", 0.0)], schema)).count() == 0
+    two = rows(st.pcoa(spark.createDataFrame([("a", "b", 3.0)], schema)).select("axis", "eigenvalue", "explained").distinct())
+    assert two == [(1, pytest.approx(4.5), pytest.approx(1.0))]
+    odd = [("a", "b", 2.0), ("a", "c", None), ("b", "c", 2.0), ("a", "a", 7.0)]
+    values, explained, _ = principal_axes(np.array([[0, 2, 0], [2, 0, 2], [0, 2, 0.0]]), 1)
+    got = rows(st.pcoa(spark.createDataFrame(odd, schema)).select("axis", "eigenvalue", "explained").distinct())
+    assert got == [(1, pytest.approx(values[0]), pytest.approx(explained[0]))]
+
+
 def test_permanova_separated_groups(spark):
     x = [0.0, 0.1, 0.2, 0.3, 5.0, 5.1, 5.2, 5.3]
     data = [(i, j, abs(x[i] - x[j])) for i, j in itertools.combinations(range(8), 2)]
