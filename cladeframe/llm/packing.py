@@ -226,7 +226,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, e
             offset = columns["offset"][at] + inside % columns["per"][at] * columns["length"][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return pieces.join(before.drop("n"), ["part", "length"]).mapInArrow(
+    # by merging: the counts grow with the number of tasks, so they are not sent to every executor
+    return pieces.join(before.drop("n").hint("merge"), ["part", "length"]).mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
