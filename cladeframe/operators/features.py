@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cladeframe.functions.labels import feature_class, is_partial
+from cladeframe.functions.scan import sorted_index
 
 
 def classify_hits(hits: DataFrame, drop_partial: bool = True, drop_classes: Sequence[str] = ()) -> DataFrame:
@@ -31,12 +32,17 @@ def presence_absence(hits: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def feature_info(hits: DataFrame, n_samples: Column, modal: Sequence[str]) -> DataFrame:
-    """Per feature: modal annotations (ties → smallest), genomes, percent, total hits."""
-    return hits.groupBy("feature").agg(
-        *[F.coalesce(F.mode(c, True), F.lit("")).alias(c) for c in modal],
-        F.count_distinct("sample").alias("n_genomes"),
-        F.count(F.lit(1)).alias("n_hits_total"),
-    ).withColumn("pct_genomes", F.round(100 * F.col("n_genomes") / n_samples, 2))
+    """Per feature: modal annotations (ties → smallest), genomes, percent, total hits.
+
+    Genomes are counted apart from the modes, whose value maps would otherwise travel with every (feature, sample).
+    """
+    annotated = hits.groupBy("feature").agg(
+        *[F.coalesce(F.mode(c, True), F.lit("")).alias(c) for c in modal], F.count(F.lit(1)).alias("n_hits_total")
+    )
+    genomes = hits.groupBy("feature").agg(F.count_distinct("sample").alias("n_genomes"))
+    return annotated.join(genomes, "feature").select(
+        "feature", *modal, "n_genomes", "n_hits_total", F.round(100 * F.col("n_genomes") / n_samples, 2).alias("pct_genomes")
+    )
 
 
 def burden_per_sample(hits: DataFrame, roster: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -93,18 +99,17 @@ def burden_by_group(burden: DataFrame, groups: DataFrame) -> DataFrame:
 def prevalence_by_group(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """Long (feature, grp, n, pct, max_diff_pct); absent combinations count as zero.
 
-    ``groups`` (sample, grp) should be collapsed first: the group list travels with
-    each feature as one short array.
+    ``groups`` (sample, grp); samples without a group are left out. Groups are numbered and every feature meets them
+    by number, so any number of groups will do; the table has the size of its answer, features x groups.
     """
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    roster = sizes.agg(F.array_sort(F.collect_list(F.struct("grp", "size"))).alias("g"))
-    per = cells.join(groups, "sample").groupBy("feature", "grp").agg(F.count(F.lit(1)).alias("n"))
-    packed = per.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("m"))
-    long = (
-        packed.withColumn("g", roster.scalar()).select("feature", "m", F.inline("g"))
-        .select("feature", "grp", F.coalesce(F.try_element_at("m", "grp"), F.lit(0)).alias("n"), "size")
-        .withColumn("pct", 100 * F.col("n") / F.col("size"))
-    )
+    named = groups.filter(F.col("grp").isNotNull())
+    sizes = sorted_index(named.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"], "no")
+    last = sizes.agg(F.max("no")).scalar()
+    per = cells.join(named, "sample").groupBy("feature", "grp").agg(F.count(F.lit(1)).alias("n"))
+    spread = per.groupBy("feature").agg(F.max(last).alias("last"))
+    grid = spread.select("feature", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("no")).join(sizes, "no")
+    long = grid.join(per, ["feature", "grp"], "left").select("feature", "grp", F.coalesce("n", F.lit(0)).alias("n"), "size").withColumn(
+        "pct", 100 * F.col("n") / F.col("size"))
     w = W.partitionBy("feature")
     return long.withColumn("max_diff_pct", F.max("pct").over(w) - F.min("pct").over(w)).drop("size")
 

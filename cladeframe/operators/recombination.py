@@ -10,35 +10,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cladeframe.functions.distributions import binomial_quantile, neg_binomial_pmf, log_gamma, poisson_pmf
+from cladeframe.functions.distributions import binomial_quantile, log_gamma
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.paths import best_paths
 from cladeframe.operators.intervals import complement_intervals, merge_intervals
 from cladeframe.operators.sequences import PAIR, pair_divergence
 
-_CHUNK = 1 << 20
 _KEPT = T.ArrayType(
     T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("mism", T.ArrayType(T.IntegerType()))
 )
 
 
-def _null_sums(bounds: np.ndarray, size: int, div: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the null curve and its square at each bound, plus ``size`` as the last one."""
-    ends = np.append(bounds, size)
-    first, second = np.zeros(len(ends)), np.zeros(len(ends))
-    run1 = run2 = 0.0
-    # beyond 60 / div the curve is below 1e-24
-    stop = min(size, int(60 / div) + 1)
-    for lo in range(0, stop, _CHUNK):
-        w = np.arange(lo, min(lo + _CHUNK, stop), dtype=float)
-        f = np.exp(-div * w) * (div * w + 1)
-        c1 = np.concatenate([[0.0], np.cumsum(f)]) + run1
-        c2 = np.concatenate([[0.0], np.cumsum(f * f)]) + run2
-        inside = (ends >= lo) & (ends <= lo + len(w))
-        first[inside], second[inside] = c1[ends[inside] - lo], c2[ends[inside] - lo]
-        run1, run2 = c1[-1], c2[-1]
-    first[ends > stop], second[ends > stop] = run1, run2
-    return first, second
+def _null_sums(ends: np.ndarray, div: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the null curve exp(-div·w)·(div·w + 1) and of its square over the widths below each end.
+
+    Both are sums of w^j·q^w for j up to 2, which have closed forms, so a pair costs its distinct runs whatever
+    its length.
+    """
+    n = ends.astype(float)
+
+    def series(rate):
+        q, rest = np.exp(-rate), -np.expm1(-rate)
+        last, gone = np.exp(-rate * n), -np.expm1(-rate * n)
+        flat = gone / rest
+        return flat, (q * flat - n * last) / rest, (q * (1 + q) * flat / rest - 2 * n * q * last / rest - n * n * last) / rest
+
+    s0, s1, _ = series(div)
+    t0, t1, t2 = series(2 * div)
+    return s0 + div * s1, t0 + 2 * div * t1 + div * div * t2
 
 
 def spectrum_ssd(runs: np.ndarray, counts: np.ndarray, size: int, div: float) -> np.ndarray:
@@ -49,7 +48,7 @@ def spectrum_ssd(runs: np.ndarray, counts: np.ndarray, size: int, div: float) ->
     """
     order = np.argsort(runs)
     runs, counts = runs[order].astype(np.int64), np.atleast_2d(counts)[:, order].astype(float)
-    first, second = _null_sums(runs, size, div)
+    first, second = _null_sums(np.append(runs, size), div)
     lengths = np.diff(np.concatenate([[0], runs, [size]])).astype(float)
     d1, d2 = np.diff(np.concatenate([[0.0], first])), np.diff(np.concatenate([[0.0], second]))
     mass = counts * runs
@@ -115,13 +114,16 @@ def ssd_bootstrap_ci(
 
 @F.pandas_udf(T.LongType())
 def _cutoff(n_windows: pd.Series, window: pd.Series, div: pd.Series) -> pd.Series:
-    return pd.Series([binomial_quantile(1 - 0.05 / w, int(n), p) for w, n, p in zip(n_windows, window, div)])
+    return pd.Series(binomial_quantile(1 - 0.05 / n_windows, window, div))
 
 
 @F.pandas_udf(_KEPT)
 def _keep(length: pd.Series, mism: pd.Series, window: pd.Series, cutoff: pd.Series, n_windows: pd.Series, div: pd.Series) -> pd.Series:
     out = []
-    for size, m, w, c, nw, p in zip(length, mism, window, cutoff, n_windows, div):
+    # the last stretch of every part, shorter than a window, has a cut of its own
+    rest = length - 50 * np.maximum(0, -((window - length) // 50))
+    rest_cut = binomial_quantile(1 - 0.05 / n_windows, rest, div)
+    for size, m, w, c, r in zip(length, mism, window, cutoff, rest_cut):
         m, size, w = np.asarray(m, dtype=np.int64), int(size), int(w)
         cuts = []
         if len(m):
@@ -130,7 +132,7 @@ def _keep(length: pd.Series, mism: pd.Series, window: pd.Series, cutoff: pd.Seri
             seen = np.searchsorted(m, starts + w) - np.searchsorted(m, starts)
             cuts = [(int(s), int(s) + w) for s in starts[seen >= c]]
             tail = 50 * n_full
-            if tail < size and len(m) - np.searchsorted(m, tail) >= binomial_quantile(1 - 0.05 / nw, size - tail, p):
+            if tail < size and len(m) - np.searchsorted(m, tail) >= r:
                 cuts.append((tail, size))
         kept, at = [], 0
         for lo, hi in [*cuts, (size, size)]:
@@ -177,51 +179,83 @@ def divergence_outlier_filter(parts: DataFrame, filtering_snp: float = 1.0, min_
     return reduce(DataFrame.unionByName, finished)
 
 
-def _fit_mixture(k: np.ndarray, n: np.ndarray, window: int, start: float) -> tuple[float, float, float, float]:
-    """Poisson + negative-binomial mixture of counts by EM within box bounds.
+def _fit_mixture(k: np.ndarray, n: np.ndarray, window: int, start: float, rounds: int = 2000) -> tuple[float, float, float, float, bool]:
+    """Poisson + negative-binomial mixture of counts within box bounds: (mu, mnb, size, fc, converged).
 
-    Each M-step is exact: the mean of either component is a weighted mean, the size is
-    searched on its interval. Bounds and start are those of the method.
+    EM with squared extrapolation: two plain steps give a direction and its change, a long step along them is kept
+    where the likelihood ends above the plain one's; how long it may be grows by steps of four, so that the first ones do
+    not leave the start's optimum. The means of an M-step are weighted means; the size is the top of a parabola over
+    a grid whose gamma terms are computed once. Bounds and start are those of the method. Converged means that a round
+    raised the likelihood by next to nothing and its plain steps moved no parameter by 1e-4 of its interval.
     """
     # Parameter bounds for Poisson mean, other mean, size and Poisson share (%).
-    bounds = ((1e-5, window / 10), (1e-5, window / 3), (2.0, 10.0), (0.1, 99.9))
-    clip = lambda v, i: float(min(max(v, bounds[i][0]), bounds[i][1]))
-    mu, mnb, size, fc = clip(start, 0), clip(2 * start, 1), 2.0, 50.0
-    before = -np.inf
-    for _ in range(2000):
-        a, b = poisson_pmf(k, mu) * fc, neg_binomial_pmf(k, size, mnb) * (100 - fc)
-        like = float((n * np.log(a + b + 1e-32)).sum())
-        if like - before < 1e-9 * max(1.0, abs(like)):
-            break
-        before = like
+    low, high = np.array([1e-5, 1e-5, 2.0, 0.1]), np.array([window / 10, window / 3, 10.0, 99.9])
+    box = lambda theta: np.clip(theta, low, high)
+    grid = np.linspace(low[2], high[2], 129)
+    rising = log_gamma(k[None, :] + grid[:, None]) - log_gamma(grid)[:, None]
+    factorial = log_gamma(k + 1)
+
+    def parts(theta):
+        mu, mnb, size, fc = theta
+        p = size / (size + mnb)
+        other = log_gamma(k + size) - log_gamma(size) - factorial + size * np.log(p) + k * np.log1p(-p)
+        return np.exp(k * np.log(mu) - mu - factorial) * fc, np.exp(other) * (100 - fc)
+
+    def step(theta):
+        """The likelihood of ``theta`` and the parameters after one round of EM."""
+        a, b = parts(theta)
         r = a / (a + b + 1e-300) * n
         s = n - r
-        fc = clip(100 * r.sum() / n.sum(), 3)
-        mu = clip((r * k).sum() / max(r.sum(), 1e-300), 0)
-        mnb = clip((s * k).sum() / max(s.sum(), 1e-300), 1)
-
-        def score(x):
-            q = x / (x + mnb)
-            return (s * (log_gamma(k + x) - log_gamma(x) + x * np.log(q) + k * np.log1p(-q))).sum()
-
-        lo, hi, gold = *bounds[2], (5**0.5 - 1) / 2
-        while hi - lo > 1e-6:
-            c, d = hi - gold * (hi - lo), lo + gold * (hi - lo)
-            if score(c) >= score(d):
-                hi = d
-            else:
-                lo = c
-        size = (lo + hi) / 2
-    return mu, mnb, size, fc
+        fc = 100 * r.sum() / n.sum()
+        mu, mnb = (r * k).sum() / max(r.sum(), 1e-300), (s * k).sum() / max(s.sum(), 1e-300)
+        mnb = min(max(mnb, low[1]), high[1])
+        q = grid / (grid + mnb)
+        score = rising @ s + s.sum() * grid * np.log(q) + (s * k).sum() * np.log1p(-q)
+        top = min(max(int(np.argmax(score)), 1), len(grid) - 2)
+        left, middle, right = score[top - 1: top + 2]
+        curve = left - 2 * middle + right
+        shift = 0.5 * (left - right) / curve if curve < 0 else float(np.sign(right - left))
+        size = grid[top] + min(max(shift, -1.0), 1.0) * (grid[1] - grid[0])
+        return float((n * np.log(a + b + 1e-32)).sum()), box(np.array([mu, mnb, size, fc]))
+
+    theta = box(np.array([start, 2 * start, 2.0, 50.0]))
+    reach = 1.0
+    like, one = step(theta)
+    for _ in range(rounds):
+        _, two = step(one)
+        plain, after = step(two)
+        best, gained, following = two, plain, after
+        first, change = (one - theta) / (high - low), (two - 2 * one + theta) / (high - low)
+        bend = float(np.sqrt((change**2).sum()))
+        far = min(float(np.sqrt((first**2).sum())) / bend, reach) if bend > 0 else 0.0
+        if far > 1:
+            _, jump = step(box(theta + (high - low) * (2 * far * first + far * far * change)))
+            there, beyond = step(jump)
+            if there > plain:
+                best, gained, following = jump, there, beyond
+            elif far == reach:
+                reach = max(1.0, reach / 4)
+        if far == reach:
+            reach *= 4
+        moved = np.maximum(np.abs(one - theta), np.abs(after - two)) / (high - low)
+        if moved.max() < 1e-4 and gained - like <= 1e-9 * max(1.0, abs(like)):
+            return (*map(float, best), bool(np.isfinite(gained)))
+        theta, like, one = best, gained, following
+    return (*map(float, theta), False)
+
+
+#: What a pair without a fit gets for the two means, the size and the Poisson share.
+UNFITTED = (0.0, 0.0, 1.0, 100.0)
 
 
 def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, window: int = 500, min_fraction: float = 0.3) -> DataFrame:
-    """Fit the two-component count model per pair: (mu, mnb, nb_size, fc).
+    """Fit the two-component count model per pair: (mu, mnb, nb_size, fc, converged).
 
     ``windows`` are those before outlier filtering, ``starts`` (pair, mean_div) the mean
     window divergence after it, ``fractions`` (pair, aligned_fraction). Window counts are
     reduced to a histogram of at most ``window`` + step entries per pair first. Pairs
-    aligned over less than ``min_fraction`` are not fitted and get (0, 0, 1, 100).
+    aligned over less than ``min_fraction`` are not fitted and get (0, 0, 1, 100) and a null flag; a fit that does
+    not converge is dropped for the same values and a false flag.
     """
     scaled = F.col("divergence") * window
     whole = F.round(scaled)
@@ -230,19 +264,20 @@ def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, win
     )
     packed = hist.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("h"))
 
-    @F.pandas_udf("struct<mu:double,mnb:double,nb_size:double,fc:double>")
+    @F.pandas_udf("struct<mu:double,mnb:double,nb_size:double,fc:double,converged:boolean>")
     def fit(ks: pd.Series, ns: pd.Series, mean_div: pd.Series, fraction: pd.Series) -> pd.DataFrame:
         rows = []
         for k, n, m, f in zip(ks, ns, mean_div, fraction):
             if k is None or not f >= min_fraction:
-                rows.append((0.0, 0.0, 1.0, 100.0))
+                rows.append((*UNFITTED, None))
             else:
-                rows.append(_fit_mixture(np.asarray(k, float), np.asarray(n, float), window, float(m) * window))
-        return pd.DataFrame(rows, columns=["mu", "mnb", "nb_size", "fc"])
+                found = _fit_mixture(np.asarray(k, float), np.asarray(n, float), window, float(m) * window)
+                rows.append(found if found[-1] else (*UNFITTED, False))
+        return pd.DataFrame(rows, columns=["mu", "mnb", "nb_size", "fc", "converged"])
 
     joined = fractions.join(starts, PAIR).join(packed, PAIR, "left")
     fitted = joined.withColumn("f", fit(F.col("h.k"), F.col("h.n"), "mean_div", "aligned_fraction"))
-    return fitted.select(*PAIR, "f.mu", "f.mnb", "f.nb_size", "f.fc")
+    return fitted.select(*PAIR, "f.mu", "f.mnb", "f.nb_size", "f.fc", "f.converged")
 
 
 @F.pandas_udf(T.StructType().add("c", T.DoubleType()).add("r", T.DoubleType()))
@@ -339,8 +374,9 @@ def state_intervals(states: DataFrame, state: str = "R") -> DataFrame:
 def extract_intervals(placed: DataFrame, intervals: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Aligned text inside the intervals, one row per (interval, part); join markers fall out.
 
-    ``placed`` needs seq1, seq2, offset, length. Both sides are cut into position bins, so
-    the overlap join is an equi-join and every overlap is met once, in its first bin.
+    ``placed`` needs seq1, seq2, offset, length, one row a part. Coordinates of both sides are cut into position bins,
+    so the overlap join is an equi-join and every overlap is met once, in its first bin. The texts stay out of it: a
+    part's overlaps come to its one row as an array, and each text is shuffled once.
     """
     def bins(lo, hi):
         return F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width)))
@@ -349,16 +385,19 @@ def extract_intervals(placed: DataFrame, intervals: DataFrame, width: int = 1 <<
         *PAIR, F.col("start").alias("i0"), F.col("end").alias("i1"), bins(F.col("start"), F.col("end")).alias("bin")
     )
     stop = F.col("offset") + F.col("length")
-    pt = placed.select(
-        *PAIR, "block_no", F.col("offset").alias("p0"), stop.alias("p1"), "seq1", "seq2",
-        bins(F.col("offset"), stop).alias("bin"),
+    pt = placed.filter("length > 0").select(
+        *PAIR, "block_no", F.col("offset").alias("p0"), stop.alias("p1"), bins(F.col("offset"), stop).alias("bin")
     )
     lo, hi = F.greatest("i0", "p0"), F.least("i1", "p1")
     hit = iv.join(pt, [*PAIR, "bin"]).filter((lo < hi) & (F.col("bin") == F.floor(lo / width)))
-    at, size = (lo - F.col("p0") + 1).cast("int"), (hi - lo).cast("int")
-    return hit.select(
-        *PAIR, F.col("i0").alias("interval_start"), F.col("i1").alias("interval_end"), "block_no", lo.alias("start"),
-        F.substring(F.col("seq1"), at, size).alias("seq1"), F.substring(F.col("seq2"), at, size).alias("seq2"),
+    at = [*PAIR, "block_no", "p0"]
+    cuts = hit.groupBy(*at).agg(F.collect_list(F.struct("i0", "i1", lo.alias("lo"), hi.alias("hi"))).alias("cuts"))
+    texts = placed.filter("length > 0").select(*PAIR, "block_no", F.col("offset").alias("p0"), "seq1", "seq2").join(cuts, at)
+    each = texts.select(*at, "seq1", "seq2", F.inline("cuts"))
+    first, size = (F.col("lo") - F.col("p0") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")
+    return each.select(
+        *PAIR, F.col("i0").alias("interval_start"), F.col("i1").alias("interval_end"), "block_no", F.col("lo").alias("start"),
+        F.substring(F.col("seq1"), first, size).alias("seq1"), F.substring(F.col("seq2"), first, size).alias("seq2"),
     )
 
 
@@ -374,21 +413,26 @@ def clonal_frame(placed: DataFrame, totals: DataFrame, intervals: DataFrame, mar
     return extract_intervals(placed, complement_intervals(spans, wide, PAIR, bucket_width=1 << 17))
 
 
+@F.pandas_udf(T.StringType())
+def _either(seq1: pd.Series, seq2: pd.Series, start: pd.Series) -> pd.Series:
+    """The two texts with one of the two letters where they differ, picked by an arithmetic hash of the position."""
+    out = []
+    for one, two, at in zip(seq1, seq2, start):
+        a, b = (np.frombuffer(text.encode("utf-32-le"), dtype="<u4") for text in (one, two))
+        # Multiplier, increment and modulus of the hash.
+        h = ((int(at) % (1 << 31) + np.arange(len(a))) * 1103515245 + 12345) % (1 << 31)
+        out.append(np.where((a == b) | (h // 65536 % 2 == 0), a, b).astype("<u4").tobytes().decode("utf-32-le"))
+    return pd.Series(out, dtype=object)
+
+
 def clonal_frame_consensus(frame: DataFrame, spacer: int = 500) -> DataFrame:
     """One consensus text per clonal piece, followed by an N spacer.
 
     Where the two bases differ, a fixed arithmetic hash of the position picks one of them,
     so that a re-run gives the same text. Pieces follow each other by ``start``.
     """
-    def pick(z, i):
-        h = F.pmod((F.col("start") + i) * 1103515245 + 12345, F.lit(1 << 31))
-        return F.when(z["a"] == z["b"], z["a"]).when(F.pmod(F.floor(h / 65536), F.lit(2)) == 0, z["a"]).otherwise(z["b"])
-
-    letters = F.arrays_zip(F.split("seq1", "").alias("a"), F.split("seq2", "").alias("b"))
-    return frame.withColumn("z", letters).select(
-        *PAIR, "interval_start", "start",
-        F.concat(F.array_join(F.transform("z", pick), ""), F.lit("N" * spacer)).alias("consensus"),
-    ).drop("z")
+    text = _either("seq1", "seq2", "start")
+    return frame.select(*PAIR, "interval_start", "start", F.concat(text, F.lit("N" * spacer)).alias("consensus"))
 
 
 def classify_pairs(stats: DataFrame, keep_all: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from cladeframe.functions.distributions import fisher_p, normal_upper_tail
 from cladeframe.functions.eigen import BLOCK, centred_spectrum, square_blocks
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.selection import ranked_differences
-from cladeframe.functions.scan import double_bucket, exact_percentiles, prefix_scan, range_bucket
+from cladeframe.functions.scan import double_bucket, exact_percentiles, prefix_scan, range_bucket, row_index, sorted_index
 
 
 def fisher_exact_by_feature(cells: DataFrame, phenotype: DataFrame) -> DataFrame:
@@ -280,64 +280,82 @@ def pcoa_markers(coords: DataFrame, groups: DataFrame, digits: int = 6) -> DataF
 
 def permanova(
     distances: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 1,
-    a: str = "sample_a", b: str = "sample_b",
+    a: str = "sample_a", b: str = "sample_b", missing: Sequence[str] = ("NA",), block: int = 512,
 ) -> DataFrame:
-    """Pseudo-F, R² and permutation p of a one-way grouping.
+    """Pseudo-F, R² and permutation p of a one-way grouping; one row a pair of samples in ``distances``.
 
-    Replicate r orders the samples by a seeded hash and hands out the sorted labels in
-    that order; replicate 0 is the observed labelling. Every sample carries its labels
-    as one array, so each pair is read once and all replicates are summed from it.
+    Only samples with a distance and a group count: null groups and those named in ``missing`` are left out, of several
+    groups of a sample the smallest stays. Fewer than three samples or a single group give one row of nulls. Replicate r
+    orders the samples by md5 of "seed:r:sample" and hands out the sorted labels in that order, by a bucketed scan;
+    replicate 0 is the observed labelling. Samples fall into blocks of about ``block``: the labels of a block go once
+    to each of its pairs of blocks, where label and distance matrices are multiplied. The number of groups is free.
     """
-    g = groups.select("sample", "grp").distinct()
-    levels = [r["grp"] for r in g.groupBy("grp").count().orderBy("grp").collect()]
-    sizes = {r["grp"]: r["count"] for r in g.groupBy("grp").count().collect()}
-    n = sum(sizes.values())
-    bounds, at = [], 0
-    for lv in levels:
-        at += sizes[lv]
-        bounds.append(at)
-    code = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("grp")).cast("int") - 1
-    by_rank = F.lit(len(levels) - 1)
-    for i in range(len(levels) - 2, -1, -1):
-        by_rank = F.when(F.col("rk") <= bounds[i], i).otherwise(by_rank)
-    spread = g.select("sample", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("r"))
-    shuffled = spread.withColumn(
-        "rk", F.row_number().over(W.partitionBy("r").orderBy(F.xxhash64(F.lit(seed), F.col("r"), F.col("sample")), "sample"))
-    ).select("sample", "r", by_rank.alias("code"))
-    observed = g.select("sample", F.lit(0).alias("r"), code.alias("code"))
+    there = distances.select(F.col(a).alias("sample")).union(distances.select(F.col(b).alias("sample"))).distinct()
+    known = groups.filter(F.col("grp").isNotNull() & ~F.col("grp").cast("string").isin(*missing))
+    g = known.join(there, "sample", "left_semi").groupBy("sample").agg(F.min("grp").alias("grp"))
+    slots = sorted_index(g, ["grp", "sample"], "slot")
+    # a label is its group's first slot and size in one number
+    sizes = slots.groupBy("grp").agg((F.min("slot") * (1 << 32) + F.count(F.lit(1))).alias("label"))
+    slots = cut(slots.join(sizes, "grp").select("slot", "sample", "label"))
+    n, n_groups = slots.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if n < 3 or n_groups < 2:
+        none = F.lit(None).cast("double")
+        return distances.sparkSession.range(1).select(none.alias("pseudo_f"), none.alias("r2"), none.alias("pvalue"))
+    spread = slots.select("sample", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("r")).withColumn(
+        "h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("sample").cast("string")).cast("binary")))
+    slice_ = F.conv(F.substring("h", 1, 2), 16, 10).cast("int")
+    ranked = row_index(spread, ["r"], ["h", "sample"], slice_, "slot")
+    shuffled = ranked.select("sample", "r", "slot").join(slots.select("slot", "label"), "slot").select("sample", "r", "label")
+    observed = slots.select("sample", F.lit(0).alias("r"), "label")
     labels = shuffled.unionByName(observed).groupBy("sample").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "code"))), lambda s: s["code"].cast("int")).alias("labels")
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda s: s["label"]).alias("labels")
     )
-    d = distances.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("distance") ** 2).alias("d2"))
-    pairs = d.join(labels.select(F.col("sample").alias("a"), F.col("labels").alias("la")), "a").join(
-        labels.select(F.col("sample").alias("b"), F.col("labels").alias("lb")), "b"
-    )
-    weight = np.array([1.0 / sizes[lv] for lv in levels])
+    n_blocks = math.ceil(n / block)
+    home = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+    pairs = distances.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("distance") ** 2).alias("d2")).filter("a <> b").withColumn(
+        "at", home("a")).withColumn("other", home("b")).select(
+        F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"),
+        F.when(F.col("at") <= F.col("other"), F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(F.col("at") <= F.col("other"), F.col("b")).otherwise(F.col("a")).alias("b"), "d2")
+    sides = labels.withColumn("home", home("sample")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
+        F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "sample", "labels")
     reps = permutations + 1
 
-    def partial(batches):
-        within, total = np.zeros(reps), 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            la, lb = np.stack(pdf["la"].to_numpy()), np.stack(pdf["lb"].to_numpy())
-            d2 = pdf["d2"].to_numpy()
-            within += (np.where(la == lb, weight[la.astype(int)], 0.0) * d2[:, None]).sum(axis=0)
-            total += d2.sum()
-        yield pd.DataFrame({"within": [within.tolist()], "total": [total]})
-
-    sums = cut(pairs.select("la", "lb", "d2").mapInPandas(partial, "within array<double>, total double"))
+    def products(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key
+        rows, cols = right[right["home"] == lo], right[right["home"] == hi]
+        if not (len(left) and len(rows) and len(cols)):
+            return pd.DataFrame({"within": [], "total": []})
+        i, j = pd.Index(rows["sample"]).get_indexer(left["a"]), pd.Index(cols["sample"]).get_indexer(left["b"])
+        # pairs of samples without a group are no part of the test
+        used = (i >= 0) & (j >= 0)
+        d = np.zeros((len(rows), len(cols)))
+        np.add.at(d, (i[used], j[used]), left["d2"].fillna(0.0).to_numpy()[used])
+        la, lb = np.stack(rows["labels"].to_numpy()), np.stack(cols["labels"].to_numpy())
+        members = (1 << 32) - 1
+        shared = np.intersect1d(la, lb)
+        within = np.zeros(reps)
+        if len(shared) <= 64:
+            for v in shared:
+                within += ((d @ (lb == v).astype(float)) * (la == v)).sum(axis=0) / (int(v) & members)
+        else:
+            for r in range(reps):
+                within[r] = ((d * (la[:, r, None] == lb[None, :, r])).sum(axis=1) / (la[:, r] & members)).sum()
+        return pd.DataFrame({"within": [within.tolist()], "total": [float(d.sum())]})
+
+    sums = cut(pairs.groupBy("lo", "hi").cogroup(sides.groupBy("lo", "hi")).applyInPandas(products, "within array<double>, total double"))
     total = sums.agg(F.sum("total")).scalar()
     per = sums.select(F.posexplode("within").alias("r", "w")).groupBy("r").agg(F.sum("w").alias("w"))
-    n_groups = len(levels)
     stat = per.withColumn("t", total / n).withColumn(
-        "f", ((F.col("t") - F.col("w")) / (n_groups - 1)) / (F.col("w") / (n - n_groups))
+        "f", F.try_divide((F.col("t") - F.col("w")) / (n_groups - 1), F.try_divide(F.col("w"), F.lit(n - n_groups)))
     )
     seen = stat.filter("r = 0").agg(F.first("f")).scalar()
+    # replicates that hand out the observed groups differ from them by rounding only
+    reached = F.count_if((F.col("r") > 0) & (F.col("f") >= F.col("f0") * (1 - 1e-9)))
     return stat.withColumn("f0", seen).agg(
         F.first("f0").alias("pseudo_f"),
-        F.max(F.when(F.col("r") == 0, (F.col("t") - F.col("w")) / F.col("t"))).alias("r2"),
-        ((F.count_if((F.col("r") > 0) & (F.col("f") >= F.col("f0") - 1e-12)) + 1) / (permutations + 1)).alias("pvalue"),
+        F.max(F.when(F.col("r") == 0, F.try_divide(F.col("t") - F.col("w"), F.col("t")))).alias("r2"),
+        F.when(F.first("f0").isNotNull(), (reached + 1) / (permutations + 1)).alias("pvalue"),
     )
 
 

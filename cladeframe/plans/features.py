@@ -338,9 +338,18 @@ def _(t: Tables):
     return st.permanova(_jaccard(t), _nation_groups(t)).select(_r("pseudo_f"), _r("r2", 8))
 
 
-@query("permanova_pvalue")
-def _(t: Tables):
-    return st.permanova(_jaccard(t), _nation_groups(t))
+@query("permanova_pvalue", JACCARD + """, g AS (SELECT n_nationkey AS sample, n_regionkey AS grp FROM nation WHERE n_nationkey IN (SELECT sample FROM s)),
+k AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT grp) AS a FROM g), sz AS (SELECT grp, count(*)::DOUBLE AS m FROM g GROUP BY grp),
+perm AS (SELECT r, sample, row_number() OVER (PARTITION BY r ORDER BY md5('1:' || r || ':' || sample), sample) AS slot FROM g, generate_series(1, 999) AS x(r)),
+slots AS (SELECT grp, row_number() OVER (ORDER BY grp, sample) AS slot FROM g),
+lab AS (SELECT r, sample, grp FROM perm JOIN slots USING (slot) UNION ALL SELECT 0, sample, grp FROM g),
+ss AS (SELECT la.r, sum(distance * distance) AS tot, sum(CASE WHEN la.grp = lb.grp THEN distance * distance / m ELSE 0 END) AS w
+ FROM jac JOIN lab la ON la.sample = sample_a JOIN lab lb ON lb.sample = sample_b AND lb.r = la.r JOIN sz ON sz.grp = la.grp GROUP BY la.r),
+f AS (SELECT r, ((tot / n - w) / (a - 1)) / (w / (n - a)) AS f, (tot / n - w) / (tot / n) AS r2 FROM ss, k)
+SELECT round(any_value(f) FILTER (WHERE r = 0), 6) AS pseudo_f, round(any_value(r2) FILTER (WHERE r = 0), 8) AS r2,
+ (count(*) FILTER (WHERE r > 0 AND f >= (SELECT f FROM f WHERE r = 0) * (1 - 1e-9)) + 1) / 1000.0::DOUBLE AS pvalue FROM f""")
+def _(t: Tables):
+    return st.permanova(_jaccard(t), _nation_groups(t)).select(_r("pseudo_f"), _r("r2", 8), "pvalue")
 
 
 SRC = "src AS (SELECT l_extendedprice / 1000 AS v, l_returnflag AS source FROM lineitem)"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cladeframe.functions import distributions as d
-from cladeframe.operators.recombination import _fit_mixture, spectrum_ssd
+from cladeframe.operators.recombination import _fit_mixture, _null_sums, spectrum_ssd
 from cladeframe.sources.readers import newick_edges
 
 
@@ -54,11 +54,62 @@ def test_mixture_recovers_components():
     p = 3 / (3 + 30)
     data = np.concatenate([rng.poisson(2.0, 7000), rng.negative_binomial(3, p, 3000)])
     k, n = np.unique(data, return_counts=True)
-    mu, mnb, size, fc = _fit_mixture(k.astype(float), n.astype(float), 500, data.mean())
+    mu, mnb, size, fc, converged = _fit_mixture(k.astype(float), n.astype(float), 500, data.mean())
+    assert converged
     assert mu == pytest.approx(2.0, abs=0.15) and mnb == pytest.approx(30, rel=0.1)
     assert size == pytest.approx(3, abs=0.6) and fc == pytest.approx(70, abs=3)
 
 
+def test_mixture_is_the_best_of_a_grid():
+    rng = np.random.default_rng(8)
+    for mean, other, share in ((0.5, 12.0, 0.6), (3.0, 25.0, 0.9), (1.0, 6.0, 0.3)):
+        data = np.where(rng.random(600) < share, rng.poisson(mean, 600), rng.negative_binomial(4, 4 / (4 + other), 600))
+        k, n = np.unique(data, return_counts=True)
+        likelihood = lambda t: (n * np.log(d.poisson_pmf(k, t[0]) * t[3] + d.neg_binomial_pmf(k, t[2], t[1]) * (100 - t[3]) + 1e-32)).sum()
+        *found, converged = _fit_mixture(k.astype(float), n.astype(float), 500, data.mean())
+        grid = itertools.product(np.linspace(0.1, 6, 7), np.linspace(1, 40, 7), (2, 4, 10), np.linspace(5, 95, 7))
+        assert converged and likelihood(found) >= max(map(likelihood, grid)) - 1e-6
+
+
+def test_mixture_that_does_not_settle_says_so():
+    k, n = np.array([0.0, 1, 5, 30]), np.array([50.0, 20, 6, 3])
+    assert _fit_mixture(k, n, 500, 2.0, rounds=1)[-1] is False and _fit_mixture(k, n, 500, 2.0)[-1] is True
+    # one value only, at either end of the box
+    assert _fit_mixture(np.array([0.0]), np.array([9.0]), 500, 0.0)[-1] is True
+    assert _fit_mixture(np.array([400.0]), np.array([9.0]), 500, 400.0)[:2] == (50.0, 500 / 3)
+
+
+def test_incomplete_beta_and_binomial_tails():
+    for n, p in ((7, 0.3), (200, 0.02), (5000, 0.7)):
+        logs = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(n + 1)])
+        assert d.binomial_cdf(np.arange(n + 1), n, p) == pytest.approx(np.cumsum(np.exp(logs)), abs=1e-10)
+    assert list(d.incomplete_beta([0.0, 1.0, 0.5], 2.0, 2.0)) == pytest.approx([0.0, 1.0, 0.5])
+    # far beyond what a walk along the distribution could do
+    n, p = 10**7, 1e-3
+    k = int(d.binomial_quantile(0.975, n, p))
+    assert abs(k - (n * p + 1.959964 * math.sqrt(n * p))) < 3 and d.binomial_cdf(k - 1, n, p) < 0.975 <= d.binomial_cdf(k, n, p)
+    assert list(d.binomial_quantile([0.5, 0.5, 0.5], [0, 9, 9], [0.5, 0.0, 1.0])) == [0, 0, 9]
+
+
+def test_fisher_wide_tables_by_both_tails():
+    rng = np.random.default_rng(2)
+    tables = np.concatenate([rng.integers(0, 400, (60, 4)), np.c_[rng.integers(0, 6, (60, 1)), rng.integers(0, 900, (60, 3))]])
+    for got, (a, b, c, e) in zip(d.fisher_two_sided(*tables.T), tables.tolist()):
+        n, r1, c1 = a + b + c + e, a + b, a + c
+        ways = {k: math.comb(r1, k) * math.comb(n - r1, c1 - k) for k in range(max(0, c1 - (n - r1)), min(r1, c1) + 1)}
+        want = sum(w for w in ways.values() if w * 10**7 <= ways[a] * (10**7 + 1)) / math.comb(n, c1)
+        assert got == pytest.approx(want, rel=1e-8)
+
+
+def test_null_curve_sums_are_closed():
+    for size, div in ((2000, 0.01), (5, 1.5), (400000, 3e-5)):
+        w = np.arange(size)
+        curve = np.exp(-div * w) * (div * w + 1)
+        ends = np.array([0, 1, size // 3, size])
+        for got, values in zip(_null_sums(ends, div), (curve, curve**2)):
+            assert got == pytest.approx(np.concatenate([[0], np.cumsum(values)])[ends], rel=1e-9, abs=1e-9)
+
+
 def test_newick_numbers_inner_nodes():
     rows = list(newick_edges("t", "((a:1,'b c':2)x:0.5,(d:3,e:4):1.5);"))
     assert ("t", "b c", "node1", 2.0, "b c", None, None) in rows and ("t", "d", "node4", 3.0, "d", None, None) in rows

@@ -1,5 +1,7 @@
 """Hand-made cases for the operators."""
 
+import collections
+import hashlib
 import itertools
 
 import numpy as np
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from cladeframe.functions import labels as lb, scan
 from cladeframe.functions.cooccur import cooccurrence_counts
 from cladeframe.operators import (
-    blocks as bl, clusters as cl, intervals as iv, membership as mb, recombination as rc, sequences as sq, stats as st, trees as tr,
+    blocks as bl, clusters as cl, features as ft, intervals as iv, membership as mb, recombination as rc, sequences as sq,
+    stats as st, trees as tr,
 )
 from cladeframe.sources import readers as rd
 
@@ -298,6 +301,78 @@ def test_permanova_separated_groups(spark):
     assert r["r2"] > 0.99 and r["pvalue"] < 0.08
 
 
+def test_permanova_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    points = rng.random((23, 3))
+    pairs = [(f"s{i}", f"s{j}", float(np.linalg.norm(points[i] - points[j]))) for i, j in itertools.combinations(range(20), 2)]
+    grps = {f"s{i}": ("g%d" % (i % 4)) for i in range(23)} | {"s3": None, "s7": "NA"}
+    grouped = [*grps.items(), ("s0", "g3")]
+    distances = spark.createDataFrame([*pairs, ("s1", "s1", 9.0), ("s1", "x", 5.0)], "sample_a string, sample_b string, distance double")
+    groups = spark.createDataFrame(grouped, "sample string, grp string")
+    names = [f"s{i}" for i in range(20) if grps[f"s{i}"] not in (None, "NA")]
+    handed = sorted(names, key=lambda s: (grps[s], s))
+    apart = {(x, y): v for a, b, v in pairs for x, y in ((a, b), (b, a))}
+
+    def pseudo(label):
+        n, total = len(names), sum(apart[p] ** 2 for p in itertools.combinations(names, 2)) / len(names)
+        sizes = {g: sum(v == g for v in label.values()) for g in label.values()}
+        within = sum(apart[x, y] ** 2 / sizes[label[x]] for x, y in itertools.combinations(names, 2) if label[x] == label[y])
+        return (total - within) / (len(sizes) - 1) / (within / (n - len(sizes))), (total - within) / total
+
+    seen, r2 = pseudo({s: grps[s] for s in names})
+    reached = 0
+    for r in range(1, 60):
+        order = sorted(names, key=lambda s: (hashlib.md5(f"5:{r}:{s}".encode()).hexdigest(), s))
+        reached += pseudo({s: grps[handed[i]] for i, s in enumerate(order)})[0] >= seen * (1 - 1e-9)
+    want = (pytest.approx(seen), pytest.approx(r2), pytest.approx((reached + 1) / 60))
+    for block in (4, 512):
+        assert rows(st.permanova(distances, groups, 59, 5, block=block)) == [want]
+
+
+def test_permanova_many_groups_and_none(spark):
+    schema, group = "sample_a int, sample_b int, distance double", "sample int, grp int"
+    data = [(i, j, 1.0 + (i * j) % 7) for i, j in itertools.combinations(range(160), 2)]
+    label = {i: i // 2 for i in range(160)}
+    total = sum(v * v for *_, v in data) / 160
+    within = sum(v * v / 2 for i, j, v in data if label[i] == label[j])
+    got = st.permanova(spark.createDataFrame(data, schema), spark.createDataFrame(list(label.items()), group), 3).first()
+    assert got["pseudo_f"] == pytest.approx((total - within) / 79 / (within / 80)) and got["r2"] == pytest.approx((total - within) / total)
+    for few in ([(0, 1), (1, 1), (2, 1)], [(0, 1), (1, 2)], []):
+        assert rows(st.permanova(spark.createDataFrame(data[:500], schema), spark.createDataFrame(few, group), 3)) == [(None, None, None)]
+    assert rows(st.permanova(spark.createDataFrame([], schema), spark.createDataFrame([(0, 1)], group), 3)) == [(None, None, None)]
+
+
+def test_prevalence_of_any_number_of_groups(spark):
+    cells = spark.createDataFrame([(i, f"f{i % 3}") for i in range(50)], "sample int, feature string")
+    groups = spark.createDataFrame([(i, i % 25 if i < 48 else None) for i in range(60)], "sample int, grp int")
+    got = {(r["feature"], r["grp"]): (r["n"], r["pct"], r["max_diff_pct"]) for r in ft.prevalence_by_group(cells, groups).collect()}
+    sizes = collections.Counter(i % 25 for i in range(48))
+    n = collections.Counter((f"f{i % 3}", i % 25) for i in range(48))
+    pct = {(f"f{k}", g): 100 * n[f"f{k}", g] / sizes[g] for k in range(3) for g in range(25)}
+    span = {f"f{k}": max(pct[f"f{k}", g] for g in range(25)) - min(pct[f"f{k}", g] for g in range(25)) for k in range(3)}
+    assert got == {key: (n[key], pytest.approx(pct[key]), pytest.approx(span[key[0]])) for key in pct}
+
+
+def test_intervals_cut_from_long_and_plain_texts(spark):
+    rng = np.random.default_rng(1)
+    text = lambda n: "".join(rng.choice(list("ACGTé"), n))
+    one, two = text(5000), text(5000)
+    placed = spark.createDataFrame([("a", "b", 1, 0, 5000, one, two), ("a", "b", 2, 5001, 0, "", ""), ("a", "b", 2, 5001, 700, one[:700], two[:700])],
+                                   "strain1 string, strain2 string, block_no int, offset long, length long, seq1 string, seq2 string")
+    spans = [(10, 11), (900, 4100), (4990, 5300), (5690, 9000), (7, 7)]
+    got = rc.extract_intervals(placed, spark.createDataFrame([("a", "b", *s) for s in spans], "strain1 string, strain2 string, start long, end long"), 64)
+    whole = [(0, 1, one, two), (5001, 2, one[:700], two[:700])]
+    want = {(lo, hi, no, max(lo, at), x[max(lo, at) - at: hi - at], y[max(lo, at) - at: hi - at])
+            for lo, hi in spans for at, no, x, y in whole if max(lo, at) < min(hi, at + len(x))}
+    assert {tuple(r)[2:] for r in got.collect()} == want and got.count() == len(want)
+    merged = rc.clonal_frame_consensus(got, 3).collect()
+    for r in merged:
+        x, y = next((q[4], q[5]) for q in want if q[0] == r["interval_start"] and q[3] == r["start"])
+        pick = lambda i: ((r["start"] + i) * 1103515245 + 12345) % 2**31 // 65536 % 2
+        assert r["consensus"] == "".join(b if p != b and pick(i) else p for i, (p, b) in enumerate(zip(x, y))) + "NNN"
+    assert len(merged) == len(want)
+
+
 def test_core_columns(spark):
     data = [("L", "a", "AC-GTN"), ("L", "b", "ACGGAN"), ("M", "a", "A"), ("M", "b", "-")]
     df = spark.createDataFrame(data, "label string, isolate string, seq string")
