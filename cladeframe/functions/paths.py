@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from cladeframe.functions.batches import small_batches
 from cladeframe.functions.lineage import cut
 
 
@@ -113,6 +114,7 @@ def best_paths(chains: DataFrame, keys: Sequence[str], order: str, bucket: int =
     number is taken, at the end and at every step back. A bucket is an array of at most ``bucket`` places.
     """
     keys = list(keys)
+    small_batches(chains.sparkSession)
     slot = F.expr(f"`{order}` div {bucket}").alias("bucket")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "emit")))
     packed = cut(

@@ -7,6 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cladeframe.functions.batches import bounded_batches  # noqa: F401
 from cladeframe.functions.lineage import cut
 
 
@@ -14,12 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
-    """Limit what one Arrow batch hands to a Python worker; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

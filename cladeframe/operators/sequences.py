@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cladeframe.functions.batches import small_batches
 from cladeframe.functions.scan import prefix_scan
 from cladeframe.operators.intervals import complement_intervals
 
@@ -61,6 +62,7 @@ def mismatch_offsets(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
 
 def gap_runs(blocks: DataFrame) -> DataFrame:
     """Runs of two or more gaps in either sequence, as intervals inside the block."""
+    small_batches(blocks.sparkSession)
     return blocks.select(*PAIR, "block_no", F.inline(_gap_runs("seq1", "seq2")))
 
 
@@ -80,12 +82,14 @@ def split_by_removed_intervals(blocks: DataFrame, removed: DataFrame) -> DataFra
 
 def split_at_gaps(blocks: DataFrame, min_block: int = 0) -> DataFrame:
     """Gap-free parts of every block in one pass over the rows, without a shuffle."""
+    small_batches(blocks.sparkSession)
     parts = blocks.select(*PAIR, "block_no", F.inline(_gap_free("seq1", "seq2")))
     return parts.withColumn("length", F.length("seq1").cast("long")).filter(F.col("length") > min_block)
 
 
 def with_mismatches(parts: DataFrame) -> DataFrame:
     """Replace the two texts by the sparse mismatch offsets."""
+    small_batches(parts.sparkSession)
     return parts.select(*PAIR, "block_no", "start", "length", mismatch_offsets("seq1", "seq2").alias("mism"))
 
 
