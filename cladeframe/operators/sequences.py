@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeframe.functions.batches import small_batches
 from cladeframe.functions.scan import prefix_scan
-from cladeframe.operators.intervals import complement_intervals
 
 PAIR = ["strain1", "strain2"]
 _GAPS = re.compile("-{2,}")
@@ -66,18 +65,44 @@ def gap_runs(blocks: DataFrame) -> DataFrame:
     return blocks.select(*PAIR, "block_no", F.inline(_gap_runs("seq1", "seq2")))
 
 
+@F.pandas_udf(_RUNS)
+def _complement(removed: pd.Series, size: pd.Series, times: pd.Series) -> pd.Series:
+    """Stretches of 0 … size outside the removed intervals, which are sorted by start.
+
+    Of a key that stands ``times`` over, the first stretch comes as often squared, as it does from ``complement_intervals``.
+    """
+    out = []
+    for cuts, n, m in zip(removed, size, times):
+        ivs = np.array([(c["start"], c["end"]) for c in cuts], np.int64).reshape(-1, 2)
+        lo, hi = ivs[:, 0].clip(0), np.minimum(ivs[:, 1], n)
+        lo, hi = lo[lo < hi], hi[lo < hi]
+        reach = np.maximum.accumulate(np.r_[0, hi])
+        out.append([{"start": int(a), "end": int(b)} for i, (a, b) in enumerate(zip(reach, np.r_[lo, n])) if a < b for _ in range(m * m if a == 0 else m)])
+    return pd.Series(out)
+
+
 def split_by_removed_intervals(blocks: DataFrame, removed: DataFrame) -> DataFrame:
-    """Sub-blocks left after taking intervals (strain1, strain2, block_no, start, end) out; empty ones go."""
+    """Sub-blocks left after taking intervals (strain1, strain2, block_no, start, end) out; empty ones go.
+
+    A block's intervals lie inside its own text, so they come to its one row as an array: they are shuffled once and so
+    is each text.
+    """
+    small_batches(blocks.sparkSession)
     keys = [*PAIR, "block_no"]
-    spans = blocks.select(*keys, F.lit(0).cast("long").alias("start"), F.length("seq1").cast("long").alias("end"))
-    kept = complement_intervals(spans, removed, keys)
-    size = (F.col("end") - F.col("start")).cast("int")
-    return kept.join(blocks, keys).select(
-        *keys, "start",
-        F.substring(F.col("seq1"), (F.col("start") + 1).cast("int"), size).alias("seq1"),
-        F.substring(F.col("seq2"), (F.col("start") + 1).cast("int"), size).alias("seq2"),
-        F.col("end").alias("end"),
-    ).withColumn("length", F.col("end") - F.col("start")).drop("end")
+    none = F.lit(None).cast("long")
+    spans = blocks.select(*keys, none.alias("start"), none.alias("end"), F.lit(1).alias("rows"))
+    cuts = removed.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(0).alias("rows"))
+    each = cuts.unionByName(spans).groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(F.col("rows") == 0, F.struct("start", "end")))).alias("cuts"), F.sum("rows").alias("times")
+    )
+    stretches = _complement("cuts", F.length("seq1").cast("long"), "times")
+    kept = blocks.join(each, keys).select(*keys, "seq1", "seq2", F.inline(stretches))
+    length = F.col("end") - F.col("start")
+    first, size = (F.col("start") + 1).cast("int"), length.cast("int")
+    return kept.select(
+        *keys, "start", F.substring(F.col("seq1"), first, size).alias("seq1"), F.substring(F.col("seq2"), first, size).alias("seq2"),
+        length.alias("length"),
+    )
 
 
 def split_at_gaps(blocks: DataFrame, min_block: int = 0) -> DataFrame:
