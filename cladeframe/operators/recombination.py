@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cladeframe.functions.batches import bounded_batches, small_batches
 from cladeframe.functions.distributions import binomial_quantile, log_gamma
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.paths import best_paths
@@ -69,6 +70,7 @@ def _ssd(runs: pd.Series, counts: pd.Series, size: pd.Series, div: pd.Series) ->
 
 def _histograms(runs: DataFrame, totals: DataFrame) -> DataFrame:
     # distinct run lengths of a pair add up to at most its length: at most sqrt(2·length) entries
+    small_batches(runs.sparkSession)
     packed = runs.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("run", "n"))).alias("h"))
     return totals.join(packed, PAIR).select(
         *PAIR, "aligned_length", "divergence", F.col("h.run").alias("runs"), F.col("h.n").alias("counts")
@@ -151,6 +153,7 @@ def divergence_outlier_filter(parts: DataFrame, filtering_snp: float = 1.0, min_
     1 − 0.05/windows quantile. Only pairs that still shrink go into the next pass; the
     loop asks the driver for one yes/no per pass. A part is treated on its own row.
     """
+    small_batches(parts.sparkSession)
     state = cut(parts.select(*PAIR, "block_no", "start", "length", "mism"))
     previous = pair_divergence(state).select(*PAIR, (F.col("aligned_length") * 2).alias("old"))
     finished = []
@@ -179,69 +182,114 @@ def divergence_outlier_filter(parts: DataFrame, filtering_snp: float = 1.0, min_
     return reduce(DataFrame.unionByName, finished)
 
 
-def _fit_mixture(k: np.ndarray, n: np.ndarray, window: int, start: float, rounds: int = 2000) -> tuple[float, float, float, float, bool]:
-    """Poisson + negative-binomial mixture of counts within box bounds: (mu, mnb, size, fc, converged).
+#: Entries of the histograms that are fitted side by side.
+SIDE_BY_SIDE = 1 << 13
+
+
+@lru_cache(maxsize=4)
+def _rising(window: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid of sizes, and by count and size the gamma term of the second component."""
+    grid = np.linspace(2.0, 10.0, 129)
+    counts = np.arange(max(window, top) + 1.0)
+    return grid, log_gamma(counts[:, None] + grid[None, :]) - log_gamma(grid)[None, :]
+
+
+def _fit_mixtures(
+    ks: Sequence[np.ndarray], ns: Sequence[np.ndarray], window: int, starts: Sequence[float], rounds: int = 2000
+) -> list[tuple[float, float, float, float, bool]]:
+    """Poisson + negative-binomial mixtures of counts within box bounds: (mu, mnb, size, fc, converged) of each pair.
 
     EM with squared extrapolation: two plain steps give a direction and its change, a long step along them is kept
     where the likelihood ends above the plain one's; how long it may be grows by steps of four, so that the first ones do
     not leave the start's optimum. The means of an M-step are weighted means; the size is the top of a parabola over
     a grid whose gamma terms are computed once. Bounds and start are those of the method. Converged means that a round
-    raised the likelihood by next to nothing and its plain steps moved no parameter by 1e-4 of its interval.
+    raised the likelihood by next to nothing and its plain steps moved no parameter by 1e-4 of its interval. Pairs take
+    their rounds together and leave when they are done. Their histograms are equally long, so sums run in the order that
+    they have for one pair, and a pair's fit does not depend on the others.
     """
     # Parameter bounds for Poisson mean, other mean, size and Poisson share (%).
     low, high = np.array([1e-5, 1e-5, 2.0, 0.1]), np.array([window / 10, window / 3, 10.0, 99.9])
     box = lambda theta: np.clip(theta, low, high)
-    grid = np.linspace(low[2], high[2], 129)
-    rising = log_gamma(k[None, :] + grid[:, None]) - log_gamma(grid)[:, None]
-    factorial = log_gamma(k + 1)
-
-    def parts(theta):
-        mu, mnb, size, fc = theta
+    if not len(ks):
+        return []
+    k_all, n_all = np.array(ks, float), np.array(ns, float)
+    grid, table = _rising(window, int(k_all.max()))
+    rising_all = np.ascontiguousarray(table.T[:, k_all.astype(np.int64)].transpose(1, 0, 2))
+    factorial_all = log_gamma(k_all + 1)
+
+    def step(theta, rows):
+        """The likelihoods of ``theta`` and the parameters after one round of EM."""
+        k, n, factorial = k_all[rows], n_all[rows], factorial_all[rows]
+        mu, mnb, size, fc = (theta[:, [i]] for i in range(4))
         p = size / (size + mnb)
         other = log_gamma(k + size) - log_gamma(size) - factorial + size * np.log(p) + k * np.log1p(-p)
-        return np.exp(k * np.log(mu) - mu - factorial) * fc, np.exp(other) * (100 - fc)
-
-    def step(theta):
-        """The likelihood of ``theta`` and the parameters after one round of EM."""
-        a, b = parts(theta)
+        a, b = np.exp(k * np.log(mu) - mu - factorial) * fc, np.exp(other) * (100 - fc)
         r = a / (a + b + 1e-300) * n
         s = n - r
-        fc = 100 * r.sum() / n.sum()
-        mu, mnb = (r * k).sum() / max(r.sum(), 1e-300), (s * k).sum() / max(s.sum(), 1e-300)
-        mnb = min(max(mnb, low[1]), high[1])
-        q = grid / (grid + mnb)
-        score = rising @ s + s.sum() * grid * np.log(q) + (s * k).sum() * np.log1p(-q)
-        top = min(max(int(np.argmax(score)), 1), len(grid) - 2)
-        left, middle, right = score[top - 1: top + 2]
+        r_sum, s_sum, s_k = r.sum(1), s.sum(1), (s * k).sum(1)
+        fc = 100 * r_sum / n.sum(1)
+        mu, mnb = (r * k).sum(1) / np.maximum(r_sum, 1e-300), s_k / np.maximum(s_sum, 1e-300)
+        mnb = np.clip(mnb, low[1], high[1])
+        q = grid / (grid + mnb[:, None])
+        weighted = np.stack([rising_all[row] @ weight for row, weight in zip(rows, s)])
+        score = weighted + s_sum[:, None] * grid * np.log(q) + s_k[:, None] * np.log1p(-q)
+        top = np.clip(np.argmax(score, axis=1), 1, len(grid) - 2)
+        left, middle, right = (np.take_along_axis(score, top[:, None] + d, 1)[:, 0] for d in (-1, 0, 1))
         curve = left - 2 * middle + right
-        shift = 0.5 * (left - right) / curve if curve < 0 else float(np.sign(right - left))
-        size = grid[top] + min(max(shift, -1.0), 1.0) * (grid[1] - grid[0])
-        return float((n * np.log(a + b + 1e-32)).sum()), box(np.array([mu, mnb, size, fc]))
-
-    theta = box(np.array([start, 2 * start, 2.0, 50.0]))
-    reach = 1.0
-    like, one = step(theta)
+        bent = curve < 0
+        shift = np.where(bent, 0.5 * (left - right) / np.where(bent, curve, 1.0), np.sign(right - left))
+        size = grid[top] + np.clip(shift, -1.0, 1.0) * (grid[1] - grid[0])
+        return (n * np.log(a + b + 1e-32)).sum(1), box(np.stack([mu, mnb, size, fc], 1))
+
+    begin = np.asarray(starts, float)
+    theta = box(np.stack([begin, 2 * begin, np.full(len(ks), 2.0), np.full(len(ks), 50.0)], 1))
+    out: list = [None] * len(ks)
+    rows, reach = np.arange(len(ks)), np.ones(len(ks))
+    like, one = step(theta, rows)
     for _ in range(rounds):
-        _, two = step(one)
-        plain, after = step(two)
-        best, gained, following = two, plain, after
+        _, two = step(one, rows)
+        plain, after = step(two, rows)
+        best, gained, following = two.copy(), plain.copy(), after.copy()
         first, change = (one - theta) / (high - low), (two - 2 * one + theta) / (high - low)
-        bend = float(np.sqrt((change**2).sum()))
-        far = min(float(np.sqrt((first**2).sum())) / bend, reach) if bend > 0 else 0.0
-        if far > 1:
-            _, jump = step(box(theta + (high - low) * (2 * far * first + far * far * change)))
-            there, beyond = step(jump)
-            if there > plain:
-                best, gained, following = jump, there, beyond
-            elif far == reach:
-                reach = max(1.0, reach / 4)
-        if far == reach:
-            reach *= 4
-        moved = np.maximum(np.abs(one - theta), np.abs(after - two)) / (high - low)
-        if moved.max() < 1e-4 and gained - like <= 1e-9 * max(1.0, abs(like)):
-            return (*map(float, best), bool(np.isfinite(gained)))
-        theta, like, one = best, gained, following
-    return (*map(float, theta), False)
+        bend = np.sqrt((change**2).sum(1))
+        far = np.where(bend > 0, np.minimum(np.sqrt((first**2).sum(1)) / np.where(bend > 0, bend, 1.0), reach), 0.0)
+        long = np.flatnonzero(far > 1)
+        if len(long):
+            f = far[long, None]
+            _, jump = step(box(theta[long] + (high - low) * (2 * f * first[long] + f * f * change[long])), rows[long])
+            there, beyond = step(jump, rows[long])
+            better = there > plain[long]
+            kept, lost = long[better], long[~better]
+            best[kept], gained[kept], following[kept] = jump[better], there[better], beyond[better]
+            lost = lost[far[lost] == reach[lost]]
+            reach[lost] = np.maximum(1.0, reach[lost] / 4)
+        reach = np.where(far == reach, reach * 4, reach)
+        moved = (np.maximum(np.abs(one - theta), np.abs(after - two)) / (high - low)).max(1)
+        done = (moved < 1e-4) & (gained - like <= 1e-9 * np.maximum(1.0, np.abs(like)))
+        for i in np.flatnonzero(done):
+            out[rows[i]] = (*map(float, best[i]), bool(np.isfinite(gained[i])))
+        on = ~done
+        rows, reach, theta, like, one = rows[on], reach[on], best[on], gained[on], following[on]
+        if not len(rows):
+            return out
+    for i, row in enumerate(rows):
+        out[row] = (*map(float, theta[i]), False)
+    return out
+
+
+def _alike(sizes: Sequence[int], items: Sequence[int]) -> Iterator[list[int]]:
+    """The items in groups of one size, each of a bounded number of entries."""
+    by_size: dict[int, list[int]] = {}
+    for size, item in zip(sizes, items):
+        by_size.setdefault(size, []).append(item)
+    for size, group in by_size.items():
+        most = max(1, SIDE_BY_SIDE // max(1, size))
+        yield from (group[at:at + most] for at in range(0, len(group), most))
+
+
+def _fit_mixture(k: np.ndarray, n: np.ndarray, window: int, start: float, rounds: int = 2000) -> tuple[float, float, float, float, bool]:
+    """The mixture of one pair."""
+    return _fit_mixtures([k], [n], window, [start], rounds)[0]
 
 
 #: What a pair without a fit gets for the two means, the size and the Poisson share.
@@ -257,6 +305,7 @@ def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, win
     aligned over less than ``min_fraction`` are not fitted and get (0, 0, 1, 100) and a null flag; a fit that does
     not converge is dropped for the same values and a false flag.
     """
+    bounded_batches(windows.sparkSession, 8192, "4m")  # short histograms: more pairs of one size in a batch
     scaled = F.col("divergence") * window
     whole = F.round(scaled)
     hist = windows.filter(F.abs(scaled - whole) < 1e-6).groupBy(*PAIR, whole.cast("long").alias("k")).agg(
@@ -266,13 +315,13 @@ def mixture_fit(windows: DataFrame, starts: DataFrame, fractions: DataFrame, win
 
     @F.pandas_udf("struct<mu:double,mnb:double,nb_size:double,fc:double,converged:boolean>")
     def fit(ks: pd.Series, ns: pd.Series, mean_div: pd.Series, fraction: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, n, m, f in zip(ks, ns, mean_div, fraction):
-            if k is None or not f >= min_fraction:
-                rows.append((*UNFITTED, None))
-            else:
-                found = _fit_mixture(np.asarray(k, float), np.asarray(n, float), window, float(m) * window)
-                rows.append(found if found[-1] else (*UNFITTED, False))
+        rows = [(*UNFITTED, None)] * len(ks)
+        wanted = [i for i, (k, f) in enumerate(zip(ks, fraction)) if k is not None and f >= min_fraction]
+        for some in _alike([len(ks.iloc[i]) for i in wanted], wanted):
+            found = _fit_mixtures([np.asarray(ks.iloc[i], float) for i in some], [np.asarray(ns.iloc[i], float) for i in some],
+                                  window, [float(mean_div.iloc[i]) * window for i in some])
+            for i, got in zip(some, found):
+                rows[i] = got if got[-1] else (*UNFITTED, False)
         return pd.DataFrame(rows, columns=["mu", "mnb", "nb_size", "fc", "converged"])
 
     joined = fractions.join(starts, PAIR).join(packed, PAIR, "left")
@@ -309,6 +358,7 @@ def segment_states(windows: DataFrame, fit: DataFrame, window: int = 500, transi
     one also weighing the start shares, and windows are labelled alone. Ties are clonal; pairs without a fit are left
     out.
     """
+    small_batches(windows.sparkSession)
     counts = windows.withColumn("k", F.round(F.col("divergence") * window))
     means = counts.groupBy(*PAIR).agg(F.avg("k").alias("mean_k"))
     used = fit.filter("mu <> 0").join(means, PAIR).withColumn(
@@ -431,6 +481,7 @@ def clonal_frame_consensus(frame: DataFrame, spacer: int = 500) -> DataFrame:
     Where the two bases differ, a fixed arithmetic hash of the position picks one of them,
     so that a re-run gives the same text. Pieces follow each other by ``start``.
     """
+    small_batches(frame.sparkSession)
     text = _either("seq1", "seq2", "start")
     return frame.select(*PAIR, "interval_start", "start", F.concat(text, F.lit("N" * spacer)).alias("consensus"))
 
