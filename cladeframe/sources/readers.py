@@ -86,16 +86,22 @@ def scan_multi_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_paf_hits(
-    spark: SparkSession, path: str, min_aln: int = 500, min_ident: float = 0.9, keep_all: bool = False
+    spark: SparkSession, path: str, min_aln: int = 500, min_ident: float = 0.9, keep_all: bool = False, named: bool = False
 ) -> DataFrame:
     """Alignment hits (genome, contig, qstart, qend, tlen, tstart, tend) of ragged tab lines.
 
     With ``keep_all`` weak hits stay, marked by ``passed``: the reference length is taken
-    from all of them.
+    from all of them. The genome is the file's, or with ``named`` a field before each line's own,
+    so that many genomes may share a file.
     """
+    lead = F.split("value", "\t", 2)
+    raw = _text(spark, path)
+    lines = raw.select(lead[0].alias("genome"), lead[1].alias("value")) if named else raw.select(
+        _group_or_name(F.col("file"), "genome", r"\.paf").alias("genome"), "value"
+    )
     f = F.split("value", "\t")
-    rows = _text(spark, path).filter(F.size(f) >= 12).select(
-        _group_or_name(F.col("file"), "genome", r"\.paf").alias("genome"), f[0].alias("contig"),
+    rows = lines.filter(F.size(f) >= 12).select(
+        "genome", f[0].alias("contig"),
         f[2].cast("long").alias("qstart"), f[3].cast("long").alias("qend"), f[6].cast("long").alias("tlen"),
         f[7].cast("long").alias("tstart"), f[8].cast("long").alias("tend"),
         f[9].cast("long").alias("matches"), f[10].cast("long").alias("alnlen"),

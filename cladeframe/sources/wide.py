@@ -1,8 +1,8 @@
 """Sink for wide tables: sorted cells stream to lines of any number of columns.
 
-A data source writer takes (folder, part, row_no, row, col_no, value, width) rows, a part's rows in order of row and
-column, and writes one file per part, the header line first. It holds one cell at a time, so a line may have as many
-columns as the roster has names. Files appear under the path only when the job commits: tasks write to a
+A data source writer takes (folder, part, row_no, row, col_nos, cells, width) rows, a part's rows in order of row and
+column, and writes one file per part, the header line first. A row brings the cells of a stretch of CELLS_A_ROW columns at
+most, so a line may have as many columns as the roster has names. Files appear under the path only when the job commits: tasks write to a
 ``_staging`` folder, which readers skip, and what failed or repeated tasks leave there is removed.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.scan import sorted_index
 
-CELLS = "folder string, part long, row_no long, row string, col_no long, value string, width long"
+NAMES = ("folder", "part", "row_no", "row", "col_nos", "cells", "width")
 CELLS_A_PART = 1 << 22
+CELLS_A_ROW = 256
 
 
 def _store(path: str):
@@ -63,7 +64,7 @@ class _WideWriter(DataSourceWriter):
                 sink.close()
 
         width = 0
-        for folder, part, row_no, row, col_no, value, wide in iterator:
+        for folder, part, row_no, row, col_nos, cells, wide in iterator:
             if (folder, part) != at:
                 close(width)
                 at, line, col, width = (folder, part), None, 0, wide
@@ -79,9 +80,12 @@ class _WideWriter(DataSourceWriter):
                     sink.write(b"\n")
                 line, col = row_no, 0
                 sink.write(_quoted(row).encode())
-            pad(col_no)
-            sink.write(b"\t" + (self.fill if value is None else _quoted(value)).encode())
-            col = col_no + 1
+            piece = []
+            for col_no, value in zip(col_nos, cells):
+                piece += [self.fill] * (col_no - col)
+                piece.append(self.fill if value is None else _quoted(value))
+                col = col_no + 1
+            sink.write("".join("\t" + cell for cell in piece).encode())
         close(width)
         return _Written(files)
 
@@ -133,7 +137,8 @@ def write_wide(cells: DataFrame, rows: DataFrame, columns: DataFrame, path: str,
     a_part = max(1, CELLS_A_PART // max(1, width))
     folder = F.lit("") if by is None else by
     named = cells.select(folder.alias("folder"), F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), F.col("value").cast("string").alias("value"))
-    named = named.groupBy("folder", "row", "col").agg(F.min("value").alias("value"))
+    # written once: the lines' cells, the lines without any and the headers of folders all come from here
+    named = cut(named.groupBy("folder", "row", "col").agg(F.min("value").alias("value")))
     part = F.floor((F.col("row_no") - 1) / a_part).alias("part")
     body = named.join(lines, "row").join(cols, "col").select("folder", part, "row_no", "row", "col_no", "value")
     if by is None:
@@ -141,11 +146,16 @@ def write_wide(cells: DataFrame, rows: DataFrame, columns: DataFrame, path: str,
         bare = lines.join(named.select("row").distinct(), "row", "left_anti").select(
             F.lit("").alias("folder"), part, "row_no", "row", F.lit(0).cast("long").alias("col_no"), F.lit(None).cast("string").alias("value"))
         body = body.unionByName(bare)
-    head = body.select("folder", "part").distinct().withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(cols, "col_no").select(
+    parts = (lines.select(F.lit("").alias("folder"), part) if by is None else body.select("folder", "part")).distinct()
+    head = parts.withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(cols, "col_no").select(
         "folder", "part", F.lit(0).cast("long").alias("row_no"), F.lit(corner).alias("row"), "col_no", F.col("col").alias("value"))
     out = body.unionByName(head).withColumn("width", F.lit(width).cast("long"))
-    names = [c.split(" ")[0] for c in CELLS.split(", ")]
-    out.select(*names).repartition("folder", "part").sortWithinPartitions("folder", "part", "row_no", "col_no").write.format("wide_cells").option("fill", fill).mode("append").save(path)
+    at = ["folder", "part", "row_no", "row", "width"]
+    stretch = F.floor(F.col("col_no") / CELLS_A_ROW).alias("stretch")
+    # the grouping finds the rows where the parts already are
+    rows_of = out.repartition("folder", "part").groupBy(*at, stretch).agg(F.array_sort(F.collect_list(F.struct("col_no", "value"))).alias("c"))
+    rows_of = rows_of.withColumns({"col_nos": F.col("c.col_no"), "cells": F.col("c.value")}).sortWithinPartitions("folder", "part", "row_no", "stretch")
+    rows_of.select(*NAMES).write.format("wide_cells").option("fill", fill).mode("append").save(path)
 
 
 def folder_of(key: str, value: Column) -> Column:

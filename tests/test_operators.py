@@ -431,3 +431,52 @@ def test_ratio_of_one_tip_nodes_and_identical_clades(spark):
     pairs = spark.createDataFrame([("t", "a", "b", 0.0), ("t", "a", "c", 0.2)], "tree_id string, tip_a string, tip_b string, div double")
     out = {r["node"]: r for r in tr.clade_vs_sister_ratio(edges, closure, tips, pairs).collect()}
     assert out["y"]["inside_dist"] is None and out["x"]["div_ratio"] == float("inf")
+
+
+def _batch_rows(spark):
+    """Rows of the largest Arrow batch that a text function now gets."""
+    @F.pandas_udf("int")
+    def rows(seq1: pd.Series) -> pd.Series:
+        return pd.Series([len(seq1)] * len(seq1))
+
+    texts = spark.range(5000, numPartitions=1).select(F.repeat(F.lit("a"), 3000).alias("seq1"))
+    return texts.select(rows("seq1").alias("n")).agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("use", [sq.split_at_gaps, sq.gap_runs, sq.with_mismatches])
+def test_long_texts_come_in_small_batches(spark, use):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+        use(spark.createDataFrame([("a", "b", 0, 0, 2, "AC", "AC")], "strain1 string, strain2 string, block_no long, start long, length long, seq1 string, seq2 string"))
+        assert _batch_rows(spark) <= 1400
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_removed_intervals_shuffle_each_text_once(spark):
+    b = spark.createDataFrame([("a", "b", 0, "ACGTACGT", "ACGTACGA"), ("a", "b", 1, "ACGT", "ACGT"), ("a", "c", 0, "AC", "AC")], "strain1 string, strain2 string, block_no long, seq1 string, seq2 string")
+    cuts = spark.createDataFrame([("a", "b", 0, 1, 3), ("a", "b", 0, 2, 4), ("a", "b", 0, 4, 5), ("a", "b", 0, 7, 99), ("a", "c", 0, 0, 2), ("x", "y", 0, 0, 1)], "strain1 string, strain2 string, block_no long, start long, end long")
+    out = sq.split_by_removed_intervals(b, cuts)
+    assert sorted(map(tuple, out.collect())) == [("a", "b", 0, 0, "A", "A", 1), ("a", "b", 0, 5, "CG", "CG", 2), ("a", "b", 1, 0, "ACGT", "ACGT", 4)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 1
+
+
+def test_fits_side_by_side_equal_single_ones():
+    from cladeframe.operators.recombination import _fit_mixture, _fit_mixtures
+
+    rng = np.random.default_rng(5)
+    ks = [np.sort(rng.choice(200, 9, replace=False)).astype(float) for _ in range(20)]
+    ns = [rng.integers(1, 30, 9).astype(float) for _ in range(20)]
+    starts = [float((k * n).sum() / n.sum()) for k, n in zip(ks, ns)]
+    assert _fit_mixtures(ks, ns, 500, starts) == [_fit_mixture(k, n, 500, s) for k, n, s in zip(ks, ns, starts)]
+
+
+def test_hits_of_many_genomes_in_one_file(spark, tmp_path):
+    line = "c1\t9\t3\t503\t+\tref\t900\t10\t510\t480\t500\t60"
+    (tmp_path / "all.paf").write_text(f"g1\t{line}\ng2\t{line}\ttp:A:P\ng3\tc1\t9\n")
+    out = rd.scan_paf_hits(spark, str(tmp_path), named=True)
+    assert sorted(map(tuple, out.collect())) == [(g, "c1", 3, 503, 900, 10, 510) for g in ("g1", "g2")]
