@@ -460,6 +460,34 @@ def test_secrets_scores_every_candidate(spark):
     assert np.allclose(net.pooled_logit(codes), net.forward(codes)[3], atol=1e-3)
 
 
+def test_secrets_learn_from_every_text_and_window(spark):
+    rng = random.Random(21)
+    texts = [f"{prose(rng, 150)} token = {rng.getrandbits(64):x}{i}" for i in range(100)]
+    learning = [t for t in texts if zlib.crc32(t.encode()) % 5]
+    # the last by hash of those that are learnt from: one more text than a bounded sample of texts would hold
+    last = max(learning, key=lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True))
+    of = lambda rows: secrets.learn(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1))
+    whole, again, without = of(texts), of(texts), of([t for t in texts if t != last])
+    assert all(np.array_equal(a, b) for a, b in zip(whole.params(), again.params())) and whole.threshold == again.threshold
+    assert not np.array_equal(whole.conv, without.conv), "no text is left out of the fit"
+    windows = sum(int(secrets.windows_of(secrets.encode(t), *secrets.candidates_of(t, [])[:2])[1].sum()) for t in learning)
+    keys = secrets.made_up(20, 0)[0]
+    assert secrets.learn_along(whole, learning, keys)[0] == windows
+
+
+def test_secrets_score_along_the_text_like_cut_out_windows():
+    rng = random.Random(22)
+    net = secrets.CharNet.fit(*secrets.made_up(100, 100))
+    texts = ["", "a:bcdefg", "\0abcdefgh\0 é" * 3, prose(rng, 5000)] + [f"password: '{'x9' * n}y' {'Ab3' * n}" for n in range(2, 60)]
+    laid = secrets.Laid.of(texts, [secrets.base_spans(t) for t in texts])
+    at, stop, _ = secrets.pieces_of(laid.start, laid.end)
+    codes = np.concatenate([secrets.windows_of(secrets.encode(t), *secrets.candidates_of(t, secrets.base_spans(t))[:2])[0] for t in texts])
+    assert np.array_equal(secrets.cut_out(laid.codes, at, stop), codes)
+    assert np.allclose(net.logits(laid.codes, at, stop), net.forward(codes)[3], atol=1e-3)
+    assert np.allclose(net.logits(laid.codes, at, stop, blank=True), net.forward(secrets.blanked(codes))[3], atol=1e-3)
+    assert secrets.spans_of(texts, net) == [secrets.spans_of([t], net)[0] for t in texts]
+
+
 def test_forest_finds_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
