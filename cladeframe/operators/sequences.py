@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeframe.functions.batches import small_batches
@@ -39,24 +41,86 @@ def _gap_runs(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf(_PARTS)
-def _gap_free(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(seq1, seq2):
-        runs = sorted([m.span() for m in _GAPS.finditer(a)] + [m.span() for m in _GAPS.finditer(b)])
-        parts, at = [], 0
-        for lo, hi in [*runs, (len(a), len(a))]:
-            if lo > at:
-                parts.append({"start": at, "seq1": a[at:lo], "seq2": b[at:lo]})
-            at = max(at, hi)
-        out.append(parts)
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def mismatch_offsets(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts of a batch in one array, and how many each text has; bytes where all are ASCII."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    if not (raw & 128).any():
+        return raw, np.diff(ends)
+    return _codes(raw.tobytes().decode()), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _texts(codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Texts of the given sizes that follow each other in ``codes``."""
+    ends = np.r_[0, np.cumsum(sizes)]
+    if codes.dtype == np.uint8:
+        raw = codes.tobytes()
+    else:
+        raw = codes.tobytes().decode("utf-32-le").encode()
+        ends = np.r_[0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64))][ends]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
+
+
+def as_lists(counts: np.ndarray, **columns) -> pa.Array:
+    """Lists of ``counts`` structs each, whose fields follow each other in ``columns``."""
+    fields = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.StructArray.from_arrays(fields, names=list(columns)))
+
+
+def _gap_free_row(a: str, b: str) -> list[dict]:
+    runs = sorted([m.span() for m in _GAPS.finditer(a)] + [m.span() for m in _GAPS.finditer(b)])
+    parts, at = [], 0
+    for lo, hi in [*runs, (len(a), len(a))]:
+        if lo > at:
+            parts.append({"start": at, "seq1": a[at:lo], "seq2": b[at:lo]})
+        at = max(at, hi)
+    return parts
+
+
+@F.arrow_udf(_PARTS)
+def _gap_free(seq1: pa.Array, seq2: pa.Array) -> pa.Array:
+    """All texts of a batch at once; texts that are not equally long go row by row."""
+    row_type = pa.list_(pa.struct([("start", pa.int64()), ("seq1", pa.string()), ("seq2", pa.string())]))
+    if seq1.null_count or seq2.null_count or not len(seq1):
+        return pa.array([_gap_free_row(a, b) for a, b in zip(seq1.to_pylist(), seq2.to_pylist())], row_type)
+    (one, size), (two, other) = _letters(seq1), _letters(seq2)
+    if (size != other).any():
+        return pa.array([_gap_free_row(a, b) for a, b in zip(seq1.to_pylist(), seq2.to_pylist())], row_type)
+    begin = np.cumsum(size) - size
+    inside = np.ones(len(one) + 1, bool)  # whether a place and the one before it are of one row
+    inside[begin], inside[-1] = False, False
+    gap = np.zeros(len(one), bool)
+    for codes in (one, two):
+        dash = codes == ord("-")
+        both = dash[1:] & dash[:-1] & inside[1:-1]
+        gap[1:] |= both
+        gap[:-1] |= both
+    kept = ~gap
+    joined = kept[1:] & kept[:-1] & inside[1:-1]
+    first, last = kept.copy(), kept.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    start = np.flatnonzero(first)
+    long = np.flatnonzero(last) + 1 - start
+    row = np.searchsorted(begin, start, side="right") - 1
+    return as_lists(np.bincount(row, minlength=len(size)), start=start - begin[row], seq1=_texts(one[kept], long), seq2=_texts(two[kept], long))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def mismatch_offsets(seq1: pa.Array, seq2: pa.Array) -> pa.Array:
     """Sorted 0-based offsets where two equally long texts differ."""
-    return pd.Series([np.flatnonzero(_codes(a) != _codes(b)).astype(np.int32) for a, b in zip(seq1, seq2)])
+    if not seq1.null_count and not seq2.null_count and len(seq1):
+        (one, size), (two, other) = _letters(seq1), _letters(seq2)
+        if (size == other).all():
+            ends = np.cumsum(size)
+            at = np.flatnonzero(one != two)
+            counts = np.diff(np.r_[0, np.searchsorted(at, ends)])
+            offsets = at - np.repeat(ends - size, counts)
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(offsets.astype(np.int32)))
+    rows = [np.flatnonzero(_codes(a) != _codes(b)).astype(np.int32) for a, b in zip(seq1.to_pylist(), seq2.to_pylist())]
+    return pa.array(rows, pa.list_(pa.int32()))
 
 
 def gap_runs(blocks: DataFrame) -> DataFrame:
@@ -140,14 +204,30 @@ def pair_divergence(parts: DataFrame, count_joins: bool = True) -> DataFrame:
     )
 
 
+def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and how many each has; a null list has none."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
+
+
 def _bins(placed: DataFrame, width: int) -> DataFrame:
-    """Mismatch counts per pair and position bin; markers sit just before every later part."""
-    local = F.transform("mism", lambda x: x + F.col("offset"))
-    marker = F.when(F.col("offset") > 0, F.array(F.col("offset") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return (
-        placed.select(*PAIR, F.explode(F.concat(marker, local)).alias("pos"))
-        .groupBy(*PAIR, F.floor(F.col("pos") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Mismatch counts per pair and position bin; markers sit just before every later part.
+
+    A part's mismatches are counted on its own row, so as many rows as it touches bins are shuffled.
+    """
+    @F.arrow_udf("array<struct<bin:bigint,n:bigint>>")
+    def own(offset: pa.Array, mism: pa.Array) -> pa.Array:
+        offset = offset.to_numpy(zero_copy_only=False).astype(np.int64)
+        at, counts = flat_lists(mism)
+        marked = (offset > 0) & mism.is_valid().to_numpy(zero_copy_only=False)
+        at = np.insert(at, (np.cumsum(counts) - counts)[marked], -1)
+        row = np.repeat(np.arange(len(offset)), counts + marked)
+        bin_ = (at + offset[row]) // width
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bin_[1:] != bin_[:-1])][:len(row)])
+        return as_lists(np.bincount(row[new], minlength=len(offset)), bin=bin_[new], n=np.diff(np.r_[new, len(row)]))
+
+    small_batches(placed.sparkSession)
+    return placed.select(*PAIR, F.inline(own(F.col("offset").cast("long"), "mism"))).groupBy(*PAIR, "bin").agg(F.sum("n").alias("n"))
 
 
 def extra_windows(length: Column, window: int, step: int) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
@@ -480,3 +481,46 @@ def test_hits_of_many_genomes_in_one_file(spark, tmp_path):
     (tmp_path / "all.paf").write_text(f"g1\t{line}\ng2\t{line}\ttp:A:P\ng3\tc1\t9\n")
     out = rd.scan_paf_hits(spark, str(tmp_path), named=True)
     assert sorted(map(tuple, out.collect())) == [(g, "c1", 3, 503, 900, 10, 510) for g in ("g1", "g2")]
+
+
+def test_pair_steps_take_whole_batches_like_single_rows(spark):
+    rng = random.Random(31)
+    text = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    rows = [("a", "b", i, text(n, "AC-"), text(n, "AC-é😀" if i % 3 else "AC-")) for i, n in enumerate([0, 1, 2, 3, *[rng.randrange(200) for _ in range(60)], 0])]
+    blocks = spark.createDataFrame(rows, "strain1 string, strain2 string, block_no long, seq1 string, seq2 string").coalesce(2)
+    parts = sq.split_at_gaps(blocks)
+    got = {(r["block_no"], r["start"], r["seq1"], r["seq2"], r["length"]) for r in parts.collect()}
+    assert got == {(r[2], p["start"], p["seq1"], p["seq2"], len(p["seq1"])) for r in rows for p in sq._gap_free_row(r[3], r[4])}
+    both = parts.withColumn("mism", sq.mismatch_offsets("seq1", "seq2")).collect()
+    assert all(r["mism"] == [i for i, (x, y) in enumerate(zip(r["seq1"], r["seq2"])) if x != y] for r in both)
+    placed = sq.place_parts(sq.with_mismatches(parts))
+    bins = {}
+    for r in placed.collect():
+        for at in [r["offset"] + m for m in r["mism"]] + [r["offset"] - 1] * (r["offset"] > 0):
+            bins[at // 50] = bins.get(at // 50, 0) + 1
+    assert {r["bin"]: r["n"] for r in sq._bins(placed, 50).collect()} == bins
+    plan = sq._bins(placed, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan, "mismatches are counted on their part's row and not shuffled one by one"
+
+
+def test_outlier_windows_of_a_batch_like_single_parts(spark):
+    rng = random.Random(32)
+    rows = []
+    for n in [1, 40, 100, 101, 149, 150, 151, *[rng.randrange(1, 900) for _ in range(60)]]:
+        dense = rng.randrange(n)
+        mism = sorted({i for i in range(n) if rng.random() < (0.3 if dense <= i < dense + 120 else 0.01)})
+        rows.append((n, mism, 100, rng.choice([0, 4, 12]), 40, 0.02))
+    df = spark.createDataFrame(rows, "length long, mism array<int>, window long, cutoff long, n_windows long, divergence double").coalesce(1)
+    got = df.select("length", "mism", "cutoff", rc._keep("length", "mism", "window", "cutoff", "n_windows", "divergence").alias("kept")).collect()
+    for (size, m, w, cutoff, n, div), r in zip(rows, got):
+        full = max(0, -(-(size - w) // 50)) if m else 0
+        out = set()
+        for s in range(0, 50 * full, 50):
+            if sum(s <= x < s + w for x in m) >= cutoff:
+                out |= set(range(s, s + w))
+        tail = 50 * full
+        if m and tail < size and sum(x >= tail for x in m) >= rc.binomial_quantile(1 - 0.05 / np.array([n]), np.array([size - tail]), np.array([div]))[0]:
+            out |= set(range(tail, size))
+        left = [i for i in range(size) if i not in out]
+        assert [i for k in r["kept"] for i in range(k["start"], k["start"] + k["length"])] == left
+        assert [k["start"] + i for k in r["kept"] for i in k["mism"]] == [x for x in m if x not in out]
