@@ -8,6 +8,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeframe.functions.batches import bounded_batches, small_batches
@@ -15,7 +16,7 @@ from cladeframe.functions.distributions import binomial_quantile, log_gamma
 from cladeframe.functions.lineage import cut
 from cladeframe.functions.paths import best_paths
 from cladeframe.operators.intervals import complement_intervals, merge_intervals
-from cladeframe.operators.sequences import PAIR, pair_divergence
+from cladeframe.operators.sequences import PAIR, as_lists, flat_lists, pair_divergence
 
 _KEPT = T.ArrayType(
     T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("mism", T.ArrayType(T.IntegerType()))
@@ -119,31 +120,42 @@ def _cutoff(n_windows: pd.Series, window: pd.Series, div: pd.Series) -> pd.Serie
     return pd.Series(binomial_quantile(1 - 0.05 / n_windows, window, div))
 
 
-@F.pandas_udf(_KEPT)
-def _keep(length: pd.Series, mism: pd.Series, window: pd.Series, cutoff: pd.Series, n_windows: pd.Series, div: pd.Series) -> pd.Series:
-    out = []
+@F.arrow_udf(_KEPT)
+def _keep(length: pa.Array, mism: pa.Array, window: pa.Array, cutoff: pa.Array, n_windows: pa.Array, div: pa.Array) -> pa.Array:
+    """Stretches of every part outside its windows with too many mismatches; all parts of a batch at once.
+
+    Parts lie one after the other with a place between them, so a window's mismatches are found by two searches.
+    """
+    size, w, c, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, window, cutoff, n_windows))
+    at, counts = flat_lists(mism)
+    has = counts > 0
+    base = np.cumsum(size + 1) - size - 1
+    at += np.repeat(base, counts)
+    n_full = np.where(has, np.maximum(0, -(-(size - w) // 50)), 0)
     # the last stretch of every part, shorter than a window, has a cut of its own
-    rest = length - 50 * np.maximum(0, -((window - length) // 50))
-    rest_cut = binomial_quantile(1 - 0.05 / n_windows, rest, div)
-    for size, m, w, c, r in zip(length, mism, window, cutoff, rest_cut):
-        m, size, w = np.asarray(m, dtype=np.int64), int(size), int(w)
-        cuts = []
-        if len(m):
-            n_full = max(0, -(-(size - w) // 50))
-            starts = 50 * np.arange(n_full)
-            seen = np.searchsorted(m, starts + w) - np.searchsorted(m, starts)
-            cuts = [(int(s), int(s) + w) for s in starts[seen >= c]]
-            tail = 50 * n_full
-            if tail < size and len(m) - np.searchsorted(m, tail) >= r:
-                cuts.append((tail, size))
-        kept, at = [], 0
-        for lo, hi in [*cuts, (size, size)]:
-            if lo > at:
-                inside = m[np.searchsorted(m, at): np.searchsorted(m, lo)] - at
-                kept.append({"start": at, "length": lo - at, "mism": inside.astype(np.int32)})
-            at = max(at, hi)
-        out.append(kept)
-    return pd.Series(out)
+    tail = 50 * n_full
+    tested = np.flatnonzero(has & (tail < size))
+    rest_cut = binomial_quantile(1 - 0.05 / n[tested], (size - tail)[tested], div.to_numpy(zero_copy_only=False)[tested])
+    tested = tested[np.cumsum(counts)[tested] - np.searchsorted(at, (base + tail)[tested]) >= rest_cut]
+    row = np.repeat(np.arange(len(size)), n_full)
+    low = base[row] + 50 * (np.arange(len(row)) - np.repeat(np.cumsum(n_full) - n_full, n_full))
+    seen = np.searchsorted(at, low + w[row]) - np.searchsorted(at, low) >= c[row]
+    # ends of windows grow with their starts, so a stretch runs from the window before it, or its part's start
+    end = base + size
+    row = np.r_[row[seen], tested, np.arange(len(size))]
+    high = np.r_[low[seen] + w[row[:seen.sum()]], end[tested], end]
+    low = np.r_[low[seen], (base + tail)[tested], end]
+    order = np.argsort(low, kind="stable")
+    row, low, high = row[order], low[order], high[order]
+    since = np.where(np.r_[True, row[1:] != row[:-1]][:len(row)], base[row], np.r_[0, high[:-1]][:len(row)])
+    kept = low > since
+    row, low, since = row[kept], low[kept], since[kept]
+    first = np.searchsorted(at, since)
+    many = np.searchsorted(at, low) - first
+    ends = np.cumsum(many)
+    inside = at[np.repeat(first - ends + many, many) + np.arange(many.sum())] - np.repeat(since, many)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(inside.astype(np.int32)))
+    return as_lists(np.bincount(row, minlength=len(size)), start=since - base[row], length=low - since, mism=lists)
 
 
 def divergence_outlier_filter(parts: DataFrame, filtering_snp: float = 1.0, min_block: int = 0, epsilon: float = 1e-6) -> DataFrame:
