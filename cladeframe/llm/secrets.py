@@ -370,8 +370,9 @@ def platt(logit: np.ndarray, y: np.ndarray, rounds: int = 200, times: np.ndarray
     return max(a, 1e-3), b
 
 
-#: Places that filters run along at once; windows that a step of the learning takes, at first and later.
-PLACES, FEW, MANY = 1 << 13, 1 << 4, 1 << 11
+#: Places that filters run along at once, so few that no array is fetched from the system and given back each time; windows
+#: that a step of the learning takes, at first and later.
+PLACES, FEW, MANY = 1 << 11, 1 << 4, 1 << 11
 #: Logits within this distance of the border, on the right side, have no slope left.
 MARGIN = 3.0
 #: Findings that come again with every step.
