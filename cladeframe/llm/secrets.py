@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -27,6 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: "=" ends a run (as padding); before a value it is a separator, and the value a candidate of its own.
 RUN = re.compile(r"[A-Za-z0-9+/_.-]{6,}=*")
+_IN_RUN, _IN_HEX, _EQUALS = (np.array([i > 0 and re.fullmatch(of, chr(i + 31)) is not None for i in range(97)]) for of in ("[A-Za-z0-9+/_.-]", "[0-9a-f]", "="))
 VALUE = re.compile(r"""[:=]\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"']{6,}))""")
 KINDS = ("assign", "access", "hex", "model")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -34,11 +34,14 @@ LEFT, BODY, RIGHT, STEP = 20, 40, 8, 32
 #: Bodies up to this length are scored without the places behind them.
 SHORT = 12
 WIDTH = LEFT + BODY + RIGHT
+#: Of a stretch of so many places: which of 2, 4, 8 and 16 is the largest that fits into it.
+LEVEL = np.array([max(0, min(3, n.bit_length() - 2)) for n in range(BODY)])
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
+def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern matches, leftmost and non-overlapping per kind, by start and kind.
 
+    ``hexes`` is false only where no hex match is known to be.
     An access or hex match is a maximal run, so asking for its least length at once drops what failing
     matches would; an assignment consumes its text even where its value is too short.
     """
@@ -46,30 +49,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if any(h in lowered for h in _HINTS) else []
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if hexes:
+        out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(out)
 
 
 def candidates_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the candidates, whether a pattern touches each and whether patterns cover all of it."""
-    found = {m.span() for m in RUN.finditer(text)}
-    if ":" in text or "=" in text:
-        found.update(m.span(m.lastindex) for m in VALUE.finditer(text))
-    merged: list[list[int]] = []
-    for s, _, e in spans:
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    lows = [m[0] for m in merged]
-    at = np.array(sorted(found), np.int64).reshape(-1, 2)
-    touched, whole = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    if merged:
-        for i, (s, e) in enumerate(at.tolist()):
-            k = bisect_right(lows, s) - 1
-            whole[i] = k >= 0 and merged[k][1] >= e
-            touched[i] = (k >= 0 and merged[k][1] > s) or (k + 1 < len(lows) and lows[k + 1] < e)
-    return at[:, 0], at[:, 1], touched, whole
+    laid = Laid.of([text], [spans])
+    return laid.start - laid.base[0], laid.end - laid.base[0], laid.touched, laid.whole
 
 
 def encode(text: str) -> np.ndarray:
@@ -78,6 +66,12 @@ def encode(text: str) -> np.ndarray:
     return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 31, 96)).astype(np.uint8)
 
 
+def runs_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true values begin and end; the first and last value are false."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return edges[::2], edges[1::2]
+
+
 def pieces_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the windows that cover each whole candidate begin and stop; how many each has."""
     times = np.maximum(1, -(-(end - BODY + STEP - start) // STEP))
@@ -106,6 +100,7 @@ class Laid:
     """Candidates of several texts, which lie one after the other with padding between them."""
 
     codes: np.ndarray
+    spans: Sequence[list[tuple[int, int, int]]]
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -114,14 +109,41 @@ class Laid:
     base: np.ndarray
 
     @classmethod
-    def of(cls, texts: Sequence[str], spans: Sequence[list[tuple[int, int, int]]]) -> Laid:
-        found = [candidates_of(t, own) for t, own in zip(texts, spans)]
-        base = LEFT + np.cumsum([0] + [len(t) + LEFT for t in texts])[:-1]
+    def of(cls, texts: Sequence[str], spans: Sequence[list[tuple[int, int, int]]] | None = None) -> Laid:
+        """Candidates by start and end; ``spans`` are the pattern matches, found here if not given."""
+        base = LEFT + np.cumsum([0, *(len(t) + LEFT for t in texts)], dtype=np.int64)[:-1]
         gap = "\0" * LEFT
         codes = np.concatenate([encode(gap + gap.join(texts)), np.zeros(BODY + RIGHT, np.uint8)])
-        text = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-        start, end, touched, whole = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, bool, bool)))
-        return cls(codes, text, start + base[text], end + base[text], touched, whole, base)
+        if spans is None:
+            start, end = runs_of(_IN_HEX[codes])
+            hexes = set((np.searchsorted(base, start[end - start >= 24], "right") - 1).tolist())
+            spans = [base_spans(t, i in hexes) for i, t in enumerate(texts)]
+        start, end = runs_of(_IN_RUN[codes])
+        long = end - start >= 6
+        start, end = start[long], end[long]
+        equals, stop = runs_of(_EQUALS[codes])
+        if len(equals):
+            k = np.minimum(np.searchsorted(equals, end), len(equals) - 1)
+            end = np.where(equals[k] == end, stop[k], end)
+        values = [(m.start(m.lastindex) + low, m.end(m.lastindex) + low) for t, low in zip(texts, base.tolist()) if ":" in t or "=" in t for m in VALUE.finditer(t)]
+        if values:
+            values = np.array(values, np.int64)
+            found = np.sort(np.concatenate([start << 32 | end, values[:, 0] << 32 | values[:, 1]]), kind="stable")
+            found = found[np.r_[True, found[1:] != found[:-1]]]
+            start, end = found >> 32, found & 0xFFFFFFFF
+        touched, whole = np.zeros(len(start), bool), np.zeros(len(start), bool)
+        merged: list[list[int]] = []
+        for own, low in zip(spans, base.tolist()):
+            for s, _, e in own:
+                if merged and s + low <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e + low)
+                else:
+                    merged.append([s + low, e + low])
+        if merged:
+            low, high = np.array([[-1, -1], *merged, [len(codes)] * 2], np.int64).T
+            k = np.searchsorted(low, start, "right") - 1
+            whole, touched = high[k] >= end, (high[k] > start) | (low[k + 1] < end)
+        return cls(codes, spans, np.searchsorted(base, start, "right") - 1, start, end, touched, whole, base)
 
 
 def made_up(findings: int, others: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +192,19 @@ class CharNet:
         return cols, z, pooled, pooled @ self.out
 
     def prepared(self) -> tuple[np.ndarray, ...]:
-        """What two neighbours, the fifth character and a place add to the filters."""
+        """What two neighbours, the fifth character and a place add to the filters; the last row by row for a stretch inside a body.
+
+        What the first place adds is in the first table, and 0 in that of the places.
+        """
         size = WIDTH - self.SPAN + 1
         if self.tables is None:
             kernel = self.conv.reshape(self.embed.shape[1] + 1, self.SPAN, -1)
             inside = ((np.arange(WIDTH) >= LEFT) & (np.arange(WIDTH) < LEFT + BODY)).astype(float)
             one = [self.embed @ kernel[:-1, k] for k in range(self.SPAN)]
             two = [(one[k][:, None] + one[k + 1][None]).reshape(-1, self.conv.shape[1]).astype(np.float32) for k in (0, 2)]
-            base = self.bias + sum(inside[k:k + size, None] * kernel[-1, k] for k in range(self.SPAN))
-            self.tables = (*two, one[4].astype(np.float32), base.astype(np.float32))
+            base = sum(inside[k:k + size, None] * kernel[-1, k] for k in range(self.SPAN)).astype(np.float32)
+            two[0] += self.bias.astype(np.float32)
+            self.tables = (*two, one[4].astype(np.float32), base, np.tile(base[LEFT], (PLACES + WIDTH, 1)))
         return self.tables
 
     def pooled_logit(self, codes: np.ndarray, reach: int = BODY - 4) -> np.ndarray:
@@ -187,7 +213,7 @@ class CharNet:
         Bodies of at most ``reach`` characters leave the places behind them all padding: the same for every window.
         """
         size = WIDTH - self.SPAN + 1
-        first, second, last, base = self.prepared()
+        first, second, last, base, _ = self.prepared()
         pair = codes[:, :-1].astype(np.intp) * len(self.embed) + codes[:, 1:]
         at = np.r_[0:LEFT + reach, LEFT + BODY - 4:size]
         z = first.take(pair[:, at], axis=0, mode="clip")
@@ -222,53 +248,71 @@ class CharNet:
         return out
 
     def _along(self, laid: np.ndarray, at: np.ndarray, stop: np.ndarray, blank: bool) -> np.ndarray:
-        first, second, last, base = self.prepared()
+        """``logits`` of bodies that begin within PLACES of one another, in order.
+
+        Means are linear in the filters, so running sums of one number a place give those of any stretch; the largest
+        of a stretch is that of two overlapping ones of 2, 4, 8 or 16 places.
+        """
+        first, second, last, base, inside = self.prepared()
+        filters, chars = self.conv.shape[1], len(self.embed)
         low = at[0] - LEFT
         c = laid[low:stop.max() + RIGHT].astype(np.intp)
         s, e = at - low, stop - low
-        pair, n = c[:-1] * len(self.embed) + c[1:], len(c) - 4
-        raw = first.take(pair[:n], axis=0)
-        raw += second.take(pair[2:2 + n], axis=0)
-        raw += last.take(c[4:], axis=0)
-        body = raw + base[LEFT]
-        np.maximum(body, 0, out=body)
-        ends = np.stack([s, e - 4], 1).ravel()
-        top, total = np.maximum.reduceat(body, ends, axis=0)[::2], np.add.reduceat(body, ends, axis=0)[::2]
-
-        def add(z):
-            nonlocal top, total
-            np.maximum(z, 0, out=z)
-            top = np.maximum(top, np.maximum(np.maximum(z[:, 0], z[:, 1]), np.maximum(z[:, 2], z[:, 3])))
-            total = total + (z[:, 0] + z[:, 1] + z[:, 2] + z[:, 3])
-
-        def border(x, own):
-            y = x[:, :-1] * len(self.embed) + x[:, 1:]
-            z = first.take(y[:, :4], axis=0)
-            z += second.take(y[:, 2:6], axis=0)
-            z += last.take(x[:, 4:], axis=0)
-            z += own
-            add(z)
-
-        none, after = np.zeros((len(s), 4), np.intp), c[e[:, None] + np.arange(4)]
+        pair, n = c[:-1] * chars + c[1:], len(c) - 4
+        raw = first.take(pair[:n], axis=0, mode="clip")
+        raw += second.take(pair[2:2 + n], axis=0, mode="clip")
+        ends = raw.take(e - 4, axis=0, mode="clip")
+        raw += last.take(c[4:], axis=0, mode="clip")
+        wide, most, width = np.empty((4, n, filters), np.float32), raw, 1
+        for level in wide:
+            most = np.maximum(most[:-width], most[width:], out=level[:len(most) - width])
+            width *= 2
+        wide, level = wide.reshape(-1, filters), LEVEL[e - 4 - s]
+        top = wide.take(level * n + s, axis=0, mode="clip")
+        np.maximum(top, wide.take(level * n + e - 4 - (2 << level), axis=0, mode="clip"), out=top)
+        top += base[LEFT]
+        share = (self.out[filters:-1] / (WIDTH - self.SPAN + 1)).astype(np.float32)
+        z = raw + inside[:n]
+        sums = np.concatenate([[0.0], np.cumsum(np.maximum(z, 0, out=z) @ share, dtype=np.float64)])
+        total = sums[e - 4] - sums[s]
+
+        own = np.empty((8 if blank else 12, len(s), filters), np.float32)
+        padding = second[0] + last[0] + base[LEFT]
+        own[0] = ends
+        own[0] += last[0] + base[LEFT]
+        first.take(pair[e - 3], axis=0, mode="clip", out=own[1])
+        own[1] += (second[::chars] + (last[0] + base[LEFT])).take(c[e - 1], axis=0, mode="clip")
+        first.take(pair[e - 2], axis=0, mode="clip", out=own[2])
+        own[2] += padding
+        (first[::chars] + padding).take(c[e - 1], axis=0, mode="clip", out=own[3])
+        padding = np.maximum(first[0] + padding, 0)
+        # The four places at which padding comes before what is read: the body itself, or what stands behind it.
+        x, place = (s, LEFT - 4) if blank else (e, LEFT + BODY - 4)
+        (last + (first[0] + second[0] + base[place])).take(c[x], axis=0, mode="clip", out=own[4])
+        second[:chars].take(c[x], axis=0, mode="clip", out=own[5])
+        second.take(pair[x], axis=0, mode="clip", out=own[6])
+        second.take(pair[x + 1], axis=0, mode="clip", out=own[7])
+        own[7] += first[:chars].take(c[x], axis=0, mode="clip")
+        for k in (1, 2, 3):
+            own[4 + k] += (last + (base[place + k] + (first[0] if k < 3 else 0))).take(c[x + k], axis=0, mode="clip")
         if blank:
-            border(np.concatenate([none, c[s[:, None] + np.arange(4)]], 1), base[LEFT - 4:LEFT])
-            outside = np.maximum(first[0] + second[0] + last[0] + base[0], 0)
-            top, total, after = np.maximum(top, outside), total + (LEFT - 4 + RIGHT - 4) * outside, none
+            outside = np.maximum(first[0] + second[0] + last[0] + np.concatenate([base[:LEFT - 4], base[LEFT + BODY - 4:]]), 0)
+            np.maximum(top, outside.max(0), out=top)
+            total += float((outside @ share).sum())
         else:
-            add(raw[s[:, None] + np.arange(-4, 0)] + base[LEFT - 4:LEFT])
-            most = raw + base[0]
-            np.maximum(most, 0, out=most)
-            summed = most
-            for width, where in ((4, e), (16, s - LEFT)):
-                for k in (width // 4, width // 2):
-                    most, summed = np.maximum(most[:-k], most[k:]), summed[:-k] + summed[k:]
-                top, total = np.maximum(top, most[where]), total + summed[where]
-        border(np.concatenate([c[e[:, None] + np.arange(-4, 0)], none], 1), base[LEFT])
-        border(np.concatenate([none, after], 1), base[LEFT + BODY - 4:LEFT + BODY])
-        padding, times = np.maximum(first[0] + second[0] + last[0] + base[LEFT], 0), (BODY - 4 - (e - s))[:, None]
-        top, total = np.where(times > 0, np.maximum(top, padding), top), total + times * padding
-        f = top.shape[1]
-        return (top * self.out[:f]).sum(1) + (total * self.out[f:-1]).sum(1) / (WIDTH - self.SPAN + 1) + self.out[-1]
+            for k in range(4):
+                raw.take(s - 4 + k, axis=0, mode="clip", out=own[8 + k])
+                own[8 + k] += base[LEFT - 4 + k]
+            np.maximum(top, wide.take(3 * n + s - LEFT, axis=0, mode="clip"), out=top)
+            np.maximum(top, wide.take(n + e, axis=0, mode="clip"), out=top)
+            sums = np.concatenate([[0.0], np.cumsum(np.maximum(raw, 0, out=raw) @ share, dtype=np.float64)])
+            total += sums[s - 4] - sums[s - LEFT] + sums[e + 4] - sums[e]
+        np.maximum(own, 0, out=own)
+        total += (own.reshape(-1, filters) @ share).reshape(len(own), -1).sum(0)
+        np.maximum(top, own.max(0), out=top)
+        times = BODY - 4 - (e - s)
+        np.maximum(top, np.where(times[:, None] > 0, padding, 0), out=top)
+        return top @ self.out[:filters] + total + times * float(padding @ share) + self.out[-1]
 
     def chance(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * logit + self.scale[1], -30, 30)))
@@ -370,9 +414,8 @@ def platt(logit: np.ndarray, y: np.ndarray, rounds: int = 200, times: np.ndarray
     return max(a, 1e-3), b
 
 
-#: Places that filters run along at once, so few that no array is fetched from the system and given back each time; windows
-#: that a step of the learning takes, at first and later.
-PLACES, FEW, MANY = 1 << 11, 1 << 4, 1 << 11
+#: Places that filters run along at once; windows that a step of the learning takes, at first and later.
+PLACES, FEW, MANY = 1 << 13, 1 << 4, 1 << 11
 #: Logits within this distance of the border, on the right side, have no slope left.
 MARGIN = 3.0
 #: Findings that come again with every step.
@@ -410,7 +453,7 @@ def in_groups(texts: Iterable[str], most: int = 1 << 18) -> Iterator[list[str]]:
 def windows_met(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Laid codes, begin, stop and label of all windows, by groups of texts."""
     for group in in_groups(texts):
-        laid = Laid.of(group, [base_spans(t) for t in group])
+        laid = Laid.of(group)
         at, stop, times = pieces_of(laid.start, laid.end)
         yield laid.codes, at, stop, np.repeat(laid.touched, times)
 
@@ -518,8 +561,7 @@ def spans_of(texts: Sequence[str], net: CharNet) -> list[tuple[list, list]]:
     """
     out = []
     for group in in_groups(texts):
-        spans = [base_spans(t) for t in group]
-        laid = Laid.of(group, spans)
+        laid = Laid.of(group)
         open_ = np.flatnonzero(~laid.whole)
         added: list[list] = [[] for _ in group]
         if len(open_):
@@ -528,7 +570,7 @@ def spans_of(texts: Sequence[str], net: CharNet) -> list[tuple[list, list]]:
             for i in open_[best >= net.threshold]:
                 low = laid.base[laid.text[i]]
                 added[laid.text[i]].append((int(laid.start[i] - low), 3, int(laid.end[i] - low)))
-        out += zip(spans, added)
+        out += zip(laid.spans, added)
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -488,6 +489,44 @@ def test_secrets_score_along_the_text_like_cut_out_windows():
     assert secrets.spans_of(texts, net) == [secrets.spans_of([t], net)[0] for t in texts]
 
 
+def test_secrets_candidates_of_a_group_are_those_of_the_patterns():
+    rng = random.Random(23)
+    parts = ["token=", "AKIA", "0123456789abcdef", 'secret: "', "password", "==", "deadbeef" * 3, "é", "\0", "\ud800", "\n", " ", "'", ":=", "\x7f", "+/_.-", "Zz9", "\U0001f600"]
+    texts = ["", "=", "abcdef", "abcdef=="] + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    laid = secrets.Laid.of(texts)
+    assert laid.spans == [secrets.base_spans(t) for t in texts]
+    for i, text in enumerate(texts):
+        runs = {m.span() for m in re.finditer(r"[A-Za-z0-9+/_.-]{6,}=*", text)}
+        values = {m.span(m.lastindex) for m in re.finditer(r"""[:=]\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"']{6,}))""", text)}
+        own = laid.text == i
+        got = [*zip((laid.start[own] - laid.base[i]).tolist(), (laid.end[own] - laid.base[i]).tolist())]
+        assert got == sorted(runs | values)
+        covered = np.zeros(len(text) + 1, bool)
+        for s, _, e in laid.spans[i]:
+            covered[s:e] = True
+        assert laid.touched[own].tolist() == [bool(covered[s:e].any()) for s, e in got]
+        assert laid.whole[own].tolist() == [bool(covered[s:e].all()) for s, e in got]
+
+
+def test_secrets_take_no_python_call_for_each_candidate():
+    rng = random.Random(24)
+    texts = [" ".join("".join(rng.choice("bdlmnrst") + rng.choice("aeiou") for _ in range(4)) for _ in range(20_000))]
+    net = secrets.CharNet.fit(*secrets.made_up(100, 100))
+    net.threshold = 2.0
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        secrets.spans_of(texts, net)
+    finally:
+        sys.setprofile(None)
+    assert 0 < 4 * calls < len(secrets.candidates_of(texts[0], [])[0])
+
+
 def test_forest_finds_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
